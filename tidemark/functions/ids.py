@@ -35,7 +35,10 @@ def ids_family_match(left: Column, right: Column) -> Column:
 
 
 def model_class(raw: Column) -> Column:
-    canon = canonical_id(raw)
+    return class_of_canonical(canonical_id(raw))
+
+
+def class_of_canonical(canon: Column) -> Column:
     cases = reduce(
         lambda acc, item: acc.when(canon.rlike(item[1]), F.lit(item[0])),
         C.MODEL_CLASSES[1:],

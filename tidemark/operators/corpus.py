@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -73,31 +73,36 @@ def _escape(char: str) -> str:
     return "\\" + char if char.isascii() and not char.isalnum() and char != "\n" else char
 
 
-def prefilter(files: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Files whose text contains any registry token.
+def mentions_any(tokens: DataFrame) -> Column:
+    """Condition on ``text``: it contains any registry token.
 
-    A superset filter: it never changes results, it only spares the parser. The
+    Used as a superset filter: it never changes results, it only spares the parser. The
     registry is small, so its tokens become one pattern evaluated at the scan.
     A list whose pattern would be too long is searched by an automaton in Arrow
     batches; a list beyond the driver's bound leaves the files unfiltered.
     """
     found = [r[0] for r in tokens.select("token").limit(MAX_DRIVER_TOKENS + 1).collect()]
     if not found:
-        return files.where(F.lit(False))
+        return F.lit(False)
     if len(found) > MAX_DRIVER_TOKENS:
-        return files
+        return F.lit(True)
     pattern = contains_any_pattern(found)
     if len(pattern) <= MAX_PATTERN_CHARS:
-        return files.where(F.col("text").rlike(pattern))
-    return _automaton_filter(files, found)
+        return F.col("text").rlike(pattern)
+    return _automaton(tokens.sparkSession, found)
+
+
+def prefilter(files: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Files whose text contains any registry token."""
+    return files.where(mentions_any(tokens))
 
 
-def _automaton_filter(files: DataFrame, tokens: list[str]) -> DataFrame:
+def _automaton(spark: SparkSession, tokens: list[str]) -> Column:
     try:
         import ahocorasick
     except ImportError:
-        return files
-    shared = files.sparkSession.sparkContext.broadcast(tokens)
+        return F.lit(True)
+    shared = spark.sparkContext.broadcast(tokens)
 
     @F.pandas_udf("boolean")
     def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -108,7 +113,7 @@ def _automaton_filter(files: DataFrame, tokens: list[str]) -> DataFrame:
         for texts in batches:
             yield texts.map(lambda t: next(machine.iter(t), None) is not None).astype(bool)
 
-    return files.where(hit(F.col("text")))
+    return hit(F.col("text"))
 
 
 def quoted_ids(files: DataFrame, registry: DataFrame) -> DataFrame:
@@ -140,34 +145,36 @@ def annotated_files(files: DataFrame, registry: DataFrame, marker: str = "scan")
     catalogs = marked.where(F.col("annotation") == "model-catalog")
     counts = quoted_ids(catalogs, registry).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("ids"))
     out = marked.select("repo", "path", "annotation")
-    return lookup_join(out, counts, ["repo", "path"], "left").fillna(0, ["ids"])
+    return out.join(counts, ["repo", "path"], "left").fillna(0, ["ids"])
 
 
-def coverage(files: DataFrame, hits: DataFrame, marker: str = "scan") -> DataFrame:
+def coverage(files: DataFrame, registry: DataFrame, marker: str = "scan") -> DataFrame:
     """One row per repo: files per language, prefilter hits, annotations, verdict.
 
-    No analyzable file is an error and not a clean bill.
+    One aggregation over the files. No analyzable file is an error and not a
+    clean bill.
     """
-    scoped = in_scope(files).withColumn("_note", annotation(F.col("text"), marker))
-    marked = lookup_join(
-        scoped.select("repo", "path", "lang", "_note"),
-        hits.select("repo", "path").distinct().withColumn("_hit", F.lit(True)),
-        ["repo", "path"],
-        "left",
-    )
-    seen = marked.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.count_if(F.col("lang") == "ts").alias("ts_files"),
-        F.count_if(F.col("lang") == "py").alias("py_files"),
-        F.count_if(F.col("_hit")).alias("matched"),
-        F.count_if(F.col("_note") == "ignore-file").alias("ignored"),
-        F.count_if(F.col("_note") == "model-catalog").alias("catalogs"),
+    path = unix_path(F.col("path"))
+    scope = in_scan_scope(path)
+    note = annotation(F.col("text"), marker)
+    marked = files.select(
+        "repo",
+        scope.alias("_in"),
+        language(path).alias("_lang"),
+        F.when(scope, mentions_any(registry_tokens(registry))).alias("_hit"),
+        F.when(scope, note).alias("_note"),
     )
-    everything = files.select("repo").distinct()
-    counts = ["files", "ts_files", "py_files", "matched", "ignored", "catalogs"]
+    inside = F.col("_in")
     return (
-        everything.join(seen, "repo", "left")
-        .fillna(0, counts)
+        marked.groupBy("repo")
+        .agg(
+            F.count_if(inside).alias("files"),
+            F.count_if(inside & (F.col("_lang") == "ts")).alias("ts_files"),
+            F.count_if(inside & (F.col("_lang") == "py")).alias("py_files"),
+            F.count_if(F.col("_hit")).alias("matched"),
+            F.count_if(F.col("_note") == "ignore-file").alias("ignored"),
+            F.count_if(F.col("_note") == "model-catalog").alias("catalogs"),
+        )
         .withColumn("scan_ok", F.col("files") > 0)
     )
 
@@ -177,5 +184,5 @@ def uncovered(on_disk: DataFrame, loaded: DataFrame) -> DataFrame:
     key = F.lower(unix_path(F.col("path")))
     have = loaded.select("repo", key.alias("_key")).distinct()
     want = in_scope(on_disk).select("repo", "path", key.alias("_key"))
-    return lookup_join(want, have, ["repo", "_key"], "left_anti").select("repo", "path")
+    return want.join(have, ["repo", "_key"], "left_anti").select("repo", "path")
 

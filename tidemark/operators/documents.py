@@ -47,7 +47,7 @@ def ordered_lag(
     ).where(F.col("_carried").isNotNull())
     inside = Window.partitionBy(key, "_bucket").orderBy(order)
     local = keyed.withColumn("_local", F.lag(F.struct(F.col(value))).over(inside))
-    out_rows = lookup_join(local, carried, [key, "_bucket"], "left")
+    out_rows = local.join(carried, [key, "_bucket"], "left")
     previous = F.coalesce(F.col("_local"), F.col("_carried"))
     return out_rows.withColumn(out, previous[value]).drop("_bucket", "_local", "_carried")
 
@@ -129,8 +129,7 @@ def excerpt_windows(
         F.length("_head").alias("_head_end"),
         (F.lit(max_bytes - marker_bytes - reserve) - F.octet_length("_head")).alias("_budget"),
     )
-    # The long texts are the lookup side: few, each joined to its own excerpts.
-    cited = lookup_join(excerpts.select(key, "excerpt").distinct(), sized, [key], "inner")
+    cited = excerpts.select(key, "excerpt").distinct().join(sized, key)
     at = cited.withColumn("_at", excerpt_anchor(F.col("text"), F.col("excerpt"))).where(
         (F.col("_at") >= 0) & (F.col("_at") >= F.col("_head_end")) & (F.col("_budget") > 0)
     )
@@ -149,7 +148,7 @@ def excerpt_windows(
     )
     merged = islands.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
-    with_text = lookup_join(merged, sized, [key], "inner")
+    with_text = merged.join(sized, key)
     slices = with_text.withColumn(
         "_slice", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     ).withColumn("_size", F.octet_length("_slice"))

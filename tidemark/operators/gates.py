@@ -144,7 +144,7 @@ def gate_tiers(outcomes: DataFrame, policy: DataFrame) -> DataFrame:
         .otherwise(F.col("_recorded"))
         .alias("eval_blocked"),
     )
-    out = lookup_join(per_lang.drop("_recorded"), per_repo, ["repo"], "inner")
+    out = per_lang.drop("_recorded").join(per_repo, "repo")
     return out.select(
         "repo",
         "lang",

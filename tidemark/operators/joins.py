@@ -3,12 +3,18 @@
 ``lookup_join`` measures the lookup side first. Within the budget it is
 broadcast, so the facts are never shuffled. Beyond it both sides are shuffled,
 with the keys that hold a large share of the facts salted over many tasks.
+
+Tables of the same order of size are joined with a plain ``join``: measuring
+one would cost as much as the join, and adaptive execution picks the strategy
+and splits skewed partitions from the shuffle's own statistics.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +49,39 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
+KEPT_LOOKUPS = 32
+_kept: deque[DataFrame] = deque()
+
+
 def fits_budget(df: DataFrame, budget: BroadcastBudget = DEFAULT_BUDGET) -> bool:
     """One distributed aggregate that returns a single row to the driver."""
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
     return rows <= budget.max_rows and size <= budget.max_bytes
 
 
+def measured(df: DataFrame, budget: BroadcastBudget = DEFAULT_BUDGET) -> tuple[DataFrame, bool]:
+    """(df, fits): a lookup that fits stays cached, so measuring it was its only run.
+
+    What is kept is bounded by the budget and by the number of lookups; a lost
+    block is recomputed from its lineage.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    fits = fits_budget(df, budget)
+    if not fits:
+        df.unpersist()
+        return df, False
+    _kept.append(df)
+    while len(_kept) > KEPT_LOOKUPS:
+        _kept.popleft().unpersist()
+    return df, True
+
+
+def release_lookups() -> None:
+    """Drop every cached lookup."""
+    while _kept:
+        _kept.popleft().unpersist()
+
+
 def hot_keys(facts: DataFrame, on: list[str], slots: int = HOT_KEY_SLOTS) -> DataFrame:
     """Keys holding more than 1/slots of the rows: fewer than ``slots`` of them."""
     counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
@@ -98,7 +131,8 @@ def lookup_join(
     budget: BroadcastBudget | None = None,
 ) -> DataFrame:
     """inner / left / left_semi / left_anti join of facts to a lookup table."""
-    if fits_budget(lookup, budget or DEFAULT_BUDGET):
+    lookup, fits = measured(lookup, budget or DEFAULT_BUDGET)
+    if fits:
         return facts.join(F.broadcast(lookup), on, how)
     return salted_join(facts, lookup, on, how)
 

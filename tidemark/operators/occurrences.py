@@ -94,20 +94,24 @@ def place_py(facts: DataFrame, sinks: DataFrame) -> DataFrame:
     A model-like assignment or default is live only when its name reaches a
     sink in the same file; scope and order are deliberately not looked at.
     """
-    traced = F.col("enclosure").isin("variable", "param_default") & is_model_like(F.col("encl_name"))
-    names = sinks.select("repo", "path", F.col("name").alias("_name")).distinct().withColumn(
+    traced = F.coalesce(
+        F.col("enclosure").isin("variable", "param_default") & is_model_like(F.col("encl_name")),
+        F.lit(False),
+    )
+    names = sinks.select("repo", "path", F.col("name").alias("encl_name")).distinct().withColumn(
         "_sunk", F.lit(True)
     )
-    # Only rows the rule can concern carry a key; the others never travel for it.
-    probe = facts.withColumn("_name", F.when(traced, F.col("encl_name")))
-    joined = lookup_join(probe, names, ["repo", "path", "_name"], "left")
+    # Only rows the rule concerns are shuffled for it.
+    asked = facts.where(traced).join(names, ["repo", "path", "encl_name"], "left")
+    joined = asked.unionByName(facts.where(~traced), allowMissingColumns=True)
     sunk = F.coalesce(F.col("_sunk"), F.lit(False))
     return (
         joined.withColumn("_p", _py_place(sunk))
         .withColumn("cast_masked", F.lit(False))
         .withColumn("position", F.col("_p.position"))
         .withColumn("purpose", F.col("_p.purpose"))
-        .drop("_p", "_name", "_sunk")
+        .drop("_p", "_sunk")
+        .select(*facts.columns, "cast_masked", "position", "purpose")
     )
 
 

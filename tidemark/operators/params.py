@@ -72,7 +72,9 @@ def resolve_models(options: DataFrame, constants: DataFrame) -> DataFrame:
     )
     inline = F.col("model_prop.value_literal")
     probe = usable.withColumn("ident", F.when(inline.isNull(), name))
-    joined = lookup_join(probe, bound, ["repo", "path", "ident"], "left")
+    named = probe.where(F.col("ident").isNotNull()).join(bound, ["repo", "path", "ident"], "left")
+    # Objects with an inline model have nothing to look up and are not shuffled for it.
+    joined = named.unionByName(probe.where(F.col("ident").isNull()), allowMissingColumns=True)
     return (
         joined.withColumn("model", F.coalesce(inline, F.col("literal")))
         .withColumn(
@@ -101,7 +103,7 @@ def param_sites(
             "repo", "path", F.col("start").alias("model_start"), F.col("replacement").alias("_new")
         ).distinct()
         resolved = (
-            lookup_join(resolved, edits, ["repo", "path", "model_start"], "left")
+            resolved.join(edits, ["repo", "path", "model_start"], "left")
             .withColumn("model", F.coalesce(F.col("_new"), F.col("model")))
             .drop("_new")
         )

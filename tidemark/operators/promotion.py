@@ -41,7 +41,7 @@ def claim_reasons(
     retired dated release look alive because of its successor.
     """
     summary = evidence_summary(refs, stored, ["candidate_id"])
-    df = lookup_join(candidates, summary, ["candidate_id"], "left")
+    df = candidates.join(summary, "candidate_id", "left")
     forms = live.select(F.col("form").alias("_canon")).distinct().withColumn("_live", F.lit(True))
     df = lookup_join(
         df.withColumn("_canon", ids.canonical_id(F.col("deprecated"))), forms, ["_canon"], "left"
@@ -103,7 +103,7 @@ def decide(
         F.coalesce(F.col("_active"), F.lit(False)).alias("active"),
         (F.size("claim_reasons") == 0).alias("claim_ok"),
     )
-    asked = lookup_join(requests.select("pos", "candidate_id"), facts, ["candidate_id"], "left")
+    asked = requests.select("pos", "candidate_id").join(facts, "candidate_id", "left")
     passes = (
         (F.col("refs") > 0)
         & ~F.col("active")
@@ -118,7 +118,7 @@ def decide(
         ["canon"],
         ["_win_pos"],
     )
-    asked = lookup_join(asked, winners, ["canon"], "left")
+    asked = asked.join(winners, "canon", "left")
     decision = (
         F.when(F.col("canon").isNull(), F.lit("unknown"))
         .when(F.col("_passes") & (F.col("pos") == F.col("_win_pos")), F.lit("promoted"))
@@ -145,7 +145,7 @@ def transition(
 ) -> tuple[DataFrame, DataFrame]:
     """(next registry, next queue) once the promoted candidates have moved."""
     moved = decisions.where(F.col("decision") == "promoted").select("candidate_id", F.col("pos").alias("_pos"))
-    rows = classify(lookup_join(candidates, moved, ["candidate_id"], "inner"), live, official)
+    rows = classify(candidates.join(moved, "candidate_id"), live, official)
     base = registry.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
     official_ok = lifecycle.official_source_confirmed()
     promoted = (
@@ -175,5 +175,5 @@ def transition(
     )
     columns = [c for c in registry.columns if c in promoted.columns]
     next_registry = registry.unionByName(promoted.select(*columns), allowMissingColumns=True)
-    next_queue = lookup_join(candidates, moved.select("candidate_id"), ["candidate_id"], "left_anti")
+    next_queue = candidates.join(moved, "candidate_id", "left_anti")
     return next_registry, next_queue

@@ -149,7 +149,7 @@ def write_plan(pending: DataFrame, current: DataFrame) -> DataFrame:
     )
     rows = checked.select(*FILE, preflight.alias("preflight"))
     per_repo = rows.groupBy("repo").agg(F.bool_and(F.col("preflight") == "ok").alias("_go"))
-    return lookup_join(rows, per_repo, ["repo"], "inner").select(
+    return rows.join(per_repo, "repo").select(
         *FILE, "preflight", F.when(F.col("_go"), F.lit("written")).otherwise(F.lit("refused")).alias("decision")
     )
 
@@ -161,16 +161,21 @@ def disposition(tier_a: DataFrame, plan: DataFrame, blocked_repos: DataFrame, wr
     """
     outcome = plan.groupBy("repo").agg(F.bool_and(F.col("decision") == "written").alias("_written"))
     down = blocked_repos.select("repo").distinct().withColumn("_down", F.lit(True))
-    rows = lookup_join(lookup_join(tier_a, outcome, ["repo"], "left"), down, ["repo"], "left")
+    per_repo = tier_a.groupBy("repo").agg(F.count(F.lit(1)).alias("tier_a"))
+    rows = per_repo.join(outcome, "repo", "left").join(down, "repo", "left")
     label = (
         F.when(F.col("_down"), F.lit("downgraded"))
         .when(F.lit(not write), F.lit("ready"))
         .when(F.coalesce(F.col("_written"), F.lit(False)), F.lit("applied"))
         .otherwise(F.lit("refused"))
     )
-    return rows.withColumn("_label", label).groupBy("repo").agg(
-        F.count(F.lit(1)).alias("tier_a"),
-        *[F.count_if(F.col("_label") == s).alias(s) for s in ("applied", "ready", "refused", "downgraded")],
+    return rows.withColumn("_label", label).select(
+        "repo",
+        "tier_a",
+        *[
+            F.when(F.col("_label") == s, F.col("tier_a")).otherwise(F.lit(0)).alias(s)
+            for s in ("applied", "ready", "refused", "downgraded")
+        ],
     )
 
 

@@ -1,4 +1,9 @@
-"""Breaking changes between two versions of an API specification."""
+"""Breaking changes between two versions of an API specification.
+
+The two versions of a schema meet in one shuffle. Everything below the schema
+is then a matter of one row: the objects present on both sides are listed, and
+each is compared by array and map functions, so renames need no join.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .joins import lookup_join
+from ..sources.specs import enum_values, has_properties, normalized_type
+
+_MAP = "map<string,string>"
+_NODE = "struct<path:string,a:string,b:string>"
 
 
 def enum_label(values: Column) -> Column:
@@ -20,92 +28,114 @@ def enums_differ(a: Column, b: Column) -> Column:
     return ~F.array_sort(a).eqNullSafe(F.array_sort(b))
 
 
-def paired(props: DataFrame, old: str, new: str) -> DataFrame:
-    """One row per property with its ``a`` (old) and ``b`` (new) side.
-
-    One aggregation instead of a full outer join of the table with itself: each
-    side is shuffled once, and partially combined before that.
-    """
-    side = lambda v: F.max(
-        F.when(F.col("version") == v, F.struct("type", "enum", "is_object", "ord"))
+def paired_schemas(specs: DataFrame, old: str, new: str) -> DataFrame:
+    """(api, path, a, b): schemas present in both versions, as JSON."""
+    schemas = specs.where(F.col("version").isin(old, new)).select(
+        "api",
+        "version",
+        F.explode(F.from_json(F.get_json_object("doc", "$.components.schemas"), _MAP)).alias("path", "node"),
     )
+    side = lambda v: F.max(F.when(F.col("version") == v, F.col("node")))
     return (
-        props.where(F.col("version").isin(old, new))
-        .groupBy("api", "parent", "name", "depth")
+        schemas.groupBy("api", "path")
         .agg(side(old).alias("a"), side(new).alias("b"))
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    )
+
+
+def _properties(node: Column) -> Column:
+    parsed = F.from_json(F.get_json_object(node, "$.properties"), _MAP)
+    return F.coalesce(parsed, F.create_map().cast(_MAP))
+
+
+def _children(node: Column) -> Column:
+    """Properties that are objects with properties on both sides."""
+    pa, pb = _properties(node["a"]), _properties(node["b"])
+    both = F.array_intersect(F.map_keys(pa), F.map_keys(pb))
+    kids = F.transform(
+        both,
+        lambda k: F.struct(
+            F.concat(node["path"], F.lit("."), k).alias("path"),
+            F.element_at(pa, k).alias("a"),
+            F.element_at(pb, k).alias("b"),
+        ),
     )
+    return F.filter(kids, lambda n: has_properties(n["a"]) & has_properties(n["b"]))
 
 
-def comparable(pairs: DataFrame, max_depth: int = C.SPEC_MAX_DEPTH) -> DataFrame:
-    """Pairs whose enclosing objects exist as objects on both sides, all the way up."""
-    both_objects = F.col("a.is_object") & F.col("b.is_object")
-    path = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws(".", "parent", "name"))
-    both = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    open_objects = both.where(F.col("depth") == -1).select("api", path.alias("parent"))
-    out = None
-    for depth in range(max_depth):
-        level = lookup_join(pairs.where(F.col("depth") == depth), open_objects, ["api", "parent"], "left_semi")
-        out = level if out is None else out.unionByName(level)
-        open_objects = level.where(both_objects).select("api", path.alias("parent"))
-    return out
+def compared_objects(schemas: DataFrame, max_depth: int = C.SPEC_MAX_DEPTH) -> DataFrame:
+    """Every object to compare: schemas and, to a fixed depth, objects inside them."""
+    level = schemas.withColumn("_n", F.array(F.struct("path", "a", "b").cast(_NODE)))
+    level = level.select("api", F.col("_n").alias("_level"), F.col("_n").alias("_all"))
+    for _ in range(max_depth - 1):
+        level = level.withColumn("_level", F.flatten(F.transform("_level", _children)))
+        level = level.withColumn("_all", F.concat("_all", "_level"))
+    return level.select("api", F.explode("_all").alias("_o")).select("api", "_o.path", "_o.a", "_o.b")
 
 
-def spec_diff(props: DataFrame, old: str = "A", new: str = "B") -> DataFrame:
+def spec_diff(specs: DataFrame, old: str = "A", new: str = "B") -> DataFrame:
     """(api, kind, path, from, to): renames, removals, type and enum changes.
 
     A rename is inferred only when an object lost exactly one property and
     gained exactly one of equal type; otherwise each lost one is a removal.
     """
-    pairs = comparable(paired(props, old, new))
-    lost, gained = F.col("b").isNull(), F.col("a").isNull()
-
-    per_parent = (
-        pairs.where(lost | gained)
-        .groupBy("api", "parent")
-        .agg(
-            F.count_if(lost).alias("_lost"),
-            F.count_if(gained).alias("_gained"),
-            F.max(F.when(lost, F.col("name"))).alias("_from"),
-            F.max(F.when(gained, F.col("name"))).alias("_to"),
-            F.max(F.when(lost, F.col("a.type"))).alias("_old_type"),
-            F.max(F.when(gained, F.col("b.type"))).alias("_new_type"),
-        )
+    objects = compared_objects(paired_schemas(specs, old, new))
+    objects = objects.select(
+        "api", "path", _properties(F.col("a")).alias("pa"), _properties(F.col("b")).alias("pb")
     )
-    renames = per_parent.where(
-        (F.col("_lost") == 1) & (F.col("_gained") == 1) & (F.col("_old_type") == F.col("_new_type"))
-    ).select("api", "parent", F.col("_from").alias("name"), F.col("_to").alias("_to"))
-
-    # One pass over the pairs emits up to two changes per property.
-    marked = lookup_join(
-        pairs.where(F.col("a").isNotNull()), renames, ["api", "parent", "name"], "left"
+    pa, pb = F.col("pa"), F.col("pb")
+    objects = (
+        objects.withColumn("lost", F.array_except(F.map_keys(pa), F.map_keys(pb)))
+        .withColumn("gained", F.array_except(F.map_keys(pb), F.map_keys(pa)))
+        .withColumn("both", F.array_intersect(F.map_keys(pa), F.map_keys(pb)))
     )
-    type_a, type_b = F.col("a.type"), F.col("b.type")
-    change = lambda kind, f, t: F.struct(
-        F.lit(kind).alias("kind"), f.cast("string").alias("from"), t.cast("string").alias("to")
+    lost, gained = F.col("lost"), F.col("gained")
+    one = (F.size(lost) == 1) & (F.size(gained) == 1)
+    same_type = normalized_type(F.element_at(pa, F.try_element_at(lost, F.lit(1)))) == normalized_type(
+        F.element_at(pb, F.try_element_at(gained, F.lit(1)))
     )
-    nothing = F.lit(None)
-    in_both = F.col("b").isNotNull()
-    changes = F.array_compact(
-        F.array(
-            F.when(F.col("_to").isNotNull(), change("field_rename", F.col("name"), F.col("_to"))),
-            F.when(F.col("b").isNull() & F.col("_to").isNull(), change("field_removed", nothing, nothing)),
-            F.when(
-                in_both & (type_a != "") & (type_b != "") & (type_a != type_b),
-                change("type_change", type_a, type_b),
-            ),
-            F.when(
-                in_both & enums_differ(F.col("a.enum"), F.col("b.enum")),
-                change("enum_value_change", enum_label(F.col("a.enum")), enum_label(F.col("b.enum"))),
-            ),
+    renamed = F.coalesce(one & same_type, F.lit(False))
+
+    def change(kind: Column, name: Column, f: Column, t: Column) -> Column:
+        return F.struct(
+            kind.alias("kind"), name.alias("name"), f.cast("string").alias("from"), t.cast("string").alias("to")
         )
+
+    nothing = F.lit(None).cast("string")
+    gone = F.transform(
+        lost,
+        lambda k: F.when(
+            renamed, change(F.lit("field_rename"), k, k, F.try_element_at(gained, F.lit(1)))
+        ).otherwise(change(F.lit("field_removed"), k, nothing, nothing)),
     )
-    return marked.select(
+
+    def kept(k: Column) -> Column:
+        a, b = F.element_at(pa, k), F.element_at(pb, k)
+        type_a, type_b = normalized_type(a), normalized_type(b)
+        enum_a, enum_b = enum_values(a), enum_values(b)
+        return F.array_compact(
+            F.array(
+                F.when(
+                    (type_a != "") & (type_b != "") & (type_a != type_b),
+                    change(F.lit("type_change"), k, type_a, type_b),
+                ),
+                F.when(
+                    enums_differ(enum_a, enum_b),
+                    change(F.lit("enum_value_change"), k, enum_label(enum_a), enum_label(enum_b)),
+                ),
+            )
+        )
+
+    # Equal JSON on both sides cannot differ; most properties end here.
+    suspects = F.filter("both", lambda k: F.element_at(pa, k) != F.element_at(pb, k))
+    found = F.concat(gone, F.flatten(F.transform(suspects, kept)))
+    return objects.select("api", "path", F.explode(found).alias("_c")).select(
         "api",
-        F.concat_ws(".", "parent", "name").alias("path"),
-        F.col("depth"),
-        F.col("a.ord").alias("ord"),
-        F.explode(changes).alias("_c"),
-    ).select("api", "_c.kind", "path", "_c.from", "_c.to", "depth", "ord")
+        "_c.kind",
+        F.concat("path", F.lit("."), "_c.name").alias("path"),
+        "_c.from",
+        "_c.to",
+    )
 
 
 def ordered(changes: DataFrame) -> DataFrame:

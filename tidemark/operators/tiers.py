@@ -9,7 +9,7 @@ from .. import config as C
 from ..functions.ids import replacement_family
 from ..functions.lifecycle import swap_label
 from ..functions.paths import catalog_like
-from .joins import lookup_join, top_per_group
+from .joins import top_per_group
 from .occurrences import swaps
 
 KEY = ["repo", "path", "line", "col", "value"]
@@ -98,7 +98,7 @@ def multi_tier_notes(occ: DataFrame, shown: int = 4) -> DataFrame:
         .drop("_tiers")
     )
     first = top_per_group(
-        lookup_join(sites, per_id, ["repo", "value"], "inner"),
+        sites.join(per_id, ["repo", "value"]),
         ["repo", "value", "tier"],
         [F.col("path"), F.col("line")],
         shown,
@@ -110,7 +110,7 @@ def multi_tier_notes(occ: DataFrame, shown: int = 4) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", label.alias("label")))).alias("_p")
     )
     counts = per_tier.select("repo", "value", "tier", "positions")
-    out = lookup_join(heads, counts, ["repo", "value", "tier"], "inner")
+    out = heads.join(counts, ["repo", "value", "tier"])
     return out.select(
         "repo",
         "value",
@@ -143,7 +143,7 @@ def review_top(occ: DataFrame, k: int = 12) -> DataFrame:
     totals = found.groupBy("repo").agg(F.count(F.lit(1)).alias("_n"))
     top = top_per_group(found, ["repo"], review_order(found), k)
     return (
-        lookup_join(top, totals, ["repo"], "inner")
+        top.join(totals, "repo")
         .withColumn("more", F.greatest(F.col("_n") - k, F.lit(0)))
         .drop("_n")
     )
@@ -174,7 +174,7 @@ def file_id_lines(occ: DataFrame, shown: int = 4) -> DataFrame:
     keys = ["repo", "path", "value"]
     first = top_per_group(counts, keys, [F.col("line")], shown)
     heads = first.groupBy(*keys).agg(F.array_sort(F.collect_list("line")).alias("_l"))
-    return lookup_join(heads, totals, keys, "inner").select(
+    return heads.join(totals, keys).select(
         *keys,
         "hits",
         F.array_join(F.transform("_l", lambda n: F.concat(F.lit("L"), n)), ", ").alias("shown"),
@@ -207,7 +207,7 @@ def mixed_families(occ: DataFrame) -> DataFrame:
         .agg(F.countDistinct("family").alias("families"))
         .where("families > 1")
     )
-    return lookup_join(targets, mixed, ["repo"], "inner")
+    return targets.join(mixed, "repo")
 
 
 def patch_evidence(occ: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def capped(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataF
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     top = top_per_group(df, keys, order, k)
     return (
-        lookup_join(top, totals, keys, "inner")
+        top.join(totals, keys)
         .withColumn("more", F.greatest(F.col("_n") - k, F.lit(0)))
         .drop("_n")
     )

@@ -41,9 +41,11 @@ def affected_sites(changes: DataFrame, usage: DataFrame, root: str) -> DataFrame
 
 def unused_changes(changes: DataFrame, usage: DataFrame, root: str) -> DataFrame:
     """Changes no repository uses."""
-    used = usage.select(strip_root(F.col("path_key"), root).alias("_path")).distinct()
     keyed = changes.withColumn("_path", strip_root(F.col("path"), root))
-    return lookup_join(keyed, used, ["_path"], "left_anti").drop("_path")
+    touched = usage.select(strip_root(F.col("path_key"), root).alias("_path"))
+    # Only paths of a change can matter, so the usage shrinks before it is shuffled.
+    used = lookup_join(touched, keyed.select("_path").distinct(), ["_path"], "left_semi").distinct()
+    return keyed.join(used, "_path", "left_anti").drop("_path")
 
 
 def impact(sites: DataFrame, total_changes: int | None = None) -> DataFrame:

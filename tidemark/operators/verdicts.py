@@ -46,17 +46,19 @@ def classify(records: DataFrame, live: DataFrame, official: DataFrame) -> DataFr
     recommendation, verified. Quarantine is a human decision and never results.
     """
     dep, rep = F.col("deprecated"), F.col("replacement")
-    df = _official_for(records, official, ids.canonical_id(rep), "_onward")
-    df = _official_for(df, official, ids.canonical_id(dep), "_official")
+    df = records.withColumn("_rep", ids.canonical_id(rep)).withColumn("_dep", ids.canonical_id(dep))
+    df = _official_for(df, official, F.col("_rep"), "_onward")
+    df = _official_for(df, official, F.col("_dep"), "_official")
     df = is_live(df, live, "replacement", "_live")
 
-    dep_class, rep_class = ids.model_class(dep), ids.model_class(rep)
+    dep_class = ids.class_of_canonical(F.col("_dep"))
+    rep_class = ids.class_of_canonical(F.col("_rep"))
     out_class = F.when(~ids.catalog_verifiable(dep_class), dep_class).when(
         ~ids.catalog_verifiable(rep_class), rep_class
     )
     chained = F.col("_onward").isNotNull()
     stale = F.col("_official").isNotNull() & (
-        ids.canonical_id(F.col("_official")) != ids.canonical_id(rep)
+        ids.canonical_id(F.col("_official")) != F.col("_rep")
     )
     verdict = (
         F.when(out_class.isNotNull(), F.lit("unverifiable"))
@@ -87,7 +89,7 @@ def classify(records: DataFrame, live: DataFrame, official: DataFrame) -> DataFr
     return (
         df.withColumn("verdict", verdict)
         .withColumn("verdict_reasons", reasons)
-        .drop("_onward", "_official", "_live")
+        .drop("_onward", "_official", "_live", "_rep", "_dep")
     )
 
 
@@ -171,7 +173,7 @@ def chain_ends(official: DataFrame, max_rounds: int = 40) -> DataFrame:
     nodes = edges.select("dep_canon")
     # A target that is no key itself is the end of its chain.
     keys = nodes.select(F.col("dep_canon").alias("next")).withColumn("_more", F.lit(True))
-    step = lookup_join(edges, keys, ["next"], "left").select(
+    step = edges.join(keys, "next", "left").select(
         "dep_canon", "next", F.lit(1).cast("bigint").alias("hops"), F.coalesce("_more", F.lit(False)).alias("open")
     )
     for _ in range(max_rounds):
@@ -189,7 +191,7 @@ def chain_ends(official: DataFrame, max_rounds: int = 40) -> DataFrame:
             F.col("hops").alias("_hops"),
             F.col("open").alias("_open"),
         )
-        step = lookup_join(step, ahead, ["next"], "left")
+        step = step.join(ahead, "next", "left")
         go = F.col("open") & F.col("_next").isNotNull()
         step = step.select(
             "dep_canon",

@@ -38,7 +38,7 @@ def native_facts(files: DataFrame) -> Facts:
     """All facts through Spark operators; the token table is written once."""
     structure = durable(extract.token_structure(files), "tokens")
     return Facts(
-        extract.literals(structure),
+        durable(extract.literals(structure), "literals"),
         extract.sink_facts(structure),
         extract.option_objects(structure),
         extract.const_bindings(structure),

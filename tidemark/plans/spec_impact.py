@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import specdiff, usage
-from ..sources.specs import flatten_specs
-
-
-def changes(spec_docs: DataFrame, old: str = "A", new: str = "B") -> DataFrame:
-    return specdiff.spec_diff(flatten_specs(spec_docs), old, new)
 
 
 def spec_impact(spec_docs: DataFrame, usage_rows: DataFrame, root: str, old: str = "A", new: str = "B") -> DataFrame:
-    found = changes(spec_docs, old, new)
+    found = specdiff.spec_diff(spec_docs, old, new)
     return usage.impact(usage.affected_sites(found, usage_rows, root))

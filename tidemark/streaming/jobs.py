@@ -15,17 +15,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import content_hash, normalize_for_hash
 from ..operators import discovery, documents
-from ..operators.joins import fits_budget, lookup_join
+from ..operators.joins import fits_budget
 from ..plans import code_scan
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream of a parquet table that is one file or a folder of files."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema)
+    folder = folder.rstrip("/")
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.readStream.schema(table.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    single = table.inputFiles()[0].endswith(f"/{name}.parquet")
+    if single:
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def run_batches(
@@ -132,7 +136,7 @@ def drift_monitor(captures: DataFrame, folder: str) -> DataFrame:
             "captures",
         )
         known = last_known(number)
-        touched = lookup_join(known, fresh.select("url").distinct(), ["url"], "left_semi")
+        touched = known.join(fresh.select("url").distinct(), "url", "left_semi")
         both = touched.withColumn("_old", F.lit(True)).unionByName(fresh.withColumn("_old", F.lit(False)))
         lagged = documents.ordered_lag(
             both, "url", "retrieved_at", "content_hash", "previous_hash", F.substring("retrieved_at", 1, 7)

@@ -375,12 +375,12 @@ def spec_properties(spark, sf):
 
 @query
 def spec_diff(spark, sf):
-    return spec_impact.changes(fixture(spark, sf, "spec_docs")).select("api", "kind", "path", "from", "to")
+    return specdiff.spec_diff(fixture(spark, sf, "spec_docs")).select("api", "kind", "path", "from", "to")
 
 
 @query
 def spec_change_counts(spark, sf):
-    return specdiff.change_counts(spec_impact.changes(fixture(spark, sf, "spec_docs")))
+    return specdiff.change_counts(specdiff.spec_diff(fixture(spark, sf, "spec_docs")))
 
 
 @query
@@ -396,13 +396,13 @@ def usage_prefixes(spark, sf):
 
 @query
 def affected_sites(spark, sf):
-    changes = spec_impact.changes(fixture(spark, sf, "spec_docs"))
+    changes = specdiff.spec_diff(fixture(spark, sf, "spec_docs"))
     return usage.affected_sites(changes, fixture(spark, sf, "usage"), ROOT)
 
 
 @query
 def unused_changes(spark, sf):
-    changes = spec_impact.changes(fixture(spark, sf, "spec_docs"))
+    changes = specdiff.spec_diff(fixture(spark, sf, "spec_docs"))
     return usage.unused_changes(changes, fixture(spark, sf, "usage"), ROOT).select("api", "kind", "path")
 
 
@@ -413,7 +413,7 @@ def spec_usage_impact(spark, sf):
 
 @query
 def rename_targets(spark, sf):
-    changes = spec_impact.changes(fixture(spark, sf, "spec_docs"))
+    changes = specdiff.spec_diff(fixture(spark, sf, "spec_docs"))
     return usage.rename_targets(changes, fixture(spark, sf, "usage"), ROOT)
 
 
@@ -597,7 +597,7 @@ def rename_fix(spark, sf):
         F.length(prefix).cast("bigint").alias("start"),
         F.concat(F.lit("S"), F.col("p_partkey"), F.lit(".card.name")).alias("path_key"),
     )
-    changes = spec_impact.changes(fixture(spark, sf, "spec_docs"))
+    changes = specdiff.spec_diff(fixture(spark, sf, "spec_docs"))
     used = files.select("repo", F.col("path").alias("file"), F.lit(1).alias("line"), "start", "path_key", F.col("start").alias("col"))
     hits = usage.rename_targets(changes, used, ROOT)
     edits = rewrite.rename_edits(
@@ -640,9 +640,7 @@ def write_disposition(spark, sf):
 
 @query
 def coverage(spark, sf):
-    files = _files(spark, sf)
-    hits = code_scan.relevant_files(files, registry(spark, sf))
-    return corpus.coverage(files, hits)
+    return corpus.coverage(_files(spark, sf), registry(spark, sf))
 
 
 @query
