@@ -73,7 +73,11 @@ def policies(configs: DataFrame, override_command: str | None = None) -> DataFra
         blank_to_null(F.try_variant_get(v, "$.gates.eval.command", "string")),
         blank_to_null(F.try_variant_get(v, "$.evalCommand", "string")),
     )
-    required = lambda g: F.try_variant_get(v, f"$.gates.{g}.required", "boolean")
+    # Only a JSON boolean is a setting; "no" would otherwise cast to false.
+    required = lambda g: F.when(
+        _is(v, f"$.gates.{g}.required", "BOOLEAN"),
+        F.try_variant_get(v, f"$.gates.{g}.required", "boolean"),
+    )
     return df.select(
         "repo",
         _config_problem(v, F.col("config")).alias("problem"),
