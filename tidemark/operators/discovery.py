@@ -93,43 +93,52 @@ def table_rows(
         )
     )
     # An unreadable table gives one row (its header); a readable one its data rows.
-    body = F.when(F.col("_table_skip").isNotNull(), F.slice("_rows", 1, 1)).otherwise(
+    unreadable = F.col("_table_skip").isNotNull()
+    body = F.when(unreadable, F.slice("_rows", 1, 1)).otherwise(
         F.slice("_rows", F.lit(2), F.size("_rows"))
     )
-    rows = tables.select(
-        *keep, "table_no", "_repl", "_dep", "_date", "_table_skip",
-        F.posexplode(body).alias("row_no", "_row"),
-    ).withColumn("_cells", _cells(F.col("_row")))
-
-    def at(position: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col("_cells"), position + 1), F.lit(""))
-
     provider = F.col("provider")
-    rows = (
-        rows.withColumn("row_text", clamp_excerpt(F.array_join("_cells", " | ")))
-        .withColumn("_d", model_ids_in(at(F.try_element_at("_dep", F.lit(1))), provider, patterns))
-        .withColumn("_r", model_ids_in(at(F.try_element_at("_repl", F.lit(1))), provider, patterns))
-        .withColumn("_when", F.when(F.col("_date").isNotNull(), dates.shutdown_date(at(F.col("_date")))))
+
+    def at(cells: Column, position: Column) -> Column:
+        return F.coalesce(F.try_element_at(cells, position + 1), F.lit(""))
+
+    # Each step binds its result, so no cell is cleaned twice; and rows that name
+    # no model are dropped before they become rows.
+    cells = F.transform(body, lambda row, i: F.struct(i.alias("n"), _cells(row).alias("c")))
+    named = F.transform(
+        cells,
+        lambda x: F.struct(
+            x["n"].alias("n"),
+            x["c"].alias("c"),
+            model_ids_in(at(x["c"], F.try_element_at("_dep", F.lit(1))), provider, patterns).alias("d"),
+            model_ids_in(at(x["c"], F.try_element_at("_repl", F.lit(1))), provider, patterns).alias("r"),
+        ),
     )
-    rows = rows.where(F.col("_table_skip").isNotNull() | (F.size("_d") > 0))
-    dep, rep = F.try_element_at("_d", F.lit(1)), F.try_element_at("_r", F.lit(1))
+    claims = F.filter(named, lambda x: unreadable | (F.size(x["d"]) > 0))
+    rows = tables.select(*keep, "table_no", "_date", "_table_skip", F.explode(claims).alias("_x"))
+
+    d, r = F.col("_x.d"), F.col("_x.r")
+    dep, rep = F.try_element_at(d, F.lit(1)), F.try_element_at(r, F.lit(1))
     skip = (
         F.when(F.col("_table_skip").isNotNull(), F.col("_table_skip"))
-        .when(F.size("_d") > 1, F.lit("several_models"))
-        .when(F.size("_r") == 0, F.lit("no_replacement"))
-        .when(F.size("_r") > 1, F.lit("several_replacements"))
+        .when(F.size(d) > 1, F.lit("several_models"))
+        .when(F.size(r) == 0, F.lit("no_replacement"))
+        .when(F.size(r) > 1, F.lit("several_replacements"))
         .when(ids.ids_equal(dep, rep), F.lit("maps_to_itself"))
     )
     rows = rows.withColumn("skip", skip)
     read = F.col("skip").isNull()
+    when_ = F.when(
+        F.col("_date").isNotNull(), dates.shutdown_date(at(F.col("_x.c"), F.col("_date")))
+    )
     return rows.select(
         *keep,
-        F.col("table_no"),
-        F.col("row_no"),
-        "row_text",
+        "table_no",
+        F.col("_x.n").alias("row_no"),
+        clamp_excerpt(F.array_join(F.col("_x.c"), " | ")).alias("row_text"),
         F.when(read, dep).alias("deprecated"),
         F.when(read, rep).alias("replacement"),
-        F.when(read, F.col("_when")).alias("shutdown_date"),
+        F.when(read, when_).alias("shutdown_date"),
         "skip",
     )
 

@@ -163,9 +163,15 @@ def with_tier(placed: DataFrame) -> DataFrame:
 
 
 def occurrences(facts: DataFrame, sinks: DataFrame, registry: DataFrame) -> DataFrame:
-    """Tiered occurrences of both languages from one pass over the facts."""
-    scoped = facts.where(in_fact_scope(F.col("path"), F.col("lang")))
-    matched = match_registry(scoped, registry)
+    """Tiered occurrences of both languages from one pass over the facts.
+
+    Few literals are registry ids, so the lookup comes first and the path rules
+    are tested on what it leaves. They name a column of the record for that
+    reason: the optimizer would otherwise move them below the join.
+    """
+    matched = match_registry(facts, registry)
+    in_scope = in_fact_scope(F.col("path"), F.col("lang"))
+    matched = matched.where(F.when(F.col("record_ord").isNotNull(), in_scope))
     ts = place_ts(matched.where(F.col("lang") == "ts"))
     py = place_py(matched.where(F.col("lang") == "py"), sinks)
     return with_tier(ts.unionByName(py))

@@ -39,7 +39,8 @@ def paired_schemas(specs: DataFrame, old: str, new: str) -> DataFrame:
     return (
         schemas.groupBy("api", "path")
         .agg(side(old).alias("a"), side(new).alias("b"))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        # Also drops schemas missing on one side. Equal JSON cannot differ.
+        .where(F.col("a") != F.col("b"))
     )
 
 
@@ -50,17 +51,23 @@ def _properties(node: Column) -> Column:
 
 def _children(node: Column) -> Column:
     """Properties that are objects with properties on both sides."""
-    pa, pb = _properties(node["a"]), _properties(node["b"])
-    both = F.array_intersect(F.map_keys(pa), F.map_keys(pb))
-    kids = F.transform(
-        both,
-        lambda k: F.struct(
-            F.concat(node["path"], F.lit("."), k).alias("path"),
-            F.element_at(pa, k).alias("a"),
-            F.element_at(pb, k).alias("b"),
-        ),
+
+    def kids(parsed: Column) -> Column:
+        return F.transform(
+            F.array_intersect(F.map_keys(parsed["pa"]), F.map_keys(parsed["pb"])),
+            lambda k: F.struct(
+                F.concat(node["path"], F.lit("."), k).alias("path"),
+                F.element_at(parsed["pa"], k).alias("a"),
+                F.element_at(parsed["pb"], k).alias("b"),
+            ),
+        )
+
+    # The one-element array binds the parsed maps, so each JSON is read once.
+    once = F.array(F.struct(_properties(node["a"]).alias("pa"), _properties(node["b"]).alias("pb")))
+    return F.filter(
+        F.flatten(F.transform(once, kids)),
+        lambda n: (n["a"] != n["b"]) & has_properties(n["a"]) & has_properties(n["b"]),
     )
-    return F.filter(kids, lambda n: has_properties(n["a"]) & has_properties(n["b"]))
 
 
 def compared_objects(schemas: DataFrame, max_depth: int = C.SPEC_MAX_DEPTH) -> DataFrame:
