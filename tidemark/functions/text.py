@@ -39,7 +39,8 @@ def decode_numeric_entities(text: Column) -> Column:
 
 def cell_text(html: Column) -> Column:
     """Visible text of one table cell."""
-    out = F.regexp_replace(html, "<[^>]+>", " ")
+    plain = F.regexp_replace(html, "<[^>]+>", " ")
+    out = plain
     for entity, char in (
         ("nbsp", " "),
         ("amp", "&"),
@@ -48,7 +49,8 @@ def cell_text(html: Column) -> Column:
         ("quot", '"'),
     ):
         out = F.regexp_replace(out, f"(?i)&{entity};", char)
-    return collapse_ws(decode_numeric_entities(out))
+    # Most cells have no entity at all.
+    return collapse_ws(F.when(html.contains("&"), decode_numeric_entities(out)).otherwise(plain))
 
 
 def normalize_for_hash(text: Column) -> Column:

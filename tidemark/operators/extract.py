@@ -44,20 +44,23 @@ _GROUP = ["fid", "repo", "path"]
 def tokens(files: DataFrame) -> DataFrame:
     """(repo, path, lang, i, tok, start, end, line, col, blanks) without comments.
 
-    Offsets are 0-based characters. The text itself is not carried along.
+    Offsets are 0-based characters. Texts are distributed by file before they
+    are cut: a text is several times smaller than its tokens, and every window
+    below finds its rows in place.
     """
-
-    def cut(lang: str, pattern: str) -> DataFrame:
-        pairs = F.arrays_zip(
-            F.split("text", pattern).alias("gap"),
-            F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)).alias("tok"),
-        )
-        return files.where(F.col("lang") == lang).select(
-            *FILE, "lang", F.posexplode(pairs).alias("i", "t")
-        )
-
-    raw = cut("ts", TS_TOKEN).unionByName(cut("py", PY_TOKEN)).where("t.tok is not null")
-    raw = raw.select(F.xxhash64(*FILE).alias("fid"), *FILE, "lang", "i", "t.gap", "t.tok")
+    placed = (
+        files.where(F.col("lang").isin("ts", "py"))
+        .select(F.xxhash64(*FILE).alias("fid"), *FILE, "lang", "text")
+        .repartition(*_GROUP)
+    )
+    py = F.col("lang") == "py"
+    pieces = lambda cut: F.when(py, cut(PY_TOKEN)).otherwise(cut(TS_TOKEN))
+    pairs = F.arrays_zip(
+        pieces(lambda p: F.split("text", p)).alias("gap"),
+        pieces(lambda p: F.regexp_extract_all(F.col("text"), F.lit(p), F.lit(0))).alias("tok"),
+    )
+    raw = placed.select(*_GROUP, "lang", F.posexplode(pairs).alias("i", "t")).where("t.tok is not null")
+    raw = raw.select(*_GROUP, "lang", "i", "t.gap", "t.tok")
     order = Window.partitionBy(*_GROUP).orderBy("i")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     piece = F.concat(F.coalesce(F.lag("tok").over(order), F.lit("")), F.col("gap"))
