@@ -56,13 +56,13 @@ def drift(captures: DataFrame, bucket: Column | None = None) -> DataFrame:
     """(url, retrieved_at, content_hash, previous_hash, changed) per capture.
 
     A capture has changed when its noise-free hash differs from that of the
-    capture before it. A url with much of the table is split by month.
+    capture before it. A url with much of the table is split by day.
     """
     rows = captures.select(
         "url", "retrieved_at", content_hash(normalize_for_hash(F.col("text"))).alias("content_hash")
     )
-    month = F.substring("retrieved_at", 1, 7) if bucket is None else bucket
-    lagged = ordered_lag(rows, "url", "retrieved_at", "content_hash", "previous_hash", month)
+    day = F.substring("retrieved_at", 1, 10) if bucket is None else bucket
+    lagged = ordered_lag(rows, "url", "retrieved_at", "content_hash", "previous_hash", day)
     return lagged.select(
         "url",
         "retrieved_at",

@@ -139,7 +139,7 @@ def drift_monitor(captures: DataFrame, folder: str) -> DataFrame:
         touched = known.join(fresh.select("url").distinct(), "url", "left_semi")
         both = touched.withColumn("_old", F.lit(True)).unionByName(fresh.withColumn("_old", F.lit(False)))
         lagged = documents.ordered_lag(
-            both, "url", "retrieved_at", "content_hash", "previous_hash", F.substring("retrieved_at", 1, 7)
+            both, "url", "retrieved_at", "content_hash", "previous_hash", F.substring("retrieved_at", 1, 10)
         )
         changed = lagged.where(~F.col("_old") & (F.col("content_hash") != F.col("previous_hash")))
         changed.select("url", "retrieved_at", "content_hash", "previous_hash").write.mode(
