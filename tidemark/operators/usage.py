@@ -48,7 +48,7 @@ def unused_changes(changes: DataFrame, usage: DataFrame, root: str) -> DataFrame
     return keyed.join(used, "_path", "left_anti").drop("_path")
 
 
-def impact(sites: DataFrame, total_changes: int | None = None) -> DataFrame:
+def impact(sites: DataFrame) -> DataFrame:
     """Per repo and kind: changes hit, sites, and whether they can be automated.
 
     Renames are candidates for an automatic fix; the other kinds are located
