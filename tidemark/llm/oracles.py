@@ -2,4 +2,24 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS impacts
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), one AS (SELECT vec_id, min(impacts) AS impacts FROM v GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_inner_product(q.impacts::DOUBLE[], c.impacts::DOUBLE[])::BIGINT AS score
+  FROM one q JOIN one c ON c.vec_id <> q.vec_id AND len(c.impacts) = len(q.impacts)
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_top_k": TOP_K,
+}
