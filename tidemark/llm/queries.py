@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, token_counts, token_files, top_k, toxicity
+from . import bpe, decontaminate, near_dedup, pii, token_counts, token_files, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.report(_table(spark, sf_dir, "embeddings"))
 
@@ -45,4 +49,4 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_top_k, op3_token_files, op5_token_counts, op6_decontaminate, op7_byte_bpe, op8_toxicity, op9_pii)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_dedup, op2_top_k, op3_token_files, op5_token_counts, op6_decontaminate, op7_byte_bpe, op8_toxicity, op9_pii)}
