@@ -13,8 +13,8 @@ from itertools import repeat
 
 import numpy as np
 
-#: Pieces remembered per Python worker before the memory starts anew.
-REMEMBERED = 300_000
+#: Pieces remembered per Python worker; beyond, the less used half is forgotten.
+REMEMBERED = 400_000
 
 _OPEN = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -39,9 +39,23 @@ class PieceIds:
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.size, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
+    def _forget(self) -> None:
+        n = len(self.place)
+        keep = np.sort(np.argpartition(-self.uses[:n], n // 2)[: n // 2])
+        names, uses = list(self.place), self.uses[keep] // 2
+        ids, sizes = self._gathered(keep), self.size[keep]
+        self._clear()
+        self._add([names[i] for i in keep.tolist()], ids, sizes)
+        self.uses[: len(keep)] = uses
+
+    def _gathered(self, index: np.ndarray) -> np.ndarray:
+        size = self.size[index]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
     @staticmethod
     def _grown(array: np.ndarray, n: int) -> np.ndarray:
         if n <= len(array):
@@ -50,22 +64,20 @@ class PieceIds:
         out[: len(array)] = array
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        at = len(self.place)
-        ids, sizes = self.encode(pieces)
-        total = len(ids)
-        self.start, self.size = self._grown(self.start, at + len(sizes)), self._grown(self.size, at + len(sizes))
-        self.flat = self._grown(self.flat, self.used + total)
-        self.start[at : at + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.size[at : at + len(sizes)] = sizes
-        self.flat[self.used : self.used + total] = ids
-        self.used += total
-        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = len(self.place), len(self.place) + len(pieces)
+        self.start, self.size, self.uses = (self._grown(x, n) for x in (self.start, self.size, self.uses))
+        self.flat = self._grown(self.flat, self.used + len(ids))
+        self.start[at:n] = self.used + np.cumsum(sizes) - sizes
+        self.size[at:n] = sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.place.update(zip(pieces, range(at, n), strict=True))
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each text)."""
         if len(self.place) > REMEMBERED:
-            self._clear()
+            self._forget()
         keys: list[str] = []
         counts = []
         for text in texts:
@@ -81,11 +93,10 @@ class PieceIds:
         index = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
         if len(missing := np.flatnonzero(index < 0)):
             new = [keys[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(new)))
+            distinct = list(dict.fromkeys(new))
+            self._add(distinct, *self.encode(distinct))
             index[missing] = [self.place[p] for p in new]
-        size = self.size[index]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[index] - (ends - size), size) + np.arange(total)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
-        return ids, np.diff(bounds)
+        self.uses += np.bincount(index, minlength=len(self.uses))
+        ends = np.concatenate(([0], np.cumsum(self.size[index])))
+        bounds = ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        return self._gathered(index), np.diff(bounds)

@@ -19,6 +19,7 @@ executor leaves at most an unnamed file.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -190,6 +191,10 @@ class Shard:
 # --- encoding -----------------------------------------------------------------------------------
 
 
+#: A blank and characters that are not white space.
+PLAIN = re.compile(r" \S+")
+
+
 class Encoder:
     """The tokenizers library over new pieces; pieces are joined for one call and told apart by bytes."""
 
@@ -211,19 +216,30 @@ class Encoder:
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Joined are only pieces of a blank and characters that are not white space: between these
         # the tokenizer cuts by itself. The others are encoded one by one.
-        plain = [k for k, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and len(p.split()) == 1 and not p[1].isspace() and not p[-1].isspace() and not any(s in p for s in self.special)]
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if PLAIN.fullmatch(p)]
+        joined = "".join([pieces[k] for k in plain])
+        if any(s in joined for s in self.special):
+            plain, joined = [], ""
+        sizes = np.zeros(len(pieces), np.int64)
+        found = np.zeros(0, np.uint32)
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces[k] for k in plain)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(self.bytes_of[ids])
+            found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.bytes_of[found])
             bounds = np.cumsum([len(pieces[k].encode()) for k in plain])
-            for k, part in zip(plain, np.split(ids, np.searchsorted(ends, bounds[:-1]) + 1), strict=True):
-                parts[k] = part
+            sizes[plain] = np.diff(np.searchsorted(ends, bounds) + 1, prepend=0)
+            if len(plain) == len(pieces):
+                return found, sizes
         chosen = set(plain)
         odd = [k for k in range(len(pieces)) if k not in chosen]
-        for k, e in zip(odd, self.tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False), strict=True):
-            parts[k] = np.array(e.ids, np.uint32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False)]
+        sizes[odd] = [len(ids) for ids in each]
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        single = np.zeros(len(pieces), bool)
+        single[odd] = True
+        alone = np.repeat(single, sizes)
+        out[alone] = [i for ids in each for i in ids]
+        out[~alone] = found
+        return out, sizes
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id, numbers of ids)."""
