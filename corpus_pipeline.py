@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, toxicity
+from tidemark.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
 from tidemark.llm.common import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,6 +18,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal or nearly equal lines the first stays; all documents stay, if need be with an empty text."""
+    return line_dedup.dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents the one with the smallest doc_id stays."""
+    return near_dedup.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up a twentieth or more go."""
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -31,6 +41,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic),
+    ("line_dedup", repeated_lines),
+    ("near_dedup", near_duplicates),
     ("benchmark_decontamination", decontamination),
     ("byte_bpe", byte_bpe),
 ]
