@@ -122,18 +122,19 @@ def _without(text: str, hit: np.ndarray) -> str:
 
 
 def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs (text, any columns) with ``_hits``: packed mask of hit words or null, ``_items``: ids, ``_n``: words.
+    """(row: the document's columns, text, hits: packed mask of hit words or null, items: ids, n: words).
 
-    The three columns hold what all slices of the items (item_id, text) have found together.
+    The last three hold what all slices of the items (item_id, text) have found together.
     """
     spark = docs.sparkSession
     ship(spark)
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
     count = total // SLICE_BYTES + 1
-    # A clash with a column of the documents is told apart by position: the three come last.
-    out = docs.select("*", F.lit(None).cast("binary").alias("_hits"), F.array().cast("array<string>").alias("_items"), F.lit(0).cast("long").alias("_n"))
-    text_at = docs.columns.index("text")
+    out = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text",
+        F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n"),
+    )
     for k in range(count):
         part = items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         windows = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
@@ -141,11 +142,10 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
         def mark(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
             index = Windows(windows.value, n)
             for batch in batches:
-                texts = batch.column(text_at).to_pylist()
+                texts = batch.column(1).to_pylist()
                 for a, b in slices(texts):
                     rows = batch.slice(a, b - a)
-                    width = rows.num_columns
-                    old = zip(rows.column(width - 3).to_pylist(), rows.column(width - 2).to_pylist(), strict=True)
+                    old = zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)
                     hits, ids, counts = [], [], []
                     for text, (mask, listed) in zip(texts[a:b], old, strict=True):
                         before = None if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8)).astype(bool)
@@ -168,7 +168,7 @@ REPORT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", p
 
 def report(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = SHARE) -> DataFrame:
     """One row per document: words, hit words, items found, digest of their ids, verdict."""
-    marked = scan(docs.select("doc_id", "text"), items, n).drop("text")
+    marked = scan(docs.select("doc_id", "text"), items, n).select("row.doc_id", "hits", "items", "n")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,20 +189,18 @@ def report(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = SHAR
 def remove(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = SHARE, spans: bool = False) -> DataFrame:
     """The documents without the contaminated ones; with ``spans``, all documents without their hit words."""
     marked = scan(docs, items, n)
-    text_at, names = docs.columns.index("text"), docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            width = batch.num_columns
-            masks = [None if h is None else np.unpackbits(np.frombuffer(h, np.uint8)) for h in batch.column(width - 3).to_pylist()]
-            rows = pa.RecordBatch.from_arrays(batch.columns[:-3], schema=pa.schema(list(batch.schema)[:-3]))
+            masks = [None if h is None else np.unpackbits(np.frombuffer(h, np.uint8)) for h in batch.column(2).to_pylist()]
             if spans:
-                texts = rows.column(text_at).to_pylist()
-                cut = pa.array([t if m is None else _without(t, m) for t, m in zip(texts, masks, strict=True)], rows.schema.field(text_at).type)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:text_at], cut, *rows.columns[text_at + 1 :]], schema=rows.schema)
+                texts = batch.column(1).to_pylist()
+                cut = pa.array([t if m is None else _without(t, m) for t, m in zip(texts, masks, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), cut], names=["row", "text"])
             else:
-                counts = batch.column(width - 1).to_pylist()
+                counts = batch.column(4).to_pylist()
                 clean = [m is None or share * int(m.sum()) < c for m, c in zip(masks, counts, strict=True)]
-                yield rows.filter(pa.array(clean, pa.bool_()))
+                yield batch.select([0, 1]).filter(pa.array(clean, pa.bool_()))
 
-    return marked.mapInArrow(keep, docs.schema).toDF(*names)
+    kept = marked.mapInArrow(keep, marked.select("row", "text").schema)
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -47,7 +47,7 @@ SLOT = np.dtype([("offset", "<u8"), ("size", "<u4"), ("fingerprint", "<u4")])
 
 def key_hash(ids: np.ndarray, absent: np.ndarray, repeat: np.ndarray) -> np.ndarray:
     """64 bits of (doc_id, whether it is null, which repeat); distinct keys of one id stay distinct."""
-    return mix(mix(ids.astype(np.int64).view(np.uint64)) ^ mix(repeat.astype(np.uint64) * np.uint64(2) + absent.astype(np.uint64)))
+    return mix(mix(ids.astype(np.int64).view(np.uint64)) ^ (repeat.astype(np.uint64) * np.uint64(2) + absent.astype(np.uint64)))
 
 
 class PerfectHash:
