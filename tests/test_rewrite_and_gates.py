@@ -2,6 +2,8 @@ import itertools
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import gates as G, params as P, rewrite as W, specdiff, tiers, usage
 
 
@@ -89,10 +91,13 @@ def test_spec_against_itself_is_empty(spark):
 
 def test_sites_are_deduplicated_across_spellings(spark):
     changes = spark.createDataFrame([("api", "field_removed", "C.x", None, None)], "api string, kind string, path string, from string, to string")
+    # The same path in another API is another field.
     sites = [("Vendor.C.x", "r", "f", 1, 1), ("C.x", "r", "f", 1, 1), ("vendor.C.x", "r", "f", 2, 1), ("C.xy", "r", "f", 3, 1), ("c.x", "r", "f", 4, 1)]
-    u = spark.createDataFrame(sites, "path_key string, repo string, file string, line int, col int")
+    other = [("C.x", "r", "g", 9, 1, "other")]
+    u = spark.createDataFrame([(*s, "api") for s in sites] + other, "path_key string, repo string, file string, line int, col int, api string")
     assert sorted(r.line for r in usage.affected_sites(changes, u, "Vendor").collect()) == [1, 2]
     assert usage.unused_changes(changes, u, "Vendor").count() == 0
+    assert usage.unused_changes(changes.withColumn("api", F.lit("third")), u, "Vendor").count() == 1
 
 
 def test_gate_blocks_truth_table(spark):

@@ -63,7 +63,7 @@ def test_promotion_is_saved_as_new_versions(spark, tmp_path):
         "candidate_id string, deprecated string, excerpt string, content_hash string",
     )
     requests = spark.createDataFrame([(1, "c2"), (2, "c1"), (3, "c2"), (4, "c3"), (5, "nope")], "pos long, candidate_id string")
-    stored = spark.createDataFrame([("b" * 12,)], "doc_key string")
+    stored = spark.createDataFrame([("b" * 64,)], "doc_key string")
     live = catalogs.live_forms(spark.createDataFrame([("new",)], "id string"))
     official = spark.createDataFrame([], "dep_canon string, recommended string")
     out = registry_cycle.promote_and_save(

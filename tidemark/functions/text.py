@@ -70,8 +70,8 @@ def content_hash(text: Column) -> Column:
 
 
 def snapshot_key(hash_: Column) -> Column:
-    """The 12 hex digits a stored document is filed under."""
-    return F.substring(F.regexp_replace(hash_, "^sha256:", ""), 1, 12)
+    """The hex digits a stored document is filed under: all of them, so no two documents share a key."""
+    return F.regexp_replace(hash_, "^sha256:", "")
 
 
 def clamp_excerpt(text: Column, limit: int = C.EXCERPT_MAX_CHARS) -> Column:

@@ -1,87 +1,24 @@
 """Joining a large fact table to a lookup table of unknown size.
 
-``lookup_join`` measures the lookup side first. Within the budget it is
-broadcast, so the facts are never shuffled. Beyond it both sides are shuffled,
-with the keys that hold a large share of the facts salted over many tasks.
-
-Tables of the same order of size are joined with a plain ``join``: measuring
-one would cost as much as the join, and adaptive execution picks the strategy
-and splits skewed partitions from the shuffle's own statistics.
+``lookup_join`` is a plain equality join: adaptive execution sees the lookup's
+real size in the shuffle statistics, broadcasts it if it is below the session's
+threshold and splits skewed partitions otherwise. Nothing runs when the plan is
+built and nothing is kept between queries, so a lookup over a folder that has
+grown is always read anew.
+
+``salted_join`` is for facts known to have keys that hold a large share of the
+rows, where even a split of one shuffle partition would not be enough.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from dataclasses import dataclass
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MB = 1024 * 1024
-
-
-@dataclass(frozen=True)
-class BroadcastBudget:
-    """What may be sent to every executor."""
-
-    max_rows: int = 2_000_000
-    max_bytes: int = 128 * MB
 
-
-DEFAULT_BUDGET = BroadcastBudget()
 HOT_KEY_SLOTS = 512  # a key is hot when it holds more than 1/512 of the rows
 SALT_BUCKETS = 64
 
 
-def _row_bytes(df: DataFrame) -> Column:
-    """Approximate width of a row: string lengths plus 8 bytes per other field."""
-    total = F.lit(16)
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + 8
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 8
-        else:
-            total = total + 8
-    return total
-
-
-KEPT_LOOKUPS = 32
-_kept: deque[DataFrame] = deque()
-
-
-def fits_budget(df: DataFrame, budget: BroadcastBudget = DEFAULT_BUDGET) -> bool:
-    """One distributed aggregate that returns a single row to the driver."""
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
-    return rows <= budget.max_rows and size <= budget.max_bytes
-
-
-def measured(df: DataFrame, budget: BroadcastBudget = DEFAULT_BUDGET) -> tuple[DataFrame, bool]:
-    """(df, fits): a lookup that fits stays cached, so measuring it was its only run.
-
-    What is kept is bounded by the budget and by the number of lookups; a lost
-    block is recomputed from its lineage.
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    fits = fits_budget(df, budget)
-    if not fits:
-        df.unpersist()
-        return df, False
-    _kept.append(df)
-    while len(_kept) > KEPT_LOOKUPS:
-        _kept.popleft().unpersist()
-    return df, True
-
-
-def release_lookups() -> None:
-    """Drop every cached lookup."""
-    while _kept:
-        _kept.popleft().unpersist()
-
-
 def hot_keys(facts: DataFrame, on: list[str], slots: int = HOT_KEY_SLOTS) -> DataFrame:
     """Keys holding more than 1/slots of the rows: fewer than ``slots`` of them."""
     counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
@@ -100,7 +37,9 @@ def salted_join(
     """Shuffle join whose hot keys are spread over ``buckets`` tasks.
 
     Only the hot keys are replicated on the lookup side. Rows with a null key
-    cannot match, so they are spread as well and not sent to one task.
+    cannot match, so they are spread as well and not sent to one task. The salt
+    is a hash of all columns; facts that are equal in all of them should be made
+    distinct or counted first.
     """
     hot = F.broadcast(hot_keys(facts, on, slots).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(buckets)).cast("int")
@@ -123,18 +62,9 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    budget: BroadcastBudget | None = None,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """inner / left / left_semi / left_anti join of facts to a lookup table."""
-    lookup, fits = measured(lookup, budget or DEFAULT_BUDGET)
-    if fits:
-        return facts.join(F.broadcast(lookup), on, how)
-    return salted_join(facts, lookup, on, how)
+    return facts.join(lookup, on, how)
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -16,9 +16,9 @@ def accesses(chains: DataFrame) -> DataFrame:
 
 
 def locations(usage: DataFrame, root: str) -> DataFrame:
-    """Distinct (repo, path, file, line, col) with the root prefix removed."""
+    """Distinct (repo, api, path, file, line, col) with the root prefix removed."""
     return usage.select(
-        "repo", strip_root(F.col("path_key"), root).alias("path"), "file", "line", "col"
+        "repo", "api", strip_root(F.col("path_key"), root).alias("path"), "file", "line", "col"
     ).distinct()
 
 
@@ -32,20 +32,19 @@ def summary(usage: DataFrame) -> DataFrame:
 
 
 def affected_sites(changes: DataFrame, usage: DataFrame, root: str) -> DataFrame:
-    """Every distinct site of every change a repository uses."""
+    """Every distinct site of every change a repository uses; a path belongs to its API."""
     target = changes.select(
         strip_root(F.col("path"), root).alias("path"), "api", "kind", "from", "to"
     )
-    return lookup_join(locations(usage, root), target, ["path"], "inner")
+    return lookup_join(locations(usage, root), target, ["api", "path"], "inner")
 
 
 def unused_changes(changes: DataFrame, usage: DataFrame, root: str) -> DataFrame:
     """Changes no repository uses."""
     keyed = changes.withColumn("_path", strip_root(F.col("path"), root))
-    touched = usage.select(strip_root(F.col("path_key"), root).alias("_path"))
-    # Only paths of a change can matter, so the usage shrinks before it is shuffled.
-    used = lookup_join(touched, keyed.select("_path").distinct(), ["_path"], "left_semi").distinct()
-    return keyed.join(used, "_path", "left_anti").drop("_path")
+    # Distinct first: each task passes on a path once, so a path that everybody uses is no hot key.
+    used = usage.select("api", strip_root(F.col("path_key"), root).alias("_path")).distinct()
+    return keyed.join(used, ["api", "_path"], "left_anti").drop("_path")
 
 
 def impact(sites: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import content_hash, normalize_for_hash
 from ..operators import discovery, documents
-from ..operators.joins import fits_budget
 from ..plans import code_scan
 
 
@@ -86,14 +85,14 @@ def discovery_stream(
     event_time: str = "retrieved_at",
     watermark: str = "30 days",
 ) -> DataFrame:
-    """Each new identifier once. State is bounded by the watermark; the registry
-    and the queue are the long-term memory, so expiry proposes nothing twice."""
+    """Each new identifier once within the watermark, which bounds the state.
+
+    The registry and the queue are read when the stream starts; an id that comes
+    back later than the watermark is proposed again unless it is in them by then.
+    """
     timed = pages.withWatermark(event_time, watermark)
     fresh = discovery.propose(discovery.readable_rows(timed, patterns), run_date)
-    known = discovery.known_ids(registry, queue)
-    if fits_budget(known):
-        known = F.broadcast(known)
-    fresh = fresh.join(known, "canon", "left_anti")
+    fresh = fresh.join(discovery.known_ids(registry, queue), "canon", "left_anti")
     return fresh.dropDuplicatesWithinWatermark(["canon"]).select(
         "canon", "candidate_id", "provider", "deprecated", "replacement", event_time
     )

@@ -115,8 +115,8 @@ from {customer} where c_custkey%7<>0 and c_custkey%14=1 and c_custkey%31<>0
 """
 
 SQL["stored_docs"] = """
-select distinct substr($SHA[concat('doc',c_custkey%40)],1,12) as doc_key from {customer} where c_custkey%40<>10
-union select distinct substr($SHA[concat('extra',c_custkey%13)],1,12) from {customer} where c_custkey%13<>5
+select distinct $SHA[concat('doc',c_custkey%40)] as doc_key from {customer} where c_custkey%40<>10
+union select distinct $SHA[concat('extra',c_custkey%13)] from {customer} where c_custkey%13<>5
 """
 
 SQL["requests"] = """
@@ -189,8 +189,9 @@ select concat('api',k%5), 'B', doc, k from (
 SQL["usage"] = """
 select concat(case when l_suppkey%2=0 then 'API.' when l_suppkey%3=0 then 'Api.' else '' end,'S',case when l_orderkey%3=0 then 0 else l_partkey end,
  case l_orderkey%5 when 0 then '.card.name' when 1 then '.legacy' when 2 then '.status' when 3 then '.amount' else '.card.addr.zip' end) as path_key,
+ concat('api',case when l_suppkey%7=0 then l_partkey+1 when l_orderkey%3=0 then 0 else l_partkey end%5) as api,
  concat('r',l_suppkey) as repo, concat('src/f',l_orderkey%997,'.ts') as file, l_orderkey%500 as line, l_linenumber as col
-from {lineitem} where l_partkey%3<>0
+from {lineitem}
 """
 
 SQL["literal_facts"] = """

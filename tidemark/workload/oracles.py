@@ -254,7 +254,7 @@ select candidate_id, verdict as v_status, off_ok as v_official, verdict='verifie
 # --- claims and promotion ----------------------------------------------------
 
 CLAIM = f"""
-refs as (select e.*, substr(replace(content_hash,'sha256:',''),1,12) as k from evidence_refs e),
+refs as (select e.*, replace(content_hash,'sha256:','') as k from evidence_refs e),
 marked as (select r.*, exists(select 1 from stored_docs s where s.doc_key=r.k) as backed,
   coalesce(contains(replace(lower(excerpt),'.','-'), replace(lower(deprecated),'.','-')) or contains(replace(lower(excerpt),'.','-'), {canon('deprecated')}),false) as quoting from refs r),
 summary as (select candidate_id, count(*) as refs, count(*) filter (not backed) as unbacked, count(*) filter (quoting) as quoting from marked group by 1),
@@ -271,7 +271,7 @@ oracle("claim_check", "candidates evidence_refs stored_docs catalog_raw official
 select candidate_id, unbacked, array_to_string(claim_reasons,'|') as claim_reasons from claims
 """)
 oracle("unbacked_evidence", "evidence_refs stored_docs", """
-x as (select *, substr(replace(content_hash,'sha256:',''),1,12) as k from evidence_refs)
+x as (select *, replace(content_hash,'sha256:','') as k from evidence_refs)
 select candidate_id, content_hash from x where k not in (select doc_key from stored_docs)
 """)
 
@@ -381,7 +381,7 @@ n as (select *, {FLAT.format(x="regexp_replace(regexp_replace(text,'(?is)<script
 h as (select url, retrieved_at, text, 'sha256:'||sha256(flat) as content_hash from n)
 """
 oracle("doc_hash", "captures", HASHED + f"""
-select url, retrieved_at, content_hash, substr(content_hash,8,12) as doc_key, case when length({FLAT.format(x='text')})>240 then left({FLAT.format(x='text')},237)||'...' else {FLAT.format(x='text')} end as excerpt from h
+select url, retrieved_at, content_hash, substr(content_hash,8) as doc_key, case when length({FLAT.format(x='text')})>240 then left({FLAT.format(x='text')},237)||'...' else {FLAT.format(x='text')} end as excerpt from h
 """)
 DRIFT = HASHED.rstrip() + """,
 d as (select url, retrieved_at, content_hash, lag(content_hash) over (partition by url order by retrieved_at) as previous_hash from h)
@@ -401,7 +401,7 @@ select candidate_id, content_hash, retrieved_at, coalesce(timestamp '2025-07-01'
 """)
 oracle("doc_store", "captures", HASHED.rstrip() + """,
 r as (select *, row_number() over (partition by content_hash order by retrieved_at, url) as rn from h)
-select substr(content_hash,8,12) as doc_key, url, retrieved_at from r where rn=1
+select substr(content_hash,8) as doc_key, url, retrieved_at from r where rn=1
 """)
 
 # --- specs and usage ---------------------------------------------------------
@@ -459,11 +459,11 @@ d as (select distinct repo, array_to_string(string_split(path_key,'.')[1:n],'.')
 select repo, count(distinct p) as paths, count(*) as sites from d group by 1
 """)
 SITES = DIFF.rstrip() + """,
-u as (select distinct repo, regexp_replace(path_key,'^(?i:Api)[.]','') as path, file, line, col from usage),
-sites as (select u.*, c.api, c.kind, c."from", c."to" from u join changes c using (path))
+u as (select distinct repo, api, regexp_replace(path_key,'^(?i:Api)[.]','') as path, file, line, col from usage),
+sites as (select u.*, c.kind, c."from", c."to" from u join changes c using (api, path))
 """
 oracle("affected_sites", "spec_docs usage", SITES + "select * from sites")
-oracle("unused_changes", "spec_docs usage", SITES + "select api, kind, path from changes where path not in (select path from u)")
+oracle("unused_changes", "spec_docs usage", SITES + "select api, kind, path from changes c where not exists (select 1 from u where u.api=c.api and u.path=c.path)")
 oracle("spec_usage_impact", "spec_docs usage", SITES + """
 select repo, kind, count(distinct api||path) as changes, count(*) as sites, kind='field_rename' as auto_fix from sites group by 1,2
 """)

@@ -596,9 +596,10 @@ def rename_fix(spark, sf):
         F.concat(prefix, F.lit("name;\nlog(v.name);\n")).alias("text"),
         F.length(prefix).cast("bigint").alias("start"),
         F.concat(F.lit("S"), F.col("p_partkey"), F.lit(".card.name")).alias("path_key"),
+        F.concat(F.lit("api"), F.col("p_partkey") % 5).alias("api"),
     )
     changes = specdiff.spec_diff(fixture(spark, sf, "spec_docs"))
-    used = files.select("repo", F.col("path").alias("file"), F.lit(1).alias("line"), "start", "path_key", F.col("start").alias("col"))
+    used = files.select("repo", F.col("path").alias("file"), F.lit(1).alias("line"), "start", "api", "path_key", F.col("start").alias("col"))
     hits = usage.rename_targets(changes, used, ROOT)
     edits = rewrite.rename_edits(
         hits.select("repo", F.col("file").alias("path"), F.col("col").alias("start"),
