@@ -95,7 +95,7 @@ def test_clamp_and_clip(spark):
     assert one(spark, text.clamp_excerpt, "x" * 240) == "x" * 240
     assert one(spark, text.clamp_excerpt, "x" * 241) == "x" * 237 + "..."
     clipped = one(spark, lambda c: text.clip_log(c, 10), "abcdefghijkl")
-    assert clipped == "abcde\n... [truncated 2 chars] ...\nhijkl"
+    assert clipped == "abcde\n<< 2 characters left out >>\nhijkl"
 
 
 def test_requote(spark):

@@ -88,9 +88,9 @@ def clip_log(text: Column, limit: int = C.LOG_MAX_CHARS) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(
         F.concat(
             F.substring(text, 1, half),
-            F.lit("\n... [truncated "),
+            F.lit("\n<< "),
             dropped,
-            F.lit(" chars] ...\n"),
+            F.lit(" characters left out >>\n"),
             F.right(text, F.lit(half)),
         )
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import dates, ids
-from ..functions.text import cell_text, clamp_excerpt, content_hash, normalize_for_hash
+from ..functions.text import cell_text, collapse_ws, content_hash, normalize_for_hash
 from .joins import first_by, lookup_join
 
 _CELL = r"(?is)<t[dh][^>]*>.*?</t[dh]>"
@@ -135,7 +135,7 @@ def table_rows(
         *keep,
         "table_no",
         F.col("_x.n").alias("row_no"),
-        clamp_excerpt(F.array_join(F.col("_x.c"), " | ")).alias("row_text"),
+        collapse_ws(F.array_join(F.col("_x.c"), " | ")).alias("row_text"),
         F.when(read, dep).alias("deprecated"),
         F.when(read, rep).alias("replacement"),
         F.when(read, when_).alias("shutdown_date"),

@@ -163,13 +163,7 @@ def transition(
             "reasons",
             merge_reasons(
                 F.col("verdict_reasons"),
-                F.array(
-                    F.concat(
-                        F.lit("claim for "),
-                        F.col("deprecated"),
-                        F.lit(" is self-consistent and quote-backed; the retirement itself was not confirmed"),
-                    )
-                ),
+                F.array(F.concat(F.lit("claim_only:"), F.col("deprecated"))),
             ),
         )
     )

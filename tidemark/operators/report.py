@@ -19,11 +19,11 @@ REASON_TEXT = {
 }
 USAGE_VERDICT = {"replacement_unverified": "confirmed"}
 PURPOSE_TEXT = {
-    "comparison": "in a runtime comparison",
-    "lookup_key": "used as a lookup key",
-    "list_entry": "used as a list entry",
-    "catalog_entry": "used as a catalog entry",
-    "generic": "used as data",
+    "comparison": "compared with another value",
+    "lookup_key": "key of a map or table",
+    "list_entry": "one of several values in a list",
+    "catalog_entry": "entry of a model catalog",
+    "generic": "plain value",
 }
 TIER_TEXT = {"A": "auto-fixable", "B": "review required", "C": "informational"}
 STATE_TEXT = {
@@ -70,7 +70,7 @@ def sections(occ: DataFrame) -> dict[str, DataFrame]:
     """Report sections: the findings, their counts, evidence and swap labels."""
     return {
         "findings": described(occ),
-        "counts": T.rollup(occ).where("level <= 3"),
+        "counts": T.rollup(occ),
         "unique": T.unique_occurrences(occ),
         "evidence": T.patch_evidence(occ),
         "swaps": T.swap_labels(occ),

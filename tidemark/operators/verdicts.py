@@ -159,12 +159,13 @@ def audit(restamped: DataFrame) -> DataFrame:
     )
 
 
-def chain_ends(official: DataFrame, max_rounds: int = 40) -> DataFrame:
+def chain_ends(official: DataFrame) -> DataFrame:
     """(dep_canon, hops, final, cyclic): where a chain of recommendations ends.
 
     Pointer doubling: each round squares the distance covered, so a chain of n
-    records takes log2(n) joins. Every round is written to the shared folder,
-    which cuts the lineage and survives the loss of executors.
+    records takes log2(n) joins. Only chains that are still open are joined, so
+    an end that many chains share is no hot key. Every round is written to the
+    shared folder, which cuts the lineage and survives the loss of executors.
     """
     spark = official.sparkSession
     edges = official.groupBy("dep_canon").agg(
@@ -177,7 +178,7 @@ def chain_ends(official: DataFrame, max_rounds: int = 40) -> DataFrame:
         "dep_canon", "next", F.lit(1).cast("bigint").alias("hops"), F.coalesce("_more", F.lit(False)).alias("open")
     )
     open_before = -1
-    for _ in range(max_rounds):
+    while True:
         path = shared_path(spark, "chains")
         step.write.parquet(path)
         step = spark.read.parquet(path)
@@ -193,14 +194,14 @@ def chain_ends(official: DataFrame, max_rounds: int = 40) -> DataFrame:
             F.col("hops").alias("_hops"),
             F.col("open").alias("_open"),
         )
-        step = step.join(ahead, "next", "left")
-        go = F.col("open") & F.col("_next").isNotNull()
-        step = step.select(
+        # An open chain stands at a key, so it always finds the next stretch.
+        longer = step.where("open").join(ahead, "next").select(
             "dep_canon",
-            F.when(go, F.col("_next")).otherwise(F.col("next")).alias("next"),
-            F.when(go, F.col("hops") + F.col("_hops")).otherwise(F.col("hops")).alias("hops"),
-            F.when(go, F.col("_open")).otherwise(F.col("open")).alias("open"),
+            F.col("_next").alias("next"),
+            (F.col("hops") + F.col("_hops")).alias("hops"),
+            F.col("_open").alias("open"),
         )
+        step = step.where("not open").select("dep_canon", "next", "hops", "open").union(longer)
     return step.select(
         "dep_canon",
         F.when(~F.col("open"), F.col("hops")).alias("hops"),

@@ -758,7 +758,7 @@ select event_id, case when p='' and f='' then null when p='' then 0 else p::bigi
 """)
 oracle("clipped_logs", "", """
 x as (select doc_id, text from documents)
-select doc_id, case when length(text)<=400 then text else left(text,200)||chr(10)||'... [truncated '||(length(text)-400)||' chars] ...'||chr(10)||right(text,200) end as log from x
+select doc_id, case when length(text)<=400 then text else left(text,200)||chr(10)||'<< '||(length(text)-400)||' characters left out >>'||chr(10)||right(text,200) end as log from x
 """)
 
 # --- streaming ---------------------------------------------------------------

@@ -354,12 +354,14 @@ def doc_snapshots(spark, sf):
 
 @query
 def doc_store(spark, sf):
-    """Append captures to a document store twice; the second batch adds nothing."""
+    """Append growing sets of captures to a document store; each hash is stored once."""
     captured = fixture(spark, sf, "captures")
     root = shared_path(spark, "store")
     quotes = spark.createDataFrame([], "doc_key string, excerpt string")
-    store.append_documents(captured, quotes, spark.createDataFrame([], store.DOCUMENT), root, 0)
-    store.append_documents(captured, quotes, store.stored_documents(spark, root), root, 1)
+    known = spark.createDataFrame([], store.DOCUMENT)
+    for batch, version in enumerate((1, 2, 4, 4)):
+        store.append_documents(captured.where(F.col("v") <= version), quotes, known, root, batch)
+        known = store.stored_documents(spark, root)
     return store.stored_documents(spark, root).select("doc_key", "url", "retrieved_at")
 
 
