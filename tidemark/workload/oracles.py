@@ -590,10 +590,11 @@ fk as (select *, row_number() over (partition by repo, path, obj_id, key order b
 m as (select * from fk where rn=1 and key='model' and key_kind in ('property','shorthand')),
 p as (select * from fk where rn=1 and key<>'model' and key_kind='property'),
 c as (select * from (select *, row_number() over (partition by repo, path, ident order by literal_start) as rn from const_bindings) where rn=1),
-r as (select m.repo, m.path, m.obj_id, coalesce(m.value_literal, c.literal) as model from m left join c on c.repo=m.repo and c.path=m.path and c.ident=case when m.key_kind='shorthand' then 'model' else m.value_ident end)
-select r.repo, r.path, r.obj_id, r.model, p.key as param, g.kind, g.replacement as new_name, g.ord as entry_ord
-from r join p using (repo, path, obj_id) join registry_params g on g.param=p.key
-where len(list_filter(string_split(g.on_models,','), lambda v: r.model=v or starts_with(r.model, v||'-')))>0
+r as (select m.repo, m.path, m.obj_id, coalesce(m.value_literal, c.literal) as model from m left join c on c.repo=m.repo and c.path=m.path and c.ident=case when m.key_kind='shorthand' then 'model' else m.value_ident end),
+s as (select r.*, p.key as param, unnest(list_transform(range(1, len(string_split(r.model,'-'))+1), lambda i: array_to_string(string_split(r.model,'-')[1:i],'-'))) as family
+ from r join p using (repo, path, obj_id)),
+f as (select ord, kind, param, replacement, unnest(string_split(on_models,',')) as family from registry_params)
+select distinct repo, path, obj_id, model, param, f.kind, f.replacement as new_name, f.ord as entry_ord from s join f using (param, family)
 """)
 oracle("family_matches", "option_objects registry_params", """
 m as (select distinct value_literal as model from option_objects where key='model' and value_literal is not null),
