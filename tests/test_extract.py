@@ -153,3 +153,25 @@ def test_scan_function(spark):
     X.register_scan_function(spark)
     got = spark.sql("select s.value from values ('m = \"q\"') as f(text), lateral scan_literals(f.text) s").collect()
     assert [r.value for r in got] == ["q"]
+
+
+def test_regular_expressions_hold_no_strings(spark):
+    text = """const a = s.replace(/"/g, ""); create({ model: "m1" });
+const b = s.split(/'/), c = x / y / z; create({ model: 'm2' });
+const d = [/[/"]\\"/, "e"]; if (/^"$/.test(s)) create({ model: "m3" });
+"""
+    rows = spark.createDataFrame([("r", "a.ts", "ts", text)], "repo string, path string, lang string, text string")
+    found = {(r.value, r.enclosure) for r in X.literals(X.token_structure(rows)).collect()}
+    assert {("m1", "property_value"), ("m2", "property_value"), ("m3", "property_value"), ("e", "array_element")} <= found
+    assert {v for v, _ in found} == {"", "m1", "m2", "m3", "e"}
+
+
+def test_cast_compares_the_whole_type(spark):
+    text = """create({ model: "m1" as string });
+create({ model: "m2" as string | undefined });
+create({ model: "m3" as Model[] });
+create({ model: "m4" as ns.Id, other: 1 });
+"""
+    rows = spark.createDataFrame([("r", "a.ts", "ts", text)], "repo string, path string, lang string, text string")
+    found = {r.value: r.cast_type for r in X.literals(X.token_structure(rows)).collect()}
+    assert found == {"m1": "string", "m2": "string|", "m3": "Model[", "m4": "ns."}

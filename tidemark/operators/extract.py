@@ -20,8 +20,13 @@ from .. import config as C
 _DQ = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 _SQ = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _WORD = r"[A-Za-z_$][\w$]*+|\d[\w.]*+"
+# A slash where a value is due begins a regular expression, whose quotes are no strings.
+_REGEX = (
+    r"(?<=[=(,:\[!&|?{;]|[=(,:\[!&|?{;] |return )/(?![*/])"
+    r"[^/\\\n\[]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+)*+\])[^/\\\n\[]*+)*+/[a-z]*+"
+)
 TS_TOKEN = (
-    rf"//[^\n]*+|/\*(?s:.*?)\*/|{_DQ}|{_SQ}|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`|{_WORD}"
+    rf"//[^\n]*+|/\*(?s:.*?)\*/|{_REGEX}|{_DQ}|{_SQ}|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`|{_WORD}"
     r"|=>|===|!==|==|!=|\?\?|\?\.|\|\||&&|\.\.\.|[^\s\w]"
 )
 PY_TOKEN = (
@@ -139,7 +144,7 @@ def token_structure(files: DataFrame) -> DataFrame:
     rows = rows.where(~((tok == "\n") & (F.col("level") > 0)))
     for n in (1, 2, 3, 4):
         rows = rows.withColumn(f"p{n}", F.lag("tok", n).over(order))
-    for n in (1, 2, 3):
+    for n in (1, 2, 3, 4):
         rows = rows.withColumn(f"n{n}", F.lead("tok", n).over(order))
     p1, p2 = F.col("p1"), F.col("p2")
     operand = (_is_word(p1) & ~p1.isin(*_NOT_OPERANDS)) | F.coalesce(p1.isin(")", "]"), F.lit(False))
@@ -242,7 +247,11 @@ def literals(structure: DataFrame) -> DataFrame:
     )
     raw = _content(tok)
     width = (F.length(tok) - F.length(raw)) / 2
-    cast = F.when(n1 == "as", F.col("n2")).when((n1 == ")") & (F.col("n2") == "as"), F.col("n3"))
+    # A type that goes on behind its first name is not that name: ``as string | undefined``.
+    named = lambda name, more: F.when(more.isin("|", "&", "[", "<", "."), F.concat(name, more)).otherwise(name)
+    cast = F.when(n1 == "as", named(F.col("n2"), F.coalesce("n3", F.lit("")))).when(
+        (n1 == ")") & (F.col("n2") == "as"), named(F.col("n3"), F.coalesce("n4", F.lit("")))
+    )
     return rows.withColumn("enclosure", enclosure).select(
         *FILE,
         "lang",
