@@ -20,6 +20,65 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"[^\x20\x09-\x0D]+"
+
+# Shingles that two sets share are counted by a join; components follow links step by step.
+NEAR_DEDUP = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) AS component_id,
+       w.doc_id <= coalesce(b, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON a = w.doc_id
+"""
+
+SUBSTRINGS = f"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents
+), windows AS (
+  SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)
+), again AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1
+), gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM windows JOIN again USING (win)
+), each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w
+), kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM each ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+BENCHMARK_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DECONTAMINATION = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BENCHMARK_WORDS}') AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BENCHMARK_WORDS}') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)
+), hits AS (SELECT r, size, i, item FROM dw JOIN bw USING (size, win)
+), places AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + size)) FROM hits) GROUP BY r
+), items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": NEAR_DEDUP,
     "op2_top_k": TOP_K,
+    "op4_substring_dedup": SUBSTRINGS,
+    "op6_decontaminate": DECONTAMINATION,
 }
