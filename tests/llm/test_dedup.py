@@ -201,7 +201,7 @@ def deduplicated(rows, edits=2, shortest=24):
     return sorted(((d, sizes[d], len(gone[d]), hashlib.sha256(kept[d].encode()).hexdigest()) for d, _ in rows), key=repr)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [32, 1])
 def test_lines(frame, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "BLOCK", 4)

@@ -48,12 +48,12 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about SLICE_CHARS characters each; a longer text is a range of its own."""
+def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many characters each; a longer text is a range of its own."""
     start = size = 0
     for i, text in enumerate(texts):
         n = len(text) if text else 0
-        if size and size + n > SLICE_CHARS:
+        if size and size + n > chars:
             yield start, i
             start, size = i, 0
         size += n

@@ -35,10 +35,12 @@ from .components import components
 EDITS = 2
 SHORTEST = 24
 #: Lines under one key that are paired at once; more are compared in blocks.
-HOT = 256
+HOT = 32
 BLOCK = 2048
 #: Documents that may be picked by a broadcast of their keys (24 bytes each).
 PICKED = 400_000
+#: Characters of text whose lines are hashed together.
+SLICE = 400_000
 #: Line hashes a task remembers so as not to emit a line twice.
 REMEMBERED = 500_000
 
@@ -225,19 +227,23 @@ def _lines(hashed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_id, h1, h2, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in slices(texts):
-                out: list[list] = [[] for _ in LINES]
-                for k in range(a, b):
-                    lines, starts, codes = split_lines(texts[k])
-                    full = [i for i, s in enumerate(lines) if s and not s.isspace()]
-                    if not full:
-                        continue
-                    sizes = _sizes(starts, codes)
-                    ids, ids2 = line_ids([lines[i] for i in full])
-                    values = ([doc_id[k]] * len(full), [h1[k]] * len(full), [h2[k]] * len(full), full, ids, ids2, sizes[full], parities(codes, starts, sizes)[full].view(np.int64))
-                    for column, v in zip(out, values, strict=True):
-                        column.extend(v)
-                yield arrow(dict(zip(LINES.names, out, strict=True)), LINES)
+            for a, b in slices(texts, SLICE):
+                # All texts of a slice at once: a line break between two texts adds no line.
+                lines, starts, codes = split_lines("\n".join(texts[a:b]))
+                sizes = _sizes(starts, codes)
+                counts = np.array([t.count("\n") + 1 for t in texts[a:b]])
+                doc = np.repeat(np.arange(a, b), counts)
+                place = np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts)
+                full = np.array([i for i, s in enumerate(lines) if s and not s.isspace()], np.int64)
+                ids, ids2 = line_ids([lines[i] for i in full.tolist()])
+                owners = doc[full].tolist()
+                yield arrow(
+                    {
+                        "doc_id": [doc_id[k] for k in owners], "h1": [h1[k] for k in owners], "h2": [h2[k] for k in owners], "place": place[full],
+                        "id": ids, "id2": ids2, "size": sizes[full], "parity": parities(codes, starts, sizes)[full].view(np.int64),
+                    },
+                    LINES,
+                )
 
     return hashed.select("doc_id", "h1", "h2", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, place int, id long, id2 long, size int, parity long")
 
@@ -252,27 +258,20 @@ def _keyed(hashed: DataFrame, edits: int, shortest: int) -> DataFrame:
         known: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                rows, ids = [], []
-                for text in texts[a:b]:
-                    lines, starts, codes = split_lines(text)
-                    sizes = _sizes(starts, codes)
-                    long = np.flatnonzero(sizes >= shortest).tolist()
-                    if not long:
-                        continue
-                    found = line_ids([lines[i] for i in long])[0].tolist()
-                    new = []
-                    for i, x in zip(long, found, strict=True):
-                        if x not in known and lines[i].strip():
-                            known.add(x)
-                            new.append(i)
-                            ids.append(x)
-                    if new:
-                        rows.append(np.concatenate(keys(codes, starts[new], sizes[new], edits), axis=1))
+            for a, b in slices(texts, SLICE):
+                lines, starts, codes = split_lines("\n".join(texts[a:b]))
+                sizes = _sizes(starts, codes)
+                long = np.flatnonzero(sizes >= shortest)
+                new, ids = [], []
+                for i, x in zip(long.tolist(), line_ids([lines[i] for i in long.tolist()])[0].tolist(), strict=True):
+                    if x not in known and not lines[i].isspace():
+                        known.add(x)
+                        new.append(i)
+                        ids.append(x)
                 if len(known) > REMEMBERED:
                     known.clear()
-                if rows:
-                    flat = np.concatenate(rows)
+                if new:
+                    flat = np.concatenate(keys(codes, starts[new], sizes[new], edits), axis=1)
                     offsets = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
                     lists = pa.ListArray.from_arrays(offsets, pa.array(flat.ravel().view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], schema=KEYS)
