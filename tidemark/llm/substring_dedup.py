@@ -32,8 +32,9 @@ from .common import WordHash, arrow, durable, mix, ship, slices, window_hashes,
 WINDOW = 35
 #: Words of the run by which suffixes are grouped.
 PREFIX = 8
-#: Suffix rows that a group may have before its prefix is lengthened to the whole window.
-HOT = 4096
+#: Segments that a group may have before its prefix is lengthened to the whole window: with some
+#: 50 words each, what one Python worker names in about 200 MB.
+HOT = 32_768
 #: Words that are named together.
 STEP = 300_000
 #: Texts that may be picked by a broadcast of their hashes (12 bytes each).
@@ -153,7 +154,7 @@ def _segments(chosen: DataFrame) -> DataFrame:
 def repeated_windows(segments: list[list[bytes]], window: int = WINDOW) -> list[np.ndarray]:
     """Per segment, which of its windows occur more than once in all the segments: leaves of deep nodes."""
     code: dict[bytes, int] = {}
-    sizes = np.array([len(s) for s in segments])
+    sizes = np.array([len(s) for s in segments], np.int64)
     name = np.array([code.setdefault(w, len(code)) for s in segments for w in s], np.int64)
     end = np.repeat(np.cumsum(sizes), sizes)
     at = np.arange(len(name))
@@ -182,11 +183,15 @@ def _subtrees(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        distinct: dict[bytes, int] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            out = []
-            for (_, h1, h2, start, _), deep in zip(held, repeated_windows([s for *_, s in held]), strict=True):
+            # Equal segments are one branch of the tree; where it has several leaves, all their windows repeat.
+            out, leaves = [], np.bincount([k for *_, k in held])
+            deep_of = repeated_windows([s.split() for s in distinct])
+            for _, h1, h2, start, k in held:
+                deep = np.ones_like(deep_of[k]) if leaves[k] > 1 else deep_of[k]
                 edge = np.diff(np.concatenate(([0], deep.astype(np.int8), [0])))
                 for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
                     out.append((h1, h2, start + a, start + b + WINDOW - 1))
@@ -198,10 +203,10 @@ def _subtrees(segments: DataFrame) -> DataFrame:
                 # Rows come sorted by key: a group is complete when the key changes.
                 if size > STEP and held[-1][0] != row[0]:
                     yield flush()
-                    held, size = [], 0
-                found = row[4].split()
-                held.append((*row[:4], found))
-                size += len(found)
+                    held, distinct, size = [], {}, 0
+                before = len(distinct)
+                held.append((*row[:4], distinct.setdefault(row[4], before)))
+                size += 1 if len(distinct) == before else row[4].count(b" ") + 1
         if held:
             yield flush()
 
@@ -295,5 +300,5 @@ def dedup(docs: DataFrame) -> DataFrame:
                 out.append(None if row["text"] is None else b" ".join(kept).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "kept"])
 
-    cut_rows = joined.mapInArrow(cut, joined.select("row").withColumn("kept", F.lit("").cast("string")).schema)
+    cut_rows = joined.mapInArrow(cut, joined.select("row").withColumn("kept", F.lit(None).cast("string")).schema)
     return cut_rows.select(*(F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
