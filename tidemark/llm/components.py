@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by union-find in tasks and star contraction between them."""
+"""Connected components of a table of links: union-find in tasks, hooking and pointer jumping between them."""
 
 from __future__ import annotations
 
@@ -61,35 +61,30 @@ def forest(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over links with a < b."""
-    both = links.union(links.select("b", "a"))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    # Large star: neighbours above a node go to the smallest in its neighbourhood.
-    large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").union(
-        low.where("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    ).distinct()
-    # Small star: a node and its neighbours below it go to the smallest of these.
-    down = large.select(F.col("b").alias("x"), F.col("a").alias("y"))
-    least = down.groupBy("x").agg(F.min("y").alias("m"))
-    small = down.join(least, "x").where("y <> m").select(F.col("m").alias("a"), F.col("y").alias("b"))
-    return small.union(least.select(F.col("m").alias("a"), F.col("x").alias("b"))).distinct()
+def _step(links: DataFrame) -> DataFrame:
+    """Every node keeps its least parent, passes that on to its other parents, and looks one step further up."""
+    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    others = links.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    above = least.select(F.col("b").alias("m"), F.col("m").alias("top"))
+    up = least.join(above, "m", "left").select(F.coalesce("top", "m").alias("a"), "b")
+    return up.union(others).distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node of the links (a, b), the smallest node that it reaches.
 
-    Links of a node with itself and nulls are ignored.  Runs until every node hangs on its
-    component directly, however many steps that takes.
+    Links of a node with itself and nulls are ignored.  Runs until a step changes nothing: then every
+    node hangs on its component directly.
     """
     ordered = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    current = durable(forest(ordered).distinct(), "components")
-    while True:
-        # Done when no parent has a parent and no node has two.
-        inner = current.select(F.col("b").alias("a")).join(current.select("a"), "a", "left_semi").limit(1).count()
-        double = current.groupBy("b").count().where("count > 1").limit(1).count()
-        if not inner and not double:
-            break
-        current = durable(forest(_stars(current)).distinct(), "components")
+    current = durable(forest(ordered), "components")
+    before, now = None, _state(current)
+    while now[0] and now != before:
+        current = durable(_step(current), "components")
+        before, now = now, _state(current)
     roots = current.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
     return current.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)

@@ -7,10 +7,11 @@ one random permutation of the registers, rank by rank, and stops once all regist
 ``REGISTERS`` of them in bands of ``ROWS`` miss a pair at 0.8 about once in twenty million.
 
 Equal sets are collapsed first, so groups of copies cost nothing beyond.  In each bucket the members
-are then verified against a leader, components are formed, and further leaders follow while that
-joins components; at last all pairs of a bucket whose members still are in different components are
-compared by sketch, in blocks where a bucket is large, and verified on full sets.  So no bucket is
-expanded into all its pairs, and no candidate pair between different components is left out.
+are then verified against a leader, components are formed, and further leaders follow while they
+settle most of what is open; at last the pairs of a bucket whose members still are in different
+components are compared: in small buckets by sketch and then on full sets, in large ones on full
+sets at once, block by block, by products of incidence matrices.  So no large bucket is expanded
+into its pairs, and no candidate pair between different components is left out.
 
 Null and empty texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one
 document for links and components.  Rows without a doc_id have a null component and are linked with
@@ -28,22 +29,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, arrow, durable, lower_words, mix, ship, slices, window_hashes
-from .components import components
+from .components import UnionFind, components
 
 REGISTERS, ROWS = 128, 4
 #: Least similarity, in per cent.
 THRESHOLD = 80
-#: Pairs whose sketches agree on less than this share can't reach 0.8 but for a chance of some 1e-9.
-ESTIMATE = 0.6
+#: Pairs whose sketches agree on less than this share can't reach 0.8 but for a chance of some 1e-9:
+#: at 0.8 the agreement of 128 registers has a standard deviation of 0.023.
+ESTIMATE = 0.66
 #: Shingles whose signatures are computed together.
 STEP = 1 << 15
 #: Buckets of at most so many members are joined with themselves; larger ones are compared in blocks.
 SMALL = 64
 BLOCK = 1024
+#: Shared shingles that one matrix product of a block covers.
+COLUMNS = 4096
 #: doc_ids that may be broadcast to pick texts (8 bytes each).
 PICKED = 200_000
 #: Further leaders follow while buckets hold more open pairs than this many per document.
-OPEN = 8
+OPEN = 1
 
 
 def shingles(words: list[bytes], width: int, hashes: WordHash) -> np.ndarray:
@@ -55,7 +59,7 @@ def shingles(words: list[bytes], width: int, hashes: WordHash) -> np.ndarray:
 
 def signatures(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
     """One row of registers per non-empty set; equal registers mean the same shingle at the same rank."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     out = np.full((len(sets), registers), np.uint64(0xFFFFFFFFFFFFFFFF))
     owner = np.repeat(np.arange(len(sets)), sizes)
     codes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -90,7 +94,7 @@ def signatures(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray
 
 def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """Keys of the bands; those of different bands differ."""
-    parts = signature.reshape(len(signature), -1, rows)
+    parts = signature.reshape(len(signature), signature.shape[1] // rows, rows)
     out = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(rows):
         out = mix(out ^ parts[:, :, k])
@@ -160,8 +164,8 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles): the packed full sets of the documents with these doc_ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -171,6 +175,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) ->
                 found = [shingles(lower_words(t), width, hashes).tobytes() for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
+    ids = durable(ids, "near-ids")
+    if ids.count() <= PICKED:
+        ids = F.broadcast(ids)
+    return durable(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, shingles binary"), "near-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -181,39 +194,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) ->
                 keep.append(100 * common >= threshold * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
-    if ids.count() <= PICKED:
-        ids = F.broadcast(ids)
-    # A repeated doc_id may come with several texts; the smallest stands for the document, as in its profile.
-    picked = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, shingles binary")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    picked = _sets(docs, ids, width)
     one = picked.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     two = picked.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
-def _blocked(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of the large buckets (key, rep, n, label, sketch, size), compared block by block."""
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = rows.withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "label", "sketch"
+def close_pairs(x: list[np.ndarray], y: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of the sets that reach the threshold; intersections come from matrix products."""
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (x, y)]
+    codes, column, count = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    # A shingle that one set alone holds is in no intersection.
+    shared = np.cumsum(count > 1) - 1
+    column = np.where(count[column] > 1, shared[column], -1)
+    row = np.repeat(np.arange(len(x) + len(y)), np.concatenate(sizes))
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for base in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (base, base + COLUMNS)))
+        held = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        held[row[part], column[part] - base] = 1
+        common += held[: len(x)] @ held[len(x) :].T
+    both = sizes[0][:, None] + sizes[1][None, :]
+    return np.nonzero((100 + threshold) * common.astype(np.int64) >= threshold * both)
+
+
+def _blocked(large: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links that join components within the large buckets (key, rep, label), by comparing full sets in blocks.
+
+    Buckets that share documents are taken together, so a pair is compared once however many buckets
+    it shares.  A block hands on no more links than it has documents.
+    """
+    least = large.groupBy("key").agg(F.min("rep").alias("a"))
+    near = components(large.join(least, "key").select("a", F.col("rep").alias("b")))
+    placed = large.select("rep", "label").distinct().join(near.select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "rep")
+    sized = placed.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = durable(placed.join(sized, "crowd").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "near-crowds")
+    sets = _sets(docs, placed.select(F.col("rep").alias("doc_id")).distinct(), width)
+    spread = placed.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "shingles"
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         i, j = group["i"].iloc[0], group["j"].iloc[0]
         x, y = (group[group["own"] == k] for k in (i, j))
-        sx, sy = (np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, REGISTERS) for g in (x, y))
-        nx, ny, lx, ly, rx, ry = (g[c].to_numpy() for c in ("n", "label", "rep") for g in (x, y))
-        out = []
-        for k in range(len(x)):
-            room = np.minimum(nx[k], ny) * 100 >= np.maximum(nx[k], ny) * threshold
-            at = np.flatnonzero(room & (ly != lx[k]) & ((rx[k] < ry) if i == j else True))
-            at = at[(sy[at] == sx[k]).mean(axis=1) >= ESTIMATE]
-            if len(at):
-                out.append(pd.DataFrame({"a": np.minimum(rx[k], ry[at]), "b": np.maximum(rx[k], ry[at])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+        places = close_pairs(*([np.frombuffer(s, np.uint64) for s in side["shingles"]] for side in (x, y)), threshold)
+        (rx, lx), (ry, ly) = ((side["rep"].to_numpy()[p], side["label"].to_numpy()[p]) for side, p in zip((x, y), places, strict=True))
+        joined, out = UnionFind(), []
+        for a, b, p, q in zip(*(v[lx != ly].tolist() for v in (rx, ry, lx, ly)), strict=True):
+            if joined.find(p) != joined.find(q):
+                joined.union(p, q)
+                out.append((min(a, b), max(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return pairs.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    return spread.groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def grouped(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +269,7 @@ def grouped(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD) -> tupl
     members = durable(spread.join(buckets, "key"), "near-members")
     pairs = members.where((F.col("leader.rep") != F.col("rep")) & _sized("leader.n", "n", threshold)).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
     found = durable(_verified(durable(_alike(pairs, sketches), "near-pairs"), docs, width, threshold), "near-links")
-    labels, total, turn = durable(components(found), "near-labels"), reps.count(), 0
+    labels, total, turn, before = durable(components(found), "near-labels"), reps.count(), 0, float("inf")
     while True:
         turn += 1
         labelled = members.select("key", "rep", "n", "size").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
@@ -241,22 +278,23 @@ def grouped(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD) -> tupl
         rest = inside.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("labels > 1")
         open_ = durable(labelled.join(rest.select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("open")), "key"), "near-open")
         crossing = open_.select("key", "open").distinct().agg(F.sum("open")).first()[0] or 0
-        if crossing <= OPEN * total or turn > 1 and not gained:
+        # A leader that leaves most of the open pairs open is not followed by another.
+        if crossing <= OPEN * total or crossing > before / 2:
             break
+        before = crossing
         # Another leader for each bucket, a different one in each turn.
         chosen = open_.groupBy("key").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(turn))).alias("leader"))
         more = open_.join(chosen, "key").where((F.col("leader.label") != F.col("label")) & _sized("leader.n", "n", threshold))
         pairs = more.select(F.least("leader.rep", "rep").alias("a"), F.greatest("leader.rep", "rep").alias("b")).distinct()
-        new = durable(_verified(durable(_alike(pairs, sketches), "near-pairs"), docs, width, threshold), "near-links")
-        gained = new.limit(1).count()
-        found = found.union(new)
+        found = found.union(durable(_verified(durable(_alike(pairs, sketches), "near-pairs"), docs, width, threshold), "near-links"))
         labels = durable(components(found), "near-labels")
     small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
     x, y = (small.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "label"))) for k in ("a", "b"))
     pairs = x.join(y, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _sized("n_a", "n_b", threshold))
-    alike = _alike(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), sketches)
-    alike = durable(alike.union(_blocked(large.join(sketches, "rep"), threshold)).distinct(), "near-pairs")
+    alike = durable(_alike(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), sketches), "near-pairs")
     found = found.union(durable(_verified(alike, docs, width, threshold), "near-links"))
+    if large.limit(1).count():
+        found = found.union(durable(_blocked(large, docs, width, threshold), "near-links"))
     # Copies hang on their representative; one more pass joins them to its component.
     return known, components(found.union(links.where("a <> b")))
 
@@ -276,9 +314,9 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> Dat
     """
     known, groups = grouped(docs, width, threshold)
     gone = groups.where("node <> component").select(F.col("node").alias("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     repeated = known.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.limit(1).count():
         return left
-    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)
+    once = left.join(repeated, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)).dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).union(once)
