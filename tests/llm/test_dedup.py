@@ -92,6 +92,15 @@ def test_near_duplicates(frame, monkeypatch, small, open_):
     assert len({sets.find(d) for d, _ in rows}) < len(rows)
 
 
+def test_pairs_are_decided_on_full_sets_however_few_registers_agree(frame):
+    # 1125 shingles each, 1000 of 1250 in common: 0.80 exactly, but no more than 84 of 128 registers agree.
+    rows = []
+    for start in (113760, 1535280, 3881280, 4494920):
+        rows += [(len(rows) + k, " ".join(str(i) for i in range(start + 125 * k, start + 125 * k + 1128))) for k in (0, 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.report(frame(rows)).collect()}
+    assert got == {d: (1125, d - d % 2) for d in range(8)}
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.report(odd).collect()}
     assert {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (9, 4, False), (None, None, None)} <= got

@@ -9,9 +9,9 @@ one random permutation of the registers, rank by rank, and stops once all regist
 Equal sets are collapsed first, so groups of copies cost nothing beyond.  In each bucket the members
 are then verified against a leader, components are formed, and further leaders follow while they
 settle most of what is open; at last the pairs of a bucket whose members still are in different
-components are compared: in small buckets by sketch and then on full sets, in large ones on full
-sets at once, block by block, by products of incidence matrices.  So no large bucket is expanded
-into its pairs, and no candidate pair between different components is left out.
+components are compared: in small buckets pair by pair, in large ones block by block, by products of
+incidence matrices.  So no large bucket is expanded into its pairs.  Every candidate pair between
+different components whose sizes leave room for the threshold is decided on full sets.
 
 Null and empty texts have empty sets and are linked with nothing.  Rows that repeat a doc_id are one
 document for links and components.  Rows without a doc_id have a null component and are linked with
@@ -34,9 +34,6 @@ from .components import UnionFind, components
 REGISTERS, ROWS = 128, 4
 #: Least similarity, in per cent.
 THRESHOLD = 80
-#: Pairs whose sketches agree on less than this share can't reach 0.8 but for a chance of some 1e-9:
-#: at 0.8 the agreement of 128 registers has a standard deviation of 0.023.
-ESTIMATE = 0.66
 #: Shingles whose signatures are computed together.
 STEP = 1 << 15
 #: Buckets of at most so many members are joined with themselves; larger ones are compared in blocks.
@@ -102,12 +99,12 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 PROFILE = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))]
 )
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: size and two fingerprints of its set, band keys, and a byte of each register."""
+    """Per document: size and two fingerprints of its set, and band keys."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +112,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 
         def made(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [k for k, s in enumerate(sets) if len(s)]
-            found = signatures([sets[k] for k in full])
-            keys, low = bands(found), mix(found).astype(np.uint8)
+            keys = bands(signatures([sets[k] for k in full]))
             where = dict(zip(full, range(len(full)), strict=True))
             salt = np.uint64(0x51ED270B0A1F39C1)
             return arrow(
@@ -125,7 +121,6 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                     "f1": np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                     "f2": np.array([mix(s ^ salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                     "bands": [keys[where[k]] if k in where else [] for k in range(len(sets))],
-                    "sketch": [low[where[k]].tobytes() if k in where else b"" for k in range(len(sets))],
                 },
                 PROFILE,
             )
@@ -143,7 +138,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             if ids:
                 yield made(ids, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sized(a: str, b: str, threshold: int) -> F.Column:
@@ -151,19 +146,6 @@ def _sized(a: str, b: str, threshold: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches agree often enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in batch.columns[2:])
-            yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= ESTIMATE))
-
-    one = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    two = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(rep, shingles): the packed full sets of the documents with these doc_ids."""
 
@@ -259,16 +241,15 @@ def grouped(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD) -> tupl
     full = known.where("n > 0 and doc_id is not null")
     # Which of several texts of one doc_id has been hashed doesn't matter: all of them are its nodes.
     reps = durable(
-        full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
         "near-reps",
     )
     links = full.select("n", "f1", "f2", F.col("doc_id").alias("b")).join(reps.select("n", "f1", "f2", F.col("rep").alias("a")), ["n", "f1", "f2"]).select("a", "b")
-    sketches = reps.groupBy("rep").agg(F.min("sketch").alias("sketch"))
     spread = reps.select("rep", "n", F.explode("bands").alias("key"))
     buckets = spread.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("leader")).where("size > 1")
     members = durable(spread.join(buckets, "key"), "near-members")
     pairs = members.where((F.col("leader.rep") != F.col("rep")) & _sized("leader.n", "n", threshold)).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    found = durable(_verified(durable(_alike(pairs, sketches), "near-pairs"), docs, width, threshold), "near-links")
+    found = durable(_verified(durable(pairs, "near-pairs"), docs, width, threshold), "near-links")
     labels, total, turn, before = durable(components(found), "near-labels"), reps.count(), 0, float("inf")
     while True:
         turn += 1
@@ -286,13 +267,13 @@ def grouped(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD) -> tupl
         chosen = open_.groupBy("key").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(turn))).alias("leader"))
         more = open_.join(chosen, "key").where((F.col("leader.label") != F.col("label")) & _sized("leader.n", "n", threshold))
         pairs = more.select(F.least("leader.rep", "rep").alias("a"), F.greatest("leader.rep", "rep").alias("b")).distinct()
-        found = found.union(durable(_verified(durable(_alike(pairs, sketches), "near-pairs"), docs, width, threshold), "near-links"))
+        found = found.union(durable(_verified(durable(pairs, "near-pairs"), docs, width, threshold), "near-links"))
         labels = durable(components(found), "near-labels")
     small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
     x, y = (small.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "label"))) for k in ("a", "b"))
     pairs = x.join(y, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _sized("n_a", "n_b", threshold))
-    alike = durable(_alike(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), sketches), "near-pairs")
-    found = found.union(durable(_verified(alike, docs, width, threshold), "near-links"))
+    pairs = durable(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "near-pairs")
+    found = found.union(durable(_verified(pairs, docs, width, threshold), "near-links"))
     if large.limit(1).count():
         found = found.union(durable(_blocked(large, docs, width, threshold), "near-links"))
     # Copies hang on their representative; one more pass joins them to its component.
