@@ -139,6 +139,23 @@ def test_prefilter_forms_agree_and_lose_no_occurrence(spark, monkeypatch):
     assert by_pattern == by_automaton == unfiltered == {"a.ts", "b.py"}
 
 
+def test_prefilter_and_coverage_are_exact_beyond_every_bound(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["x model-0123456 y", "model-0200001", "model-", "gp", "a 😀\n漢字-token-1 b", "é", None, "", "key 😀q", "model-0123456"]
+    paths = [f"f{i}.py" for i in range(len(texts) - 1)] + ["dist/f.ts"]
+    rows = spark.createDataFrame([("r", p, t) for p, t in zip(paths, texts, strict=True)] + [("r", "f0.py", "none")], "repo string, path string, text string")
+    tokens = spark.range(200_001).select(F.format_string("model-%07d", "id").alias("token"))
+    tokens = tokens.union(spark.createDataFrame([("\n漢字-token-1",), ("é",), ("😀q",), ("gpt",)], "token string"))
+    got = [tuple(r) for r in corpus.prefilter(rows, tokens).select("path", "text").collect()]
+    assert sorted(got) == sorted((p, t) for p, t in zip(paths, texts, strict=True) if t in (texts[0], texts[4], "é", "key 😀q", texts[9]))
+    plain = spark.range(200_001).select(
+        F.lit("model_id").alias("kind"), F.format_string("model-%07d", "id").alias("deprecated"), F.lit(None).cast("array<string>").alias("on_models")
+    )
+    row = corpus.coverage(rows, plain).first()
+    assert (row.files, row.matched) == (10, 1)
+
+
 def test_annotation_first_five_lines(spark):
     from conftest import one
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -40,7 +37,8 @@ def registry_tokens(registry: DataFrame) -> DataFrame:
 
 
 MAX_PATTERN_CHARS = 32_000  # a longer literal would leave generated code
-MAX_DRIVER_TOKENS = 200_000
+MAX_DRIVER_TOKENS = 4_000  # a longer list is not brought to the driver
+GRAM = 8  # characters of a key that a longer token is looked up by
 
 
 def contains_any_pattern(tokens: list[str]) -> str:
@@ -73,47 +71,54 @@ def _escape(char: str) -> str:
     return "\\" + char if char.isascii() and not char.isalnum() and char != "\n" else char
 
 
-def mentions_any(tokens: DataFrame) -> Column:
-    """Condition on ``text``: it contains any registry token.
-
-    Used as a superset filter: it never changes results, it only spares the parser. The
-    registry is small, so its tokens become one pattern evaluated at the scan.
-    A list whose pattern would be too long is searched by an automaton in Arrow
-    batches; a list beyond the driver's bound leaves the files unfiltered.
-    """
+def _pattern(tokens: DataFrame) -> Column | None:
+    """Condition on ``text`` for a list that fits into one pattern; null for any other."""
     found = [r[0] for r in tokens.select("token").limit(MAX_DRIVER_TOKENS + 1).collect()]
     if not found:
         return F.lit(False)
-    if len(found) > MAX_DRIVER_TOKENS:
-        return F.lit(True)
-    pattern = contains_any_pattern(found)
-    if len(pattern) <= MAX_PATTERN_CHARS:
-        return F.col("text").rlike(pattern)
-    return _automaton(tokens.sparkSession, found)
+    if len(found) > MAX_DRIVER_TOKENS or len(pattern := contains_any_pattern(found)) > MAX_PATTERN_CHARS:
+        return None
+    return F.col("text").rlike(pattern)
 
 
-def prefilter(files: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Files whose text contains any registry token."""
-    return files.where(mentions_any(tokens))
+def _grams(text: str, width: Column) -> Column:
+    """Distinct runs of ``width`` characters; one that starts inside a character is harmless, as hits are confirmed."""
+    return F.array_distinct(F.regexp_extract_all(F.col(text), F.concat(F.lit("(?s)(?=(.{"), width, F.lit("}))")), F.lit(1)))
+
 
+def _mentioning(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Distinct ``_text`` hashes of the texts that contain any token, for a list of any size.
 
-def _automaton(spark: SparkSession, tokens: list[str]) -> Column:
-    try:
-        import ahocorasick
-    except ImportError:
-        return F.lit(True)
-    shared = spark.sparkContext.broadcast(tokens)
+    Each token is looked up by that run of its characters which fewest tokens have, by
+    equality with the runs of the texts; what meets is confirmed on the text.
+    """
+    tokens = tokens.select("token", F.least(F.length("token"), F.lit(GRAM)).alias("width")).distinct()
+    runs = tokens.select("token", "width", F.explode(_grams("token", F.col("width").cast("string"))).alias("gram"))
+    shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    keys = runs.join(shared, "gram").groupBy("token").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    widths = tokens.select("width").distinct()  # no more than GRAM rows
+    texts = texts.where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("_text"), "text").dropDuplicates(["_text"])
+    cut = texts.crossJoin(F.broadcast(widths)).select("_text", F.explode(_grams("text", F.col("width").cast("string"))).alias("gram"))
+    met = cut.join(keys, "gram").select("_text", "token")
+    return met.join(texts, "_text").where(F.col("text").contains(F.col("token"))).select("_text").distinct()
 
-    @F.pandas_udf("boolean")
-    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = ahocorasick.Automaton()
-        for token in shared.value:
-            machine.add_word(token, True)
-        machine.make_automaton()
-        for texts in batches:
-            yield texts.map(lambda t: next(machine.iter(t), None) is not None).astype(bool)
 
-    return hit(F.col("text"))
+def _marked(files: DataFrame, tokens: DataFrame, wanted: Column) -> DataFrame:
+    """The files with ``_hit``: whether a wanted one contains any token.
+
+    A short list is one pattern, evaluated at the scan; a longer one is joined. Both give the same rows.
+    """
+    pattern = _pattern(tokens)
+    if pattern is not None:
+        return files.withColumn("_hit", wanted & F.coalesce(pattern, F.lit(False)))
+    hits = _mentioning(files.where(wanted).select("text"), tokens).withColumn("_found", F.lit(True))
+    keyed = files.withColumn("_text", F.when(wanted, F.sha2("text", 256)))
+    return lookup_join(keyed, hits, ["_text"], "left").withColumn("_hit", F.coalesce("_found", F.lit(False))).drop("_text", "_found")
+
+
+def prefilter(files: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Files whose text contains any registry token."""
+    return _marked(files, tokens, F.lit(True)).where("_hit").select(*(F.col(f"`{c}`") for c in files.columns))
 
 
 def quoted_ids(files: DataFrame, registry: DataFrame) -> DataFrame:
@@ -157,11 +162,11 @@ def coverage(files: DataFrame, registry: DataFrame, marker: str = "scan") -> Dat
     path = unix_path(F.col("path"))
     scope = in_scan_scope(path)
     note = annotation(F.col("text"), marker)
-    marked = files.select(
+    marked = _marked(files, registry_tokens(registry), F.coalesce(scope, F.lit(False))).select(
         "repo",
         scope.alias("_in"),
         language(path).alias("_lang"),
-        F.when(scope, mentions_any(registry_tokens(registry))).alias("_hit"),
+        "_hit",
         F.when(scope, note).alias("_note"),
     )
     inside = F.col("_in")
