@@ -32,11 +32,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def one(spark, expr_of, *values):
-    """Evaluate a Column function on literal strings."""
-    from pyspark.sql import functions as F
-
-    row = spark.range(1).select(expr_of(*[F.lit(v) for v in values]).alias("v")).first()
-    return row["v"]

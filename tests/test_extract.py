@@ -1,3 +1,5 @@
+from evaluate import one
+
 from tidemark.operators import corpus, extract as X, rewrite
 
 TS = '''// "gpt-0" in a comment
@@ -157,8 +159,6 @@ def test_prefilter_and_coverage_are_exact_beyond_every_bound(spark):
 
 
 def test_annotation_first_five_lines(spark):
-    from conftest import one
-
     note = lambda s: one(spark, corpus.annotation, s)
     assert note("a\n\n\n\n # scan: ignore-file \nrest") == "ignore-file"
     assert note("a\n\n\n\n\n# scan: ignore-file") is None

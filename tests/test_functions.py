@@ -1,5 +1,5 @@
 import pytest
-from conftest import one
+from evaluate import one
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, ids, lifecycle, paths, runner, text
