@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,36 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+#: A-Z in lower case, digits and everything beyond ASCII as they are, the rest of ASCII blank.
+_ALNUM = bytes(
+    c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
+)
+
+
+def alnum_words(text: str | None) -> list[bytes]:
+    """Runs of 0-9, A-Z in lower case, a-z and characters beyond ASCII, as UTF-8."""
+    return text.encode().translate(_ALNUM).split() if text else []
+
+
+class Remembered(dict):
+    """A function of words, computed once per word while the words held take at most so many bytes."""
+
+    def __init__(self, of: Callable[[bytes], int], held: int = 24_000_000) -> None:
+        super().__init__()
+        self.function, self.held, self.room = of, held, held
+
+    def __missing__(self, word: bytes) -> int:
+        value = self.function(word)
+        # About what an entry costs besides the word itself.
+        self.room -= len(word) + 150
+        if self.room < 0:
+            self.clear()
+            self.room = self.held
+        if len(word) <= 1000:
+            self[word] = value
+        return value
+
+
 class WordHash(dict):
     """64-bit xxh3 of each word, computed once per word while the cache lasts."""
 

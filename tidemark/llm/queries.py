@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dedup, pii, substring_dedup, token_counts, token_files, top_k, toxicity
+from . import (
+    bpe, decontaminate, lexical, license_scan, line_dedup, near_dedup, pii, resample, substring_dedup, token_counts, token_files, top_k, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,4 +59,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_dedup, op2_top_k, op3_token_files, op4_substring_dedup, op5_token_counts, op6_decontaminate, op7_byte_bpe, op8_toxicity, op9_pii, op10_line_dedup)}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_top_k, op3_token_files, op4_substring_dedup, op5_token_counts, op6_decontaminate, op7_byte_bpe, op8_toxicity,
+        op9_pii, op10_line_dedup, op11_resample, op12_lexical_search, op13_license_scan,
+    )
+}
