@@ -114,9 +114,10 @@ def test_long_string_does_not_overflow_the_matcher(spark):
     assert sorted(len(r.value) for r in got) == [1, 200_000]
 
 
-def test_token_table_shuffles_once(spark):
-    plan = X.token_structure(files(spark))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_reading_shuffles_nothing(spark):
+    for step in (X.facts(files(spark)), X.literals(X.token_structure(files(spark)))):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
 
 
 def test_contains_any_pattern_is_exact():
@@ -191,4 +192,73 @@ create({ model: "m4" as ns.Id, other: 1 });
 """
     rows = spark.createDataFrame([("r", "a.ts", "ts", text)], "repo string, path string, lang string, text string")
     found = {r.value: r.cast_type for r in X.literals(X.token_structure(rows)).collect()}
-    assert found == {"m1": "string", "m2": "string|", "m3": "Model[", "m4": "ns."}
+    assert found == {"m1": "string", "m2": "string | undefined", "m3": "Model[]", "m4": "ns.Id"}
+
+
+#: (language, source with the id x, enclosure, name, in a call, callee, cast) of each construct.
+CONSTRUCTS = [
+    ("ts", 'create({ model: ("x" as LLMID) });', "property_value", "model", True, None, "LLMID"),
+    ("ts", 'create({ model: ("x") as LLMID });', "property_value", "model", True, None, "LLMID"),
+    ("ts", 'create({ model: (opts.m || "x") });', "property_value", "model", True, None, None),
+    ("ts", 'create({ model: ((opts.m ?? ("x"))) });', "property_value", "model", True, None, None),
+    ("ts", 'const modelName = ("x")', "variable", "modelName", None, None, None),
+    ("ts", 'create(({ model: "x" }));', "property_value", "model", True, None, None),
+    ("ts", 'const cfg = { model: "x" };', "property_value", "model", False, None, None),
+    ("ts", 'const modelName: Record<string, string> = "x";', "variable", "modelName", None, None, None),
+    ("ts", 'const modelName: Map<string, Map<string, A>> = "x";', "variable", "modelName", None, None, None),
+    ("ts", 'if (x) /"/.test(y); create({ model: "x" });', "property_value", "model", True, None, None),
+    ("ts", 'const f = s => /["]/.exec(s); create({ model: "x" });', "property_value", "model", True, None, None),
+    ("ts", 'throw /"/; create({ model: "x" })', "property_value", "model", True, None, None),
+    ("ts", 'const r = (a + b) / 2 / c; create({ model: "x" })', "property_value", "model", True, None, None),
+    ("ts", 'const m = <LLMID>"x";', "other", None, None, None, None),
+    ("ts", 'const t = `a ${f("x")} b`;', "call_arg", None, None, "f", None),
+    ("ts", "const t = `don't ${create({ model: \"x\" })} it's`; g('y');", "property_value", "model", True, None, None),
+    ("ts", 'create({ model: "x" as string | undefined, n: 1 });', "property_value", "model", True, None, "string | undefined"),
+    ("ts", 'create({ model: "x" as Record<string, "a">, n: 1 });', "property_value", "model", True, None, 'Record<string , "a">'),
+    ("ts", 'create({ model: "x" as const });', "property_value", "model", True, None, "const"),
+    ("ts", 'create({ model: "x" + suffix });', "other", None, None, None, None),
+    ("ts", 'create({ model: ("x").trim() });', "other", None, None, None, None),
+    ("ts", 'create({ model: "x" satisfies Id });', "other", None, None, None, None),
+    ("ts", 'create({ model: ok && "x" });', "other", None, None, None, None),
+    ("ts", 'create({ model: ok ? "x" : y });', "property_value", "model", True, None, None),
+    ("ts", 'if (m === ("x")) { }', "comparison", None, None, None, None),
+    ("ts", 'const p = { "x": 1 };', "property_key", None, None, None, None),
+    ("ts", 'const l = ["x"];', "array_element", None, None, None, None),
+    ("ts", 'client.create<Foo>({ model: "x" });', "property_value", "model", True, None, None),
+    ("ts", 'google?.("x");', "call_arg", None, None, None, None),
+    ("ts", 'class A { readonly model: string = "x"; }', "class_property", "model", None, None, None),
+    ("ts", '/* "y" */ const a = 1 // "z"\nconst model = `x`', "variable", "model", None, None, None),
+    ("py", 'create(model=("x"))', "kwarg", "model", None, None, None),
+    ("py", 'model = ("x")', "variable", "model", None, None, None),
+    ("py", 'model: dict[str, str] = "x"', "variable", "model", None, None, None),
+    ("py", 'create(\n  model=(\n    name\n    or "x"\n  ),\n)', "kwarg", "model", None, None, None),
+    ("py", 'create({"model": ("x")})', "property_value", "model", True, None, None),
+    ("py", 'def f(model: Optional[str] = "x"): pass', "param_default", "model", None, None, None),
+    ("py", 't = ("x", 1)', "array_element", None, None, None, None),
+    ("py", 'if m in ("x",): pass', "comparison", None, None, None, None),
+    ("py", 'model = "x".lower()', "other", None, None, None, None),
+    ("py", 'model = a and "x"', "other", None, None, None, None),
+    ("py", '# it is "y"\n\n# more\nmodel = "x"  # z', "variable", "model", None, None, None),
+]
+
+
+def test_constructs(spark):
+    rows = [("r", f"f{k}", lang, text) for k, (lang, text, *_) in enumerate(CONSTRUCTS)]
+    df = spark.createDataFrame(rows, "repo string, path string, lang string, text string")
+    got = {r.path: r for r in X.literals(X.token_structure(df)).where("value = 'x'").collect()}
+    for k, (_, text, enclosure, name, in_call, callee, cast) in enumerate(CONSTRUCTS):
+        r = got[f"f{k}"]
+        shown = r.encl_name if enclosure in ("property_value", "variable", "class_property", "kwarg", "param_default") else None
+        assert (r.enclosure, shown, r.in_call, r.callee, r.cast_type) == (enclosure, name, in_call, callee, cast), text
+        assert text[r.start : r.end] == "x"
+        before = text[: r.start - 1]
+        assert (r.line, r.col) == (before.count("\n") + 1, len(before.rpartition("\n")[2]) + 1), text
+    assert X.literals(X.token_structure(df)).where("value in ('z')").count() == 0
+
+
+def test_large_files_keep_every_literal(spark):
+    text = "\n".join(f'create({{ model: "m{k}", other: [{k}] }});' for k in range(1500))
+    df = spark.createDataFrame([("r", "a.ts", "ts", text), ("r", "e.ts", "ts", ""), ("r", "n.ts", "ts", None)], "repo string, path string, lang string, text string")
+    found = X.literals(X.token_structure(df)).collect()
+    assert [r.value for r in sorted(found, key=lambda r: r.start)] == [f"m{k}" for k in range(1500)]
+    assert {r.enclosure for r in found} == {"property_value"} and [r.line for r in found] == list(range(1, 1501))

@@ -1,9 +1,9 @@
 """Fact tables from source files.
 
-``token_structure`` reads brackets and segments with window functions over a
-token table, so literals, options, constants and sinks come out of Spark
-operators for both languages. ``python_facts`` is the exact reading of Python
-by the standard library's own parser, as one Arrow pass.
+``token_structure`` reads every file in one fold inside its row (see ``reading``),
+so literals, options, constants and sinks come out of Spark expressions for both
+languages and nothing is shuffled. ``python_facts`` is a second reading of Python
+by the standard library's own parser, kept for comparison.
 """
 
 from __future__ import annotations
@@ -11,85 +11,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import durable
+from .reading import FILE, facts
 
-# Loops are possessive and unrolled: Java would recurse once per character.
-_DQ = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-_SQ = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-_WORD = r"[A-Za-z_$][\w$]*+|\d[\w.]*+"
-# A slash where a value is due begins a regular expression, whose quotes are no strings.
-_REGEX = (
-    r"(?<=[=(,:\[!&|?{;]|[=(,:\[!&|?{;] |return )/(?![*/])"
-    r"[^/\\\n\[]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+)*+\])[^/\\\n\[]*+)*+/[a-z]*+"
+# A type as tokens with blanks between them: names, generics, arrays, unions, texts, tuples, shapes.
+_ATOM = (
+    r"(?:(?:keyof|typeof|readonly|unique) )*(?:[A-Za-z_$][\w$]*(?: \. [A-Za-z_$][\w$]*)*(?: <[^;=]*? >(?= [|&\[,;)\]}]|$| [A-Za-z]))?"
+    r"|[\"'][^\"']*[\"']|\d[\w.]*|\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\])(?: \[ \])*"
 )
-TS_TOKEN = (
-    rf"//[^\n]*+|/\*(?s:.*?)\*/|{_REGEX}|{_DQ}|{_SQ}|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`|{_WORD}"
-    r"|=>|===|!==|==|!=|\?\?|\?\.|\|\||&&|\.\.\.|[^\s\w]"
-)
-PY_TOKEN = (
-    r'#[^\n]*+|"""(?s:.*?)"""|' + r"'''(?s:.*?)'''" + rf"|{_DQ}|{_SQ}|{_WORD}"
-    r"|\n|==|!=|<=|>=|->|:=|\*\*|[^\s\w]"
-)
-_NOT_OPERANDS = (
-    "if", "for", "while", "switch", "catch", "return", "typeof", "await", "in", "of", "not",
-    "and", "or", "is", "else", "elif", "yield", "lambda",
-)
-_LITERAL_BRACE = ("(", ",", "=", ":", "[", "?", "||", "??", "return", "&&")
-_PASSING = ("=", ":", "||", "??", "?", "(", ",", "[", "{", "or", "else")
-_COMPARES = ("==", "===", "!=", "!==", "<", ">", "<=", ">=", "in", "is")
-_MODIFIERS = ("readonly", "static", "private", "public", "protected", "override", "declare", "{", ";", "}")
-FILE = ["repo", "path"]
-# Windows sort on the hash of the file first: a long compares faster than two texts.
-_GROUP = ["fid", "repo", "path"]
+_CAST = rf"^(?:\) )*as ({_ATOM}(?: [|&] {_ATOM})*)"
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """(repo, path, lang, i, tok, start, end, line, col, blanks) without comments.
+def token_structure(files: DataFrame) -> DataFrame:
+    """(repo, path, lang, lits, parts): what one reading of each file finds, as arrays of the file's row.
 
-    Offsets are 0-based characters. Texts are distributed by file before they
-    are cut: a text is several times smaller than its tokens, and every window
-    below finds its rows in place.
+    Written, because literals, options, constants and sinks all start from it and each file is read once.
     """
-    placed = (
-        files.where(F.col("lang").isin("ts", "py"))
-        .select(F.xxhash64(*FILE).alias("fid"), *FILE, "lang", "text")
-        .repartition(*_GROUP)
-    )
-    py = F.col("lang") == "py"
-    pieces = lambda cut: F.when(py, cut(PY_TOKEN)).otherwise(cut(TS_TOKEN))
-    pairs = F.arrays_zip(
-        pieces(lambda p: F.split("text", p)).alias("gap"),
-        pieces(lambda p: F.regexp_extract_all(F.col("text"), F.lit(p), F.lit(0))).alias("tok"),
-    )
-    raw = placed.select(*_GROUP, "lang", F.posexplode(pairs).alias("i", "t")).where("t.tok is not null")
-    raw = raw.select(*_GROUP, "lang", "i", "t.gap", "t.tok")
-    order = Window.partitionBy(*_GROUP).orderBy("i")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    piece = F.concat(F.coalesce(F.lag("tok").over(order), F.lit("")), F.col("gap"))
-    out = (
-        raw.withColumn("_piece", piece)
-        .withColumn("end", F.sum(F.length("gap") + F.length("tok")).over(upto))
-        .withColumn("blanks", F.length(F.regexp_extract(F.lead("gap").over(order), r"^[ \t]*", 0)))
-    )
-    breaks = F.length("_piece") - F.length(F.replace(F.col("_piece"), F.lit("\n"), F.lit("")))
-    out = out.withColumn("start", F.col("end") - F.length("tok")).withColumn("_nl", breaks)
-    line_start = F.when(
-        F.col("_nl") > 0, F.col("start") - F.length(F.substring_index("_piece", "\n", -1))
-    )
-    out = out.withColumn("line", F.sum("_nl").over(upto) + 1).withColumn(
-        "_ls", F.coalesce(F.last(line_start, ignorenulls=True).over(upto), F.lit(0))
-    )
-    comment = F.when(F.col("lang") == "py", F.col("tok").startswith("#")).otherwise(
-        F.col("tok").startswith("//") | F.col("tok").startswith("/*")
-    )
-    return out.where(~comment).select(
-        *_GROUP, "lang", "i", "tok", "start", "end", "line", (F.col("start") - F.col("_ls") + 1).alias("col"),
-        F.coalesce("blanks", F.lit(0)).alias("blanks"),
-        (F.length("gap") == 0).alias("adjacent"),
-    )
+    return durable(facts(files), "facts")
 
 
 def _is_word(tok: Column) -> Column:
@@ -105,154 +47,14 @@ def _content(tok: Column) -> Column:
     return F.substring(tok, width + 1, F.length(tok) - 2 * width)
 
 
-def _framed(rows: DataFrame, definition: Column, out: str) -> DataFrame:
-    """Gives every token the definition of the bracket it stands in.
-
-    An opening bracket is a member of the level it stands on and defines the
-    level inside, so it enters the window twice.
-    """
-    both = F.when(
-        F.col("opens"),
-        F.array(
-            F.struct(F.col("level").alias("at"), F.lit(False).alias("defines")),
-            F.struct((F.col("level") + 1).alias("at"), F.lit(True).alias("defines")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("level").alias("at"), F.lit(False).alias("defines"))))
-    spread = rows.withColumn("_m", F.explode(both)).withColumn("_at", F.col("_m.at"))
-    window = Window.partitionBy(*_GROUP, "_at").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        spread.withColumn(out, F.last(F.when(F.col("_m.defines"), definition), ignorenulls=True).over(window))
-        .where(~F.col("_m.defines"))
-        .drop("_m", "_at")
-    )
-
-
-def token_structure(files: DataFrame) -> DataFrame:
-    """Tokens with neighbours, enclosing bracket, and segment of that bracket.
-
-    Every window is keyed by the file, so the tokens are shuffled once; a group
-    is one file and bounded by the row it came from.
-    """
-    order = Window.partitionBy(*_GROUP).orderBy("i")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    tok = F.col("tok")
-    rows = tokens(files)
-    rows = rows.withColumn("opens", tok.isin("(", "[", "{")).withColumn("_closes", tok.isin(")", "]", "}"))
-    depth = F.sum(F.when(F.col("opens"), 1).when(F.col("_closes"), -1).otherwise(0)).over(upto)
-    rows = rows.withColumn("level", depth - F.col("opens").cast("int"))
-    # A line break inside brackets does not end a Python statement.
-    rows = rows.where(~((tok == "\n") & (F.col("level") > 0)))
-    for n in (1, 2, 3, 4):
-        rows = rows.withColumn(f"p{n}", F.lag("tok", n).over(order))
-    for n in (1, 2, 3, 4):
-        rows = rows.withColumn(f"n{n}", F.lead("tok", n).over(order))
-    p1, p2 = F.col("p1"), F.col("p2")
-    operand = (_is_word(p1) & ~p1.isin(*_NOT_OPERANDS)) | F.coalesce(p1.isin(")", "]"), F.lit(False))
-    py = F.col("lang") == "py"
-    role = (
-        F.when((tok == "(") & operand & py & F.coalesce(p2 == "def", F.lit(False)), F.lit("params"))
-        .when((tok == "(") & operand, F.lit("call"))
-        .when(tok == "(", F.lit("group"))
-        .when((tok == "[") & operand, F.lit("index"))
-        .when(tok == "[", F.lit("array"))
-        .when((tok == "{") & (py | F.coalesce(p1.isin(*_LITERAL_BRACE), F.lit(False))), F.lit("object"))
-        .when(tok == "{", F.lit("block"))
-    )
-    rows = rows.withColumn("role", role)
-    frame = F.struct(
-        F.col("i"),
-        F.col("start"),
-        F.col("role"),
-        F.when((F.col("role") == "call") & _is_word(p1), p1).alias("callee"),
-        F.col("p1").alias("before"),
-        F.coalesce(p2.isin("class", "extends", "implements"), F.lit(False)).alias("in_class"),
-    )
-    rows = _framed(rows, frame, "f")
-    in_call = (
-        (F.col("role") == "object")
-        & F.coalesce(F.col("f.role") == "call", F.lit(False))
-        & F.coalesce(p1.isin(*_PASSING), F.lit(False))
-    )
-    rows = _framed(rows, in_call, "in_call")
-
-    inside = Window.partitionBy(*_GROUP, "_f").orderBy("i")
-    ends = tok.isin(",", ";", "\n")
-    begins = tok.isin("const", "let", "var", "return")
-    rows = rows.withColumn("_f", F.coalesce("f.i", F.lit(-1)))
-    rows = rows.withColumn(
-        "seg",
-        F.coalesce(
-            F.sum(ends.cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        )
-        + F.sum(begins.cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-    )
-    segment = Window.partitionBy(*_GROUP, "_f", "seg").orderBy("i")
-    running = segment.rowsBetween(Window.unboundedPreceding, 0)
-    typed = F.col("p2") == ":"
-    bound = F.when(
-        tok == "=",
-        F.struct(
-            F.when(typed, F.col("p3")).otherwise(p1).alias("name"),
-            F.when(typed, F.col("p4")).otherwise(p2).alias("left"),
-        ),
-    )
-    return (
-        rows.withColumn("nth", F.row_number().over(segment))
-        .withColumn("first_tok", F.first("tok").over(running))
-        .withColumn("eq", F.last(bound, ignorenulls=True).over(running))
-        .withColumn("second_tok", F.max(F.when(F.col("nth") == 2, tok)).over(running))
-        .drop("_closes", "_f", "level", "opens", "role")
-    )
-
-
 def literals(structure: DataFrame) -> DataFrame:
-    """Literal facts from structured tokens."""
-    tok, p1, n1 = F.col("tok"), F.col("p1"), F.col("n1")
+    """Literal facts, one row for each string that can be a value."""
+    tok = F.col("tok")
     py = F.col("lang") == "py"
-    within = lambda c, names: F.coalesce(c.isin(*names), F.lit(False))
-    prefixed = _is_word(p1) & F.col("adjacent")
-    broken = py & (prefixed | _is_string(p1) | _is_string(n1))
-    template = tok.startswith("`") & tok.contains("${")
-    rows = structure.where(_is_string(tok) & ~broken & ~(~py & template))
-    role = F.coalesce(F.col("f.role"), F.lit("top"))
-    passing = within(p1, _PASSING)
-    in_object = (role == "object") & (F.col("second_tok") == ":")
-    compared = within(p1, _COMPARES) | within(n1, _COMPARES) | (
-        py & role.isin("array", "group", "object") & within(F.col("f.before"), ("in", "==", "!="))
-        & ~in_object
-    )
-    eq = F.col("eq")
-    declared = within(F.col("eq.left"), ("const", "let", "var"))
-    enclosure = (
-        F.when((role == "object") & (n1 == ":") & within(p1, ("{", ",")), F.lit("property_key"))
-        .when(compared, F.lit("comparison"))
-        .when(in_object & passing, F.lit("property_value"))
-        .when(role.isin("array") & passing, F.lit("array_element"))
-        .when((role == "object") & py & passing, F.lit("array_element"))
-        .when((role == "group") & py & passing & ((p1 == ",") | (n1 == ",")), F.lit("array_element"))
-        .when((role == "params") & eq.isNotNull() & passing, F.lit("param_default"))
-        .when((role == "call") & py & eq.isNotNull() & passing, F.lit("kwarg"))
-        .when((role == "call") & passing, F.lit("call_arg"))
-        .when(py & (role == "top") & eq.isNotNull() & passing, F.lit("variable"))
-        .when(~py & eq.isNotNull() & declared & passing, F.lit("variable"))
-        .when(
-            ~py & eq.isNotNull() & passing & F.coalesce(F.col("f.in_class"), F.lit(False))
-            & within(F.col("eq.left"), _MODIFIERS),
-            F.lit("class_property"),
-        )
-        .otherwise(F.lit("other"))
-    )
-    key = F.when(_is_string(F.col("first_tok")), _content(F.col("first_tok"))).when(
-        ~py, F.col("first_tok")
-    )
     raw = _content(tok)
     width = (F.length(tok) - F.length(raw)) / 2
-    # A type that goes on behind its first name is not that name: ``as string | undefined``.
-    named = lambda name, more: F.when(more.isin("|", "&", "[", "<", "."), F.concat(name, more)).otherwise(name)
-    cast = F.when(n1 == "as", named(F.col("n2"), F.coalesce("n3", F.lit("")))).when(
-        (n1 == ")") & (F.col("n2") == "as"), named(F.col("n3"), F.coalesce("n4", F.lit("")))
-    )
-    return rows.withColumn("enclosure", enclosure).select(
+    cast = F.regexp_replace(F.regexp_extract("behind", _CAST, 1), r" ?([.<>\[\]]) ?", "$1")
+    return structure.select(*FILE, "lang", F.inline("lits")).select(
         *FILE,
         "lang",
         F.col("line").cast("bigint").alias("line"),
@@ -262,47 +64,16 @@ def literals(structure: DataFrame) -> DataFrame:
         F.substring(tok, F.lit(1), width.cast("int")).alias("quote"),
         F.when(py, raw).otherwise(F.regexp_replace(raw, r"\\(.)", "$1")).alias("value"),
         "enclosure",
-        F.when(F.col("enclosure") == "property_value", key)
-        .when(F.col("enclosure") == "param_default", F.col("first_tok"))
-        .when(F.col("enclosure").isin("variable", "class_property", "kwarg"), F.col("eq.name"))
-        .alias("encl_name"),
-        F.when(F.col("enclosure") == "property_value", F.coalesce("in_call", F.lit(False))).alias("in_call"),
-        F.when(F.col("enclosure") == "call_arg", F.col("f.callee")).alias("callee"),
-        F.when(~py, cast).alias("cast_type"),
+        "encl_name",
+        "in_call",
+        "callee",
+        F.when(~py & F.col("behind").isNotNull() & (cast != ""), cast).alias("cast_type"),
     )
 
 
 def _segments(structure: DataFrame) -> DataFrame:
-    """One row per comma-separated part of a call or an object literal.
-
-    A part is a stretch of one file, so its token list is bounded by a row.
-    """
-    at = lambda n: F.max(
-        F.when(F.col("nth") == n, F.struct("tok", "start", "end", "line", "col"))
-    ).alias(f"t{n}")
-    body = F.col("tok") != ","
-    return (
-        structure.where(F.col("f.role").isin("call", "object"))
-        .withColumn("_o", F.col("f.i"))
-        .groupBy(*FILE, "lang", "_o", "seg")
-        .agg(
-            F.max("f.start").alias("obj_id"),
-            F.max("f.role").alias("role"),
-            F.max("f.callee").alias("callee"),
-            F.bool_or("in_call").alias("in_call"),
-            at(1),
-            at(2),
-            at(3),
-            F.count_if(body).alias("n"),
-            F.max_by(F.col("end") + F.col("blanks"), F.col("i")).alias("stop"),
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.when(body, F.struct("i", "tok")))), lambda t: t["tok"]
-                ),
-                "",
-            ).alias("written"),
-        )
-    )
+    """One row per comma-separated part of a call or an object literal."""
+    return structure.select(*FILE, "lang", F.inline("parts"))
 
 
 def option_objects(structure: DataFrame) -> DataFrame:
@@ -338,13 +109,12 @@ def option_objects(structure: DataFrame) -> DataFrame:
 
 def const_bindings(structure: DataFrame) -> DataFrame:
     """Constants bound to one plain literal in a TypeScript file."""
-    tok = F.col("tok")
-    plain = _is_string(tok) & (F.col("p1") == "=") & ~(tok.startswith("`") & tok.contains("${"))
-    declared = F.coalesce(F.col("eq.left").isin("const", "let", "var"), F.lit(False))
-    return structure.where((F.col("lang") == "ts") & plain & declared).select(
+    declared = F.coalesce(F.col("eq_left").isin("const", "let", "var"), F.lit(False))
+    found = structure.where(F.col("lang") == "ts").select(*FILE, F.inline("lits")).where(F.col("direct") & declared)
+    return found.select(
         *FILE,
-        F.col("eq.name").alias("ident"),
-        F.regexp_replace(_content(tok), r"\\(.)", "$1").alias("literal"),
+        F.col("eq_name").alias("ident"),
+        F.regexp_replace(_content(F.col("tok")), r"\\(.)", "$1").alias("literal"),
         (F.col("start") + 1).cast("bigint").alias("literal_start"),
     )
 

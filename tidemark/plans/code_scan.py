@@ -12,18 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import corpus, extract, occurrences, params, rewrite
-from ..session import shared_path
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back.
-
-    Used where several results start from one costly step: the step runs once,
-    and the loss of an executor does not repeat it.
-    """
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from ..session import durable
 
 
 @dataclass
@@ -35,10 +24,10 @@ class Facts:
 
 
 def native_facts(files: DataFrame) -> Facts:
-    """All facts through Spark operators; the token table is written once."""
-    structure = durable(extract.token_structure(files), "tokens")
+    """All facts from one reading of every file, which is written once."""
+    structure = extract.token_structure(files)
     return Facts(
-        durable(extract.literals(structure), "literals"),
+        extract.literals(structure),
         extract.sink_facts(structure),
         extract.option_objects(structure),
         extract.const_bindings(structure),
