@@ -30,8 +30,11 @@ def token_structure(files: DataFrame) -> DataFrame:
     """(repo, path, lang, lits, parts): what one reading of each file finds, as arrays of the file's row.
 
     Written, because literals, options, constants and sinks all start from it and each file is read once.
+    Reading costs far more than moving a text, so files are spread by their name before it: whatever
+    scanned them, no task is left with the large ones of a whole input split.
     """
-    return durable(facts(files), "facts")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(facts(files.repartition(parts, *FILE)), "facts")
 
 
 def _is_word(tok: Column) -> Column:

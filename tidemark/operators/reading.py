@@ -262,17 +262,21 @@ def _literal(s: str, m: str, t: str, a: str) -> str:
 
 
 def _step(s: str, t: str) -> str:
-    gap = f"get(gaps, {s}.i)"
-    start = f"({s}.pos + length({gap}))"
     inner = f"size({s}.stack) > 0"
     ahead = f"CASE WHEN py AND {inner} AND substr(get(toks, {s}.i + 1), 1, 1) = '\\n' THEN get(toks, {s}.i + 2) ELSE get(toks, {s}.i + 1) END"
-    line, ls = f"({s}.line + {_breaks(gap)})", f"CASE WHEN instr({gap}, '\\n') > 0 THEN {start} - length(substring_index({gap}, '\\n', -1)) ELSE {s}.ls END"
-    end = f"({start} + length({t}))"
-    about = _struct(
-        gap=gap, start=start, end=end, line=line, col=f"{start} - ({ls}) + 1", line_after=f"{line} + {_breaks(t)}",
-        ls_after=f"CASE WHEN instr({t}, '\\n') > 0 THEN {end} - length(substring_index({t}, '\\n', -1)) ELSE {ls} END", n1=ahead,
-        adjacent=f"{start} = {s}.p_end", blanks=f"length(regexp_extract(coalesce(get(gaps, {s}.i + 1), ''), '^[ \\t]*', 0))",
-    )
+
+    def about(gap: str, start: str) -> str:
+        end = f"({start} + length({t}))"
+        lines = (
+            f"CASE WHEN instr({gap}, '\\n') > 0 THEN {_struct(line=f'{s}.line + {_breaks(gap)}', ls=f'{start} - length(substring_index({gap}, {chr(39)}{chr(92)}n{chr(39)}, -1))')} "
+            f"ELSE {_struct(line=f'{s}.line', ls=f'{s}.ls')} END"
+        )
+        return _let(lines, lambda at: _struct(
+            gap=gap, start=start, end=end, line=f"{at}.line", col=f"{start} - {at}.ls + 1",
+            line_after=f"CASE WHEN instr({t}, '\\n') > 0 THEN {at}.line + {_breaks(t)} ELSE {at}.line END",
+            ls_after=f"CASE WHEN instr({t}, '\\n') > 0 THEN {end} - length(substring_index({t}, '\\n', -1)) ELSE {at}.ls END", n1=ahead,
+            adjacent=f"{start} = {s}.p_end", blanks=f"CASE WHEN {t} = ',' OR {t} = ';' OR substr({t}, 1, 1) = '\\n' THEN length(regexp_extract(coalesce(get(gaps, {s}.i + 1), ''), '^[ \\t]*', 0)) END",
+        ))
 
     def read(a: str) -> str:
         skipped = _with(s, i=f"{s}.i + 1", pos=f"{a}.end", line=f"{a}.line_after", ls=f"{a}.ls_after")
@@ -284,7 +288,7 @@ def _step(s: str, t: str) -> str:
             f"WHEN {t} IN ('(', '[', '{{') THEN {opening} WHEN {_is_string(t)} THEN {literal} ELSE {_member(s, t, a)} END"
         )
 
-    return _let(about, read)
+    return _let(f"get(gaps, {s}.i)", lambda gap: _let(f"{s}.pos + length({gap})", lambda start: _let(about(gap, start), read)))
 
 
 def _text(value: str) -> str:
