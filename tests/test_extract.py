@@ -120,26 +120,35 @@ def test_reading_shuffles_nothing(spark):
         assert "Exchange" not in plan and "Window" not in plan
 
 
-def test_contains_any_pattern_is_exact():
+def test_prefilter_runs_nothing_before_it_is_asked(spark):
+    tokens = spark.createDataFrame([("gpt-4",), ("nope",)], "token string")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    found = corpus.prefilter(files(spark), tokens)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert {r.path for r in found.collect()} == {"a.ts", "b.py"}
+
+
+def test_prefilter_equals_containment(spark):
     import random
-    import re
 
     rng = random.Random(5)
-    tokens = ["".join(rng.choice("ab-.1") for _ in range(rng.randint(1, 5))) for _ in range(30)]
-    pattern = re.compile(corpus.contains_any_pattern(tokens))
-    for _ in range(500):
-        text = "".join(rng.choice("ab-.1") for _ in range(rng.randint(0, 8)))
-        assert bool(pattern.search(text)) == any(t in text for t in tokens), (text, tokens)
+    word = lambda low, high: "".join(rng.choice("ab-.1é") for _ in range(rng.randint(low, high)))
+    texts, tokens = [word(0, 40) for _ in range(300)], [word(2, 12) for _ in range(25)]
+    rows = spark.createDataFrame([("r", f"f{k}.py", t) for k, t in enumerate(texts)], "repo string, path string, text string")
+    got = corpus.prefilter(rows, spark.createDataFrame([(t,) for t in tokens], "token string"))
+    assert sorted(r.text for r in got.collect()) == sorted(t for t in texts if any(x in t for x in tokens))
 
 
-def test_prefilter_forms_agree_and_lose_no_occurrence(spark, monkeypatch):
-    tokens = spark.createDataFrame([("gpt-4",), ("nope",)], "token string")
-    by_pattern = {r.path for r in corpus.prefilter(files(spark), tokens).collect()}
-    monkeypatch.setattr(corpus, "MAX_PATTERN_CHARS", 0)
-    by_automaton = {r.path for r in corpus.prefilter(files(spark), tokens).collect()}
-    monkeypatch.setattr(corpus, "MAX_DRIVER_TOKENS", 1)
-    unfiltered = {r.path for r in corpus.prefilter(files(spark), tokens).collect()}
-    assert by_pattern == by_automaton == unfiltered == {"a.ts", "b.py"}
+def test_sieve_has_one_size_and_forgets_nothing(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(50_000).select(F.format_string("key-%05d", "id").alias("gram"))
+    bitmap = corpus.sieve(keys)
+    assert bitmap.selectExpr("size(words)").first()[0] == corpus.SIEVE_WORDS
+    passed = spark.range(200_000).select("id", F.format_string("key-%05d", "id").alias("gram")).where(corpus._passes("gram", bitmap.scalar()))
+    ids = {r.id for r in passed.select("id").collect()}
+    assert ids >= set(range(50_000)) and len(ids) < 60_000
+    assert corpus.sieve(keys.limit(0)).selectExpr("aggregate(words, 0L, (a, x) -> a | x)").first()[0] == 0
 
 
 def test_prefilter_and_coverage_are_exact_beyond_every_bound(spark):

@@ -36,84 +36,66 @@ def registry_tokens(registry: DataFrame) -> DataFrame:
     return id_tokens.unionByName(model_tokens).where("token <> ''").distinct()
 
 
-MAX_PATTERN_CHARS = 32_000  # a longer literal would leave generated code
-MAX_DRIVER_TOKENS = 4_000  # a longer list is not brought to the driver
 GRAM = 8  # characters of a key that a longer token is looked up by
+SIEVE_WORDS = 1 << 16  # the sieve has that many words of 64 bits, whatever the number of tokens
 
 
-def contains_any_pattern(tokens: list[str]) -> str:
-    """One regular expression that finds any of the tokens.
+def _grams(text: str, width: Column) -> Column:
+    """Distinct runs of ``width`` characters; one that starts inside a character is harmless, as hits are confirmed."""
+    return F.array_distinct(F.regexp_extract_all(F.col(text), F.concat(F.lit("(?s)(?=(.{"), width, F.lit("}))")), F.lit(1)))
 
-    Shared beginnings are factored out, so a text position is compared with the
-    whole list at once. A token that starts with another one adds nothing.
-    """
-    tree: dict = {}
-    for token in sorted(set(tokens)):
-        node = tree
-        for char in token:
-            if None in node:
-                break
-            node = node.setdefault(char, {})
-        else:
-            node.clear()
-            node[None] = {}
 
-    def render(node: dict) -> str:
-        if None in node:
-            return ""
-        branches = [_escape(char) + render(child) for char, child in node.items()]
-        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+def _bit(gram: str) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(64 * SIEVE_WORDS))
 
-    return render(tree)
 
+def sieve(keys: DataFrame) -> DataFrame:
+    """One row with one array of fixed length: a bitmap of the hashed ``gram`` column."""
+    set_bits = keys.select(_bit("gram").alias("bit")).groupBy(F.expr("bit div 64").alias("id")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")
+    )
+    words = keys.sparkSession.range(SIEVE_WORDS).join(set_bits, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    return words.agg(F.transform(ordered, lambda w: w["bits"]).alias("words"))
 
-def _escape(char: str) -> str:
-    return "\\" + char if char.isascii() and not char.isalnum() and char != "\n" else char
 
+def _passes(gram: str, bitmap: Column) -> Column:
+    bit = _bit(gram)
+    word = F.get(bitmap, F.floor(bit / 64).cast("int"))
+    return F.bit_get(word, (bit % 64).cast("int")) == 1
 
-def _pattern(tokens: DataFrame) -> Column | None:
-    """Condition on ``text`` for a list that fits into one pattern; null for any other."""
-    found = [r[0] for r in tokens.select("token").limit(MAX_DRIVER_TOKENS + 1).collect()]
-    if not found:
-        return F.lit(False)
-    if len(found) > MAX_DRIVER_TOKENS or len(pattern := contains_any_pattern(found)) > MAX_PATTERN_CHARS:
-        return None
-    return F.col("text").rlike(pattern)
 
+#: A text's identity in 128 bits: the second hash starts from another seed.
+_TEXT = ["_t1", "_t2"]
 
-def _grams(text: str, width: Column) -> Column:
-    """Distinct runs of ``width`` characters; one that starts inside a character is harmless, as hits are confirmed."""
-    return F.array_distinct(F.regexp_extract_all(F.col(text), F.concat(F.lit("(?s)(?=(.{"), width, F.lit("}))")), F.lit(1)))
+
+def _identified(texts: DataFrame, wanted: Column | None = None) -> DataFrame:
+    wanted = F.lit(True) if wanted is None else wanted
+    return texts.withColumn("_t1", F.when(wanted, F.xxhash64("text"))).withColumn("_t2", F.when(wanted, F.xxhash64(F.lit(1), "text")))
 
 
 def _mentioning(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Distinct ``_text`` hashes of the texts that contain any token, for a list of any size.
+    """Identities of the texts that contain any token, for a list of any size.
 
-    Each token is looked up by that run of its characters which fewest tokens have, by
-    equality with the runs of the texts; what meets is confirmed on the text.
+    Each token is looked up by that run of its characters which fewest tokens have. The runs of a text
+    pass through the sieve of these keys in the task that cuts them, so few of them are ever shuffled;
+    the rest meets the keys by equality, and what meets is confirmed on the text.
     """
     tokens = tokens.select("token", F.least(F.length("token"), F.lit(GRAM)).alias("width")).distinct()
     runs = tokens.select("token", "width", F.explode(_grams("token", F.col("width").cast("string"))).alias("gram"))
     shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     keys = runs.join(shared, "gram").groupBy("token").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
     widths = tokens.select("width").distinct()  # no more than GRAM rows
-    texts = texts.where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("_text"), "text").dropDuplicates(["_text"])
-    cut = texts.crossJoin(F.broadcast(widths)).select("_text", F.explode(_grams("text", F.col("width").cast("string"))).alias("gram"))
-    met = cut.join(keys, "gram").select("_text", "token")
-    return met.join(texts, "_text").where(F.col("text").contains(F.col("token"))).select("_text").distinct()
+    texts = _identified(texts.where(F.col("text").isNotNull()).select("text"))
+    cut = texts.crossJoin(F.broadcast(widths)).select(*_TEXT, F.explode(_grams("text", F.col("width").cast("string"))).alias("gram"))
+    met = cut.where(_passes("gram", sieve(keys).scalar())).join(keys, "gram").select(*_TEXT, "token").distinct()
+    return met.join(texts.dropDuplicates(_TEXT), _TEXT).where(F.col("text").contains(F.col("token"))).select(*_TEXT).distinct()
 
 
 def _marked(files: DataFrame, tokens: DataFrame, wanted: Column) -> DataFrame:
-    """The files with ``_hit``: whether a wanted one contains any token.
-
-    A short list is one pattern, evaluated at the scan; a longer one is joined. Both give the same rows.
-    """
-    pattern = _pattern(tokens)
-    if pattern is not None:
-        return files.withColumn("_hit", wanted & F.coalesce(pattern, F.lit(False)))
-    hits = _mentioning(files.where(wanted).select("text"), tokens).withColumn("_found", F.lit(True))
-    keyed = files.withColumn("_text", F.when(wanted, F.sha2("text", 256)))
-    return lookup_join(keyed, hits, ["_text"], "left").withColumn("_hit", F.coalesce("_found", F.lit(False))).drop("_text", "_found")
+    """The files with ``_hit``: whether a wanted one contains any token. One plan for every list; nothing runs before it."""
+    hits = _mentioning(files.where(wanted), tokens).withColumn("_found", F.lit(True))
+    return lookup_join(_identified(files, wanted), hits, _TEXT, "left").withColumn("_hit", F.coalesce("_found", F.lit(False))).drop(*_TEXT, "_found")
 
 
 def prefilter(files: DataFrame, tokens: DataFrame) -> DataFrame:
