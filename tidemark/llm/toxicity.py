@@ -143,24 +143,21 @@ class Model:
     prior: float
 
 
-def _featured(docs: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
-    """The kept columns and ``features``, an array of doubles."""
+def _featured(docs: DataFrame, lexicon: dict[str, float], keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns and ``features``, an array of doubles; of a document only the text goes to Python."""
     spark = docs.sparkSession
     ship(spark)
     words = spark.sparkContext.broadcast(lexicon)
-    chosen = docs.select(*keep, "text")
-    schema = chosen.drop("text").schema.add("features", ArrayType(DoubleType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(words.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in slices(texts):
-                found = pa.array([reader.features(t) for t in texts[a:b]], pa.list_(pa.float64()))
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], found], names=[*rows.schema.names[:-1], "features"])
+            texts = batch.to_pylist()
+            parts = [pa.array([reader.features(t) for t in texts[a:b]], pa.list_(pa.float64())) for a, b in slices(texts)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
-    return chosen.mapInArrow(run, schema)
+    return docs.select(*keep, features(F.col(text)).alias("features"))
 
 
 def learn_lexicon(labelled: DataFrame, positives: int, negatives: int, size: int = LEXICON) -> dict[str, float]:
@@ -224,11 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(lexicon, trees, steps, prior)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns of the documents and ``score``."""
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns of the documents and ``score``; ``text`` names the column that is read."""
     if model.trees is None:
         return docs.select(*keep, F.lit(model.prior).alias("score"))
-    ready = _featured(docs, model.lexicon, keep).withColumn("features", array_to_vector("features"))
+    ready = _featured(docs, model.lexicon, keep, text).withColumn("features", array_to_vector("features"))
     raw = model.trees.transform(ready).select(*keep, vector_to_array("probability")[1].alias("raw"))
     if model.steps is None:
         return raw.withColumnRenamed("raw", "score")
@@ -246,5 +243,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below one half, with their columns."""
     # Columns travel as one struct, so that none of their names can clash with the model's.
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    return score(packed, fit(docs, labels), ["row"]).where("score < 0.5").select("row.*")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return score(packed, fit(docs, labels), ["row"], "row.text").where("score < 0.5").select("row.*")
