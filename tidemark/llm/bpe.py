@@ -163,11 +163,23 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row per document: number and digest of its ids, digest of the bytes that they decode to."""
+def report(docs: DataFrame, path: str, pattern: str, remember: bool = True) -> DataFrame:
+    """One row per document: number and digest of its ids, digest of the bytes that they decode to.
+
+    ``remember``: whether a worker keeps its tables and pieces for the tasks that follow; a stage of a
+    longer job gives the memory back at the end of each task.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            if not remember:
+                _codecs.pop((path, pattern), None)
+                pa.default_memory_pool().release_unused()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             doc_id, texts = (c.to_pylist() for c in batch.columns)
