@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.report(docs, path, public_tokenizers.PATTERN)
+    return bpe.report(docs, path, public_tokenizers.PATTERN, remember=False)
 
 
 STAGES: list[tuple[str, Stage]] = [
