@@ -222,6 +222,48 @@ def test_lines(frame, monkeypatch, hot):
     assert sum(r[2] for r in want) > 20
 
 
+def test_buckets_hand_on_hot_keys(spark):
+    """Whatever leaves a bucket early, all pairs of an index line and another line under a key come out once, or all lines of the key."""
+    chance = np.random.default_rng(4)
+    key = np.concatenate((chance.integers(0, 400, 3000), np.full(800, 7), np.full(900, 8), chance.integers(1000, 9000, 800))).astype(np.uint64)
+    row = chance.integers(-500, 500, len(key))
+    index = (chance.random(len(key)) < 0.3) & (key != 8)
+    order = chance.permutation(len(key))
+    for room in (100, 10**6):
+        bucket, pairs_, members = line_dedup.Bucket(300, room), set(), {}
+        outs = []
+        for part in np.array_split(order, 40):
+            for flag in (True, False):
+                one = part[index[part] == flag]
+                outs.append(bucket.add(key[one].tobytes() + row[one].tobytes(), flag))
+            if bucket.held > bucket.room:
+                outs.append(bucket.condense())
+        outs.append(bucket.close())
+        for out in (o for o in outs if o is not None):
+            for a, b, k in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                if k is None:
+                    pairs_.add((a, b))
+                else:
+                    members.setdefault(k, set()).add((a, b))
+        assert 7 in members and (room > 1000 or 8 in members)
+        for k in np.unique(key).tolist():
+            left, right = set(row[(key == k) & index].tolist()), set(row[key == k].tolist())
+            if k in members:
+                assert {a for a, _ in members[k]} == right and {a for a, b in members[k] if b} == left
+            else:
+                assert {(min(a, b), max(a, b)) for a in left for b in right if a != b} <= pairs_
+
+
+@pytest.mark.parametrize("entries", [500, 10**6])
+def test_lines_by_hot_keys_and_small_buckets(frame, monkeypatch, entries):
+    for name, value in (("HOT", 3), ("BLOCK", 8), ("ENTRIES", entries), ("HELD", 60), ("FLUSHED", 90), ("SLICE", 300)):
+        monkeypatch.setattr(line_dedup, name, value)
+    chance = random.Random(12)
+    bases = ["".join(chance.choices("abcé ", k=chance.randint(24, 40))) + "." for _ in range(3)]
+    rows = [(i, "\n".join(changed(chance.choice(bases), chance.randint(0, 4), chance) for _ in range(3))) for i in range(60)]
+    assert rows_of(line_dedup.report(frame(rows))) == deduplicated(rows)
+
+
 def test_lines_of_odd_rows(odd, empty):
     want = deduplicated([r for r in pairs(odd) if r[0] is not None and r[0] not in (4, 5, 9)])
     got = [r for r in rows_of(line_dedup.report(odd)) if r[0] is not None and r[0] not in (4, 5, 9)]

@@ -9,8 +9,10 @@ probes with the few substrings that can match it.  Lines that meet under a key a
 over arrays of pairs.  Near lines form classes, by union-find; of each class the first line stays,
 in the order of (doc_id, hash of text, place), and every other goes.
 
-Each task emits a repeated line once, so a line that many documents share is no hot key.  A key that
-more than ``HOT`` different lines hold is compared block by block; no key is left out.
+Each task emits a repeated line once, so a line that many documents share is no hot key.  Keys travel
+packed, in buckets of about ``ENTRIES``.  The lines of a hot key (over ``HOT`` squared pairs) are
+compared block by block on their texts, and only links that join two groups come out; no key is
+left out.
 
 A null text stays null and an empty one empty; both have no lines to lose.  A document may lose all
 its lines, then its text is empty.  Rows equal in doc_id and text are one document and are treated
@@ -34,10 +36,15 @@ from .components import components
 
 EDITS = 2
 SHORTEST = 24
-#: Lines under one key that are paired at once; more are compared in blocks.
+#: Keys with more pairs than this squared are hot: their lines are compared in blocks of so many lines or characters.
 HOT = 32
 BLOCK = 2048
-#: Documents that may be picked by a broadcast of their keys (24 bytes each).
+BLOCK_CHARS = 8_000_000
+#: Entries of a bucket of keys, those that a task holds of one before it looks for hot keys, and those it packs at once.
+ENTRIES = 1_000_000
+HELD = 2_000_000
+FLUSHED = 500_000
+#: Rows of keys (24 bytes each, or little more) that may be broadcast to pick lines or documents.
 PICKED = 400_000
 #: Characters of text whose lines are hashed together.
 SLICE = 400_000
@@ -98,6 +105,17 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * size + np.maximum(0, i - short), size + (i >= short)
 
 
+def offsets(edits: int) -> list[tuple[int, int, int]]:
+    """(characters that the other line has less, its segment, how far to the right it stands here) of the probes."""
+    # Matches before segment i use up at most i edits, those behind it at most edits - i.
+    return [
+        (less, i, shift)
+        for less in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
+
+
 def keys(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """(index keys, probe keys) of lines, one row each; probes that don't exist repeat the line's first key."""
     rolling = Rolling(codes)
@@ -108,15 +126,12 @@ def keys(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, edits: int) -
 
     index = np.stack([key(sizes, i, *segment(sizes, i, edits)) for i in range(edits + 1)], axis=1)
     probes = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            at, size = segment(sizes - less, i, edits)
-            # Matches before segment i use up at most i edits, those behind it at most edits - i.
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                start = at + shift
-                fits = (start >= 0) & (start + size <= sizes)
-                made = key(sizes - less, i, np.where(fits, start, 0), np.where(fits, size, 0))
-                probes.append(np.where(fits, made, index[:, 0]))
+    for less, i, shift in offsets(edits):
+        at, size = segment(sizes - less, i, edits)
+        start = at + shift
+        fits = (start >= 0) & (start + size <= sizes)
+        made = key(sizes - less, i, np.where(fits, start, 0), np.where(fits, size, 0))
+        probes.append(np.where(fits, made, index[:, 0]))
     return index, np.stack(probes, axis=1)
 
 
@@ -201,7 +216,7 @@ def _banded(a: list[str], b: list[str], edits: int) -> np.ndarray:
 LINES = pa.schema(
     [
         ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("id2", pa.int64()),
-        ("size", pa.int32()), ("parity", pa.int64()),
+        ("size", pa.int32()), ("parity", pa.int64()), ("number", pa.int32()),
     ]
 )
 
@@ -222,7 +237,7 @@ def _sizes(starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _lines(hashed: DataFrame) -> DataFrame:
-    """One row per line that is not blank."""
+    """One row per line that is not blank; ``number`` counts them from 1 in their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,25 +252,51 @@ def _lines(hashed: DataFrame) -> DataFrame:
                 full = np.array([i for i, s in enumerate(lines) if s and not s.isspace()], np.int64)
                 ids, ids2 = line_ids([lines[i] for i in full.tolist()])
                 owners = doc[full].tolist()
+                number = np.arange(len(full)) - np.searchsorted(doc[full], doc[full]) + 1
                 yield arrow(
                     {
                         "doc_id": [doc_id[k] for k in owners], "h1": [h1[k] for k in owners], "h2": [h2[k] for k in owners], "place": place[full],
                         "id": ids, "id2": ids2, "size": sizes[full], "parity": parities(codes, starts, sizes)[full].view(np.int64),
+                        "number": number,
                     },
                     LINES,
                 )
 
-    return hashed.select("doc_id", "h1", "h2", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, place int, id long, id2 long, size int, parity long")
+    return hashed.select("doc_id", "h1", "h2", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, place int, id long, id2 long, size int, parity long, number int")
 
 
-KEYS = pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def _keyed(hashed: DataFrame, edits: int, shortest: int, buckets: int) -> DataFrame:
+    """Keys of the lines long enough, each line about once per task, dealt into buckets of keys.
+
+    A row holds many entries of one bucket: in ``index`` and ``probes`` all keys and then all ids.
+    """
 
+    # Without the probes that are index keys of the line itself: index entries probe, too.
+    moved = [k for k, (less, _, shift) in enumerate(offsets(edits)) if less or shift]
 
-def _keyed(hashed: DataFrame, edits: int, shortest: int) -> DataFrame:
-    """(id, keys) of the lines long enough, each about once per task: index keys first, then probes."""
+    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[int, bytes]:
+        key, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = _bucket(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        key, row, bucket = key[order], row[order], bucket[order]
+        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        end = np.append(start[1:], len(bucket))
+        return {int(bucket[s]): key[s:e].tobytes() + row[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
+        index: list[tuple[np.ndarray, np.ndarray]] = []
+        probes: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            one, two = packed(index), packed(probes)
+            index.clear()
+            probes.clear()
+            at = sorted({*one, *two})
+            columns = [pa.array(at, pa.int32()), *(pa.array([x.get(k, b"") for k in at], pa.binary()) for x in (one, two))]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "index", "probes"])
+
+        held = 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, SLICE):
@@ -271,97 +312,207 @@ def _keyed(hashed: DataFrame, edits: int, shortest: int) -> DataFrame:
                 if len(known) > REMEMBERED:
                     known.clear()
                 if new:
-                    flat = np.concatenate(keys(codes, starts[new], sizes[new], edits), axis=1)
-                    offsets = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
-                    lists = pa.ListArray.from_arrays(offsets, pa.array(flat.ravel().view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], schema=KEYS)
+                    row = np.array(ids, np.int64)
+                    own, others = keys(codes, starts[new], sizes[new], edits)
+                    for made, out in ((own, index), (others[:, moved], probes)):
+                        out.append((made.ravel(), np.repeat(row, made.shape[1])))
+                        held += made.size
+                    if held > FLUSHED:
+                        yield flush()
+                        held = 0
+        if held:
+            yield flush()
+
+    return hashed.select("text").mapInArrow(run, "bucket int, index binary, probes binary")
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+class Bucket:
+    """Entries of one bucket of keys; keys of many lines leave it as soon as they show."""
+
+    def __init__(self, most: int, room: int) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.most, self.held, self.least = most, 0, room
+        self.room = room
+        self.hot = np.zeros(0, np.uint64)
+
+    def add(self, data: bytes, index: bool) -> pa.RecordBatch | None:
+        if not data:
+            return None
+        key, row = np.frombuffer(data, np.uint64).reshape(2, -1)
+        row = row.view(np.int64)
+        known, out = np.isin(key, self.hot) if len(self.hot) else np.zeros(len(key), bool), None
+        if known.any():
+            out = _met(members=(key[known], row[known], np.full(int(known.sum()), index)))
+            key, row = key[~known], row[~known]
+        self.parts.append((key, row, np.full(len(key), index)))
+        self.held += len(key)
+        return out
+
+    def _sorted(self) -> tuple[np.ndarray, ...]:
+        """Distinct (key, row), index entries first, by key; where each key starts and ends, its lines, its index lines."""
+        key, row, index = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((~index, row, key))
+        key, row, index = key[order], row[order], index[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+        return key[fresh], row[fresh], index[fresh]
+
+    def _alone_out(self) -> None:
+        """Entries whose key occurs once meet nothing."""
+        key, row, index = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        same = ordered[1:] == ordered[:-1]
+        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+        self.parts = [(key[order], row[order], index[order])]
+
+    def condense(self) -> pa.RecordBatch:
+        """Repeats go, and the lines of hot keys, which are handed on."""
+        key, row, index = self._sorted()
+        start, end, owners = _runs(key, index)
+        # Index lines of a long key may still come, so its lines count alone.
+        hot = np.repeat(np.maximum(owners, 1) * (end - start) > self.most, end - start)
+        self.hot = np.union1d(self.hot, key[hot])
+        out = _met(members=(key[hot], row[hot], index[hot]))
+        self.parts = [(key[~hot], row[~hot], index[~hot])]
+        self.held = int((~hot).sum())
+        self.room = max(self.least, 2 * self.held)
+        return out
+
+    def close(self) -> pa.RecordBatch:
+        self._alone_out()
+        key, row, index = self._sorted() if len(self.parts[0][0]) else self.parts[0]
+        if not len(key):
+            return _met()
+        start, end, owners = _runs(key, index)
+        some = (end - start > 1) & (owners > 0)
+        hot = some & (owners * (end - start) > self.most)
+        two = some & ~hot & (end - start == 2)
+        a, b = [row[start[two]]], [row[start[two] + 1]]
+        for s, e in zip(*(x[some & ~hot & ~two].tolist() for x in (start, end)), strict=True):
+            right = row[s:e]
+            left = right[index[s:e]]
+            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+            a.append(x[x != y])
+            b.append(y[x != y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        inside = np.repeat(hot, end - start)
+        return _met((np.minimum(a, b), np.maximum(a, b)), (key[inside], row[inside], index[inside]))
+
+
+def _runs(key: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(key)) if len(key) else start
+    on = np.concatenate(([0], np.cumsum(index)))
+    return start, end, on[end] - on[start]
+
+
+def _met(pairs: tuple[np.ndarray, ...] = (), members: tuple[np.ndarray, ...] = ()) -> pa.RecordBatch:
+    """Rows (a, b, null) for pairs and (line, whether by an index key, key) for lines of a hot key."""
+    none = np.zeros(0, np.int64)
+    a, b = pairs or (none, none)
+    key, row, index = members or (none, none, none)
+    columns = [np.concatenate((a, row)).astype(np.int64), np.concatenate((b, index)).astype(np.int64)]
+    absent = np.concatenate((np.ones(len(a), bool), np.zeros(len(key), bool)))
+    keys_of = pa.array(np.concatenate((np.zeros(len(a), np.int64), key.astype(np.uint64).view(np.int64))), mask=absent)
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), keys_of], names=["a", "b", "key"])
+
+
+def _meet(keyed: DataFrame) -> DataFrame:
+    """(a, b, key): pairs under a key of an index line and a probing one; lines of hot keys come one by one."""
+    most, room = HOT * HOT, HELD
 
-    return hashed.select("text").mapInArrow(run, "id long, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, Bucket(most, room)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bucket, *data = (batch.column(c)[k].as_py() for c in range(3))
+                if bucket != at:
+                    if own.held:
+                        yield own.close()
+                    at, own = bucket, Bucket(most, room)
+                for part, index in zip(data, (True, False), strict=True):
+                    if (out := own.add(part, index)) is not None:
+                        yield out
+                if own.held > own.room:
+                    yield own.condense()
+        if own.held:
+            yield own.close()
+
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, key long")
+
+
+def merge(left: np.ndarray, right: np.ndarray, label: np.ndarray, lines: list[str], edits: int) -> list[tuple[int, int]]:
+    """Links of labels by near pairs of left and right lines (positions); ``label`` is brought up to date.
+
+    Lines of one label are not compared any more, so a dense group takes about one check per line.
+    """
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(s) for s in lines], np.int64)
+    bits = parities(codes, np.cumsum(sizes) - sizes, sizes)
+    out = []
+    for r in left.tolist():
+        near = right[label[right] != label[r]]
+        room = (np.bitwise_count(bits[near] ^ bits[r]) <= 2 * edits) & (np.abs(sizes[near] - sizes[r]) <= edits)
+        near = near[room]
+        while len(near):
+            first = np.unique(label[near], return_index=True)[1]
+            tried = near[first]
+            found = tried[within([(lines[r], lines[k]) for k in tried.tolist()], edits)]
+            if len(found):
+                joined = np.unique(np.append(label[found], label[r]))
+                out += [(int(joined[0]), int(x)) for x in joined[1:]]
+                label[np.isin(label, joined)] = joined[0]
+            near = np.delete(near, first)
+            near = near[label[near] != label[r]]
+    return out
 
 
-def _meet(rows: DataFrame) -> DataFrame:
-    """(a, b, key): pairs under a key of an index line and a probing one; a key that is hot comes alone."""
+def _in_blocks(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Links that connect the near lines of hot keys, verified on texts: first inside blocks, then between them."""
+    picked = members.groupBy("key", "id").agg(F.max("index").alias("index")).join(texts, "id")
+    count = picked.groupBy("key").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("line")) / BLOCK_CHARS)).cast("int").alias("blocks"), F.max("index").alias("met")
+    )
+    placed = picked.join(count.where("met > 0"), "key").select(
+        "key", "id", "line", F.col("index") > 0, "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")
+    ).toDF("key", "id", "line", "first", "blocks", "own")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(key: np.ndarray, row: np.ndarray, index: np.ndarray) -> pa.RecordBatch:
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            end = np.append(start[1:], len(key))
-            on = np.concatenate(([0], np.cumsum(index)))
-            owners = on[end] - on[start]
-            a, b, hot = [], [], []
-            # Most keys have a single line or no index line at all.
-            for s, e in zip(*(x[(end - start > 1) & (owners > 0)].tolist() for x in (start, end)), strict=True):
-                left, right = np.unique(row[s:e][index[s:e]]), np.unique(row[s:e])
-                if len(left) > HOT:
-                    hot.append(int(key[s]))
-                elif len(right) > 1:
-                    x, y = np.repeat(left, len(right)), np.tile(right, len(left))
-                    differ = x != y
-                    a.append(np.minimum(x, y)[differ])
-                    b.append(np.maximum(x, y)[differ])
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-            columns = [np.concatenate((x, np.zeros(len(hot), np.int64))) for x in (a, b)]
-            key_column = pa.array([None] * len(a) + hot, pa.int64())
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), key_column], names=["a", "b", "key"])
-
-        kept = None
-        for batch in batches:
-            key, row, index = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if kept is not None:
-                key, row, index = (np.concatenate(x) for x in zip(kept, (key, row, index), strict=True))
-            # The last key may go on in the next batch; of a hot one it is enough to know that it is.
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield made(key[:last], row[:last], index[:last].astype(bool))
-            kept = tuple(x[last:] for x in (key, row, index))
-            if len(kept[0]) > 50_000:
-                kept = _condensed(*kept)
-        if kept is not None and len(kept[0]):
-            yield made(kept[0], kept[1], kept[2].astype(bool))
-
-    dealt = rows.repartition("key").sortWithinPartitions("key").select("key", "id", "index")
-    return dealt.mapInArrow(run, "a long, b long, key long")
-
-
-def _condensed(key: np.ndarray, row: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of one key without repeats; once the key is hot, no more than shows it."""
-    index = index.astype(bool)
-    left, right = np.unique(row[index]), np.unique(row)
-    if len(left) > HOT:
-        left = left[: HOT + 1]
-        right = left
-    out = np.concatenate((left, right))
-    return np.full(len(out), key[0]), out, np.concatenate((np.ones(len(left), bool), np.zeros(len(right), bool)))
-
-
-def _in_blocks(rows: DataFrame, hot: DataFrame, meta: DataFrame, edits: int) -> DataFrame:
-    """Pairs under hot keys whose parities and sizes leave room for the edits."""
-    picked = rows.join(hot, "key").distinct().join(meta, "id")
-    count = picked.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = picked.join(count, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.where("index").withColumn("i", F.col("own")).withColumn("j", every)
-    right = placed.withColumn("j", F.col("own")).withColumn("i", every)
-    both = left.select("key", "i", "j", "id", "size", "parity", F.lit(True).alias("first")).union(right.select("key", "i", "j", "id", "size", "parity", F.lit(False)))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[group["first"]], group[~group["first"]]
-        ids, sizes, bits = (y[c].to_numpy() for c in ("id", "size", "parity"))
-        out = []
-        for r in x.itertuples():
-            near = (np.bitwise_count((bits ^ r.parity).view(np.uint64)) <= 2 * edits) & (np.abs(sizes - r.size) <= edits) & (ids != r.id)
-            if near.any():
-                out.append(pd.DataFrame({"a": np.minimum(ids[near], r.id), "b": np.maximum(ids[near], r.id)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
-
-    return both.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    def inside(group: pd.DataFrame) -> pd.DataFrame:
+        label, first = group["id"].to_numpy(np.int64, copy=True), group["first"].to_numpy(bool)
+        merge(np.flatnonzero(first), np.arange(len(label)), label, group["line"].tolist(), edits)
+        return group.assign(label=label)
+
+    kind = "key long, id long, line string, first boolean, blocks int, own int, label long"
+    labelled = durable(placed.groupBy("key", "own").applyInPandas(inside, kind), "line-blocks")
+    other = F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> own)"))
+    crossed = labelled.where("blocks > 1").select("*", other.alias("other"))
+    crossed = crossed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def between(group: pd.DataFrame) -> pd.DataFrame:
+        label, first, low = group["label"].to_numpy(np.int64, copy=True), group["first"].to_numpy(bool), (group["own"] == group["i"]).to_numpy(bool)
+        lines, out = group["line"].tolist(), []
+        for side in (low, ~low):
+            out += merge(np.flatnonzero(first & side), np.flatnonzero(~side), label, lines, edits)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    between_blocks = crossed.groupBy("key", "i", "j").applyInPandas(between, "a long, b long")
+    return labelled.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b")).union(between_blocks)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast as long as it has at most ``PICKED`` rows."""
+    return F.broadcast(df) if df.count() <= PICKED else df
 
 
 def _texts(hashed: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, line) for the ids, each from its first document."""
-    place = lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("h1", "h2", "place")).alias("at"))
+    place = lines.join(_few(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct("h1", "h2", "place")).alias("at"))
     wanted = durable(place.groupBy("at.h1", "at.h2").agg(F.collect_set("at.place").alias("places")), "line-wanted")
-    few = wanted.count() <= PICKED
-    picked = hashed.select("h1", "h2", "text").join(F.broadcast(wanted) if few else wanted, ["h1", "h2"]).select("text", "places")
+    picked = hashed.select("h1", "h2", "text").join(_few(wanted), ["h1", "h2"]).select("text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,23 +522,22 @@ def _texts(hashed: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(line_ids(found)[0]), pa.array(found, pa.string())], names=["id", "line"])
 
-    return picked.mapInArrow(run, "id long, line string").groupBy("id").agg(F.first("line").alias("line"))
+    return durable(picked.mapInArrow(run, "id long, line string").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
 
 
 def links(hashed: DataFrame, lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(a, b): ids of different lines at most so many edits apart."""
-    spread = _keyed(hashed, edits, shortest).select("id", F.posexplode("keys").alias("k", "key")).select("key", "id", (F.col("k") <= edits).alias("index"))
-    met = durable(_meet(spread), "line-met")
-    meta = lines.where(F.col("size") >= shortest).groupBy("id").agg(F.first("size").alias("size"), F.first("parity").alias("parity"))
-    hot = met.where("key is not null").select("key").distinct()
-    pairs = met.where("key is null").select("a", "b").distinct()
+    """(a, b): ids of different lines at most so many edits apart; of lines under hot keys enough to connect them."""
+    entries = lines.where(F.col("size") >= shortest).count() * (edits + 1) * (edits + 2)
+    met = durable(_meet(_keyed(hashed, edits, shortest, max(1, -(-entries // ENTRIES)))), "line-met")
+    pairs = durable(met.where("key is null").select("a", "b").distinct(), "line-pairs")
+    members = met.where("key is not null").select("key", F.col("a").alias("id"), F.col("b").alias("index"))
+    paired = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-paired")
+    meta = lines.join(_few(paired), "id", "left_semi").groupBy("id").agg(F.first("size").alias("size"), F.first("parity").alias("parity"))
+    meta = durable(meta, "line-meta")
     one, two = (meta.select(F.col("id").alias(c), F.col("size").alias(f"s{c}"), F.col("parity").alias(f"p{c}")) for c in ("a", "b"))
     room = (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * edits) & (F.abs(F.col("sa") - F.col("sb")) <= edits)
-    close = pairs.join(one, "a").join(two, "b").where(room).select("a", "b")
-    if hot.limit(1).count():
-        close = close.union(_in_blocks(spread, hot, meta, edits)).distinct()
-    close = durable(close, "line-close")
-    ids = durable(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "line-ids")
+    close = durable(pairs.join(one, "a").join(two, "b").where(room).select("a", "b"), "line-close")
+    ids = durable(close.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct(), "line-ids")
     texts = _texts(hashed, lines, ids)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +547,7 @@ def links(hashed: DataFrame, lines: DataFrame, edits: int = EDITS, shortest: int
 
     one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"t{c}")) for c in ("a", "b"))
     checked = close.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-    return durable(checked, "line-links")
+    return durable(checked.union(_in_blocks(members, texts, edits)), "line-links")
 
 
 def _removed(docs: DataFrame, edits: int, shortest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -407,13 +557,16 @@ def _removed(docs: DataFrame, edits: int, shortest: int) -> tuple[DataFrame, Dat
     lines = durable(_lines(hashed), "lines")
     classes = components(links(hashed, lines, edits, shortest)).select(F.col("node").alias("id"), "component")
     # A line outside all links is a class of its own, told by 128 bits.
-    named = lines.join(classes, "id", "left").select(
+    named = lines.join(_few(durable(classes, "line-nodes")), "id", "left").select(
         "doc_id", "h1", "h2", "place", F.coalesce("component", "id").alias("c1"), F.when(F.col("component").isNull(), F.col("id2")).alias("c2")
     )
+    named = named.withColumn("c2", F.coalesce("c2", F.lit(0)))
+    # Most lines stand alone; only classes of several go on.
+    several = durable(named.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"), "line-several")
+    named = durable(named.join(_few(several), ["c1", "c2"]), "line-classes")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h1", "h2", "place")
-    named = durable(named.withColumn("c2", F.coalesce("c2", F.lit(0))), "line-classes")
     first = named.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("c1", "c2", "first")
-    gone = named.join(first, ["c1", "c2"]).where(~order.eqNullSafe(F.col("first")))
+    gone = named.join(_few(durable(first, "line-first")), ["c1", "c2"]).where(~order.eqNullSafe(F.col("first")))
     places = gone.groupBy("doc_id", "h1", "h2").agg(F.collect_set("place").alias("places"))
     return hashed, lines, durable(places, "line-gone")
 
@@ -433,9 +586,7 @@ def _same(table: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 def _split(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents that keep all lines, those that lose some, with ``text`` cut); only the latter are shuffled."""
-    marks = gone.select("doc_id", "h1", "h2")
-    if gone.count() <= PICKED:
-        marks = F.broadcast(marks)
+    marks = _few(gone.select("doc_id", "h1", "h2"))
     joined = _same(_same(docs, marks, "left_semi"), gone, "inner")
     at = docs.columns.index("text")
 
@@ -454,7 +605,7 @@ def report(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
     hashed, lines, gone = _removed(docs, edits, shortest)
     key = ["doc_id", "h1", "h2"]
     whole, cut = (t.select(*key, F.sha2("text", 256).alias("kept_sha256")) for t in _split(hashed, gone))
-    counts = lines.groupBy(*key, "place").agg(F.lit(1)).groupBy(*key).agg(F.count("*").alias("n_lines"))
+    counts = lines.groupBy(*key).agg(F.max("number").cast("long").alias("n_lines"))
     sizes = gone.select(*key, F.size("places").cast("long").alias("n_removed"))
     table = _same(_same(whole.union(cut), counts, "left"), sizes, "left")
     nothing = F.lit(0).cast("long")
