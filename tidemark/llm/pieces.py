@@ -78,23 +78,25 @@ class PieceIds:
         """(all ids in order, number of ids of each text)."""
         if len(self.place) > REMEMBERED:
             self._forget()
+        # Pieces that begin with a blank are known without it, which saves a copy of each; no such
+        # rest begins with a blank, so a blank marks the others.
         keys: list[str] = []
         counts = []
         for text in texts:
             before = len(keys)
             if text and self.whole and self.whole in text:
-                keys.append(text)
+                keys.append(" " + text)
             elif text:
                 first, rest = cut(text)
                 if first:
-                    keys.append(first)
-                keys += [" " + p for p in rest]
+                    keys.append(" " + first)
+                keys += rest
             counts.append(len(keys) - before)
         index = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
         if len(missing := np.flatnonzero(index < 0)):
             new = [keys[i] for i in missing.tolist()]
             distinct = list(dict.fromkeys(new))
-            self._add(distinct, *self.encode(distinct))
+            self._add(distinct, *self.encode([k[1:] if k[:1] == " " else " " + k for k in distinct]))
             index[missing] = [self.place[p] for p in new]
         self.uses += np.bincount(index, minlength=len(self.uses))
         ends = np.concatenate(([0], np.cumsum(self.size[index])))

@@ -216,26 +216,34 @@ class Encoder:
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Joined are only pieces of a blank and characters that are not white space: between these
         # the tokenizer cuts by itself. The others are encoded one by one.
-        plain = [k for k, p in enumerate(pieces) if PLAIN.fullmatch(p)]
-        joined = "".join([pieces[k] for k in plain])
+        # White space other than a blank isn't printable, so most pieces need no regular expression.
+        odd = [
+            k for k, p in enumerate(pieces)
+            if (p[:1] != " " or len(p) < 2 or " " in p[1:] or not p.isprintable()) and not PLAIN.fullmatch(p)
+        ]
+        single = np.zeros(len(pieces), bool)
+        single[odd] = True
+        chosen = [p for p, alone in zip(pieces, single.tolist(), strict=True) if not alone] if odd else pieces
+        joined = "".join(chosen)
         if any(s in joined for s in self.special):
-            plain, joined = [], ""
+            odd, chosen, joined = range(len(pieces)), [], ""
+            single[:] = True
         sizes = np.zeros(len(pieces), np.int64)
         found = np.zeros(0, np.uint32)
-        if plain:
+        if chosen:
             found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(self.bytes_of[found])
-            bounds = np.cumsum([len(pieces[k].encode()) for k in plain])
-            sizes[plain] = np.diff(np.searchsorted(ends, bounds) + 1, prepend=0)
-            if len(plain) == len(pieces):
+            bounds = np.cumsum(np.fromiter(map(len, chosen), np.int64, len(chosen)))
+            if not joined.isascii():
+                # From characters to bytes: where each character begins, and the end.
+                raw = np.frombuffer(joined.encode(), np.uint8)
+                bounds = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[bounds]
+            sizes[~single] = np.diff(np.searchsorted(ends, bounds) + 1, prepend=0)
+            if not len(odd):
                 return found, sizes
-        chosen = set(plain)
-        odd = [k for k in range(len(pieces)) if k not in chosen]
         each = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False)]
         sizes[odd] = [len(ids) for ids in each]
         out = np.zeros(int(sizes.sum()), np.uint32)
-        single = np.zeros(len(pieces), bool)
-        single[odd] = True
         alone = np.repeat(single, sizes)
         out[alone] = [i for ids in each for i in ids]
         out[~alone] = found
