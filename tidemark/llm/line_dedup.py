@@ -477,7 +477,8 @@ def _in_blocks(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     count = picked.groupBy("key").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("line")) / BLOCK_CHARS)).cast("int").alias("blocks"), F.max("index").alias("met")
     )
-    placed = picked.join(count.where("met > 0"), "key").select(
+    count = durable(count.where("met > 0").select("key", "blocks"), "line-hot")
+    placed = picked.join(_few(count), "key").select(
         "key", "id", "line", F.col("index") > 0, "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")
     ).toDF("key", "id", "line", "first", "blocks", "own")
 
@@ -487,7 +488,8 @@ def _in_blocks(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         return group.assign(label=label)
 
     kind = "key long, id long, line string, first boolean, blocks int, own int, label long"
-    labelled = durable(placed.groupBy("key", "own").applyInPandas(inside, kind), "line-blocks")
+    # Dealt by block: a join on the key alone would leave all blocks of a key in one task.
+    labelled = durable(placed.repartition("key", "own").groupBy("key", "own").applyInPandas(inside, kind), "line-blocks")
     other = F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> own)"))
     crossed = labelled.where("blocks > 1").select("*", other.alias("other"))
     crossed = crossed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
