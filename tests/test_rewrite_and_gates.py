@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators import gates as G, params as P, rewrite as W, specdiff, tiers, usage
+from tidemark.sources import specs
 
 
 def test_apply_edits_equals_slicing(spark):
@@ -82,7 +83,68 @@ def test_spec_diff_golden(spark):
         ("enum_value_change", "Charge.status", "[a, b]", "[b, c]"),
         ("field_removed", "Charge.gone", None, None),
         ("field_rename", "Charge.card.name", "name", "holder"),
-    }  # y -> q sits one level too deep to be compared
+        ("field_rename", "Charge.card.deep.x.y", "y", "q"),
+    }
+    shallow = specdiff.compared_objects(specdiff.paired_schemas(_specs(spark, SPEC, SPEC_B), "A", "B"), 3)
+    assert sorted(r.path for r in shallow.collect()) == ["Charge", "Charge.card", "Charge.card.deep"]
+
+
+def _random_object(rng, depth):
+    names = rng.sample(["a", "b", "c", "d{", 'e"}'], rng.randint(0, 3))
+    node = {}
+    for n in names:
+        if depth and rng.random() < 0.6:
+            node[n] = {"properties": _random_object(rng, depth - 1), "note": "}}{ \\\" {"}
+        else:
+            node[n] = rng.choice([{"type": "string"}, {"type": "number"}, {}, True, {"type": "string", "enum": ["x"]}])
+    return node
+
+
+def _walk(schema, path):
+    """Path of every node below a schema, by plain recursion."""
+    for name, node in schema.get("properties", {}).items():
+        yield f"{path}.{name}"
+        if isinstance(node, dict):
+            yield from _walk(node, f"{path}.{name}")
+
+
+def _diff(a, b, path):
+    pa, pb = a.get("properties", {}), b.get("properties", {})
+    kind = lambda n: n.get("type", "object" if "properties" in n else "") if isinstance(n, dict) else ""
+    lost, gained = [k for k in pa if k not in pb], [k for k in pb if k not in pa]
+    if len(lost) == len(gained) == 1 and kind(pa[lost[0]]) == kind(pb[gained[0]]):
+        yield "field_rename", f"{path}.{lost[0]}"
+    else:
+        yield from (("field_removed", f"{path}.{k}") for k in lost)
+    for k in pa:
+        if k not in pb:
+            continue
+        x, y = pa[k], pb[k]
+        if kind(x) and kind(y) and kind(x) != kind(y):
+            yield "type_change", f"{path}.{k}"
+        enum = lambda n: n.get("enum") if isinstance(n, dict) else None
+        if enum(x) != enum(y):
+            yield "enum_value_change", f"{path}.{k}"
+        if isinstance(x, dict) and isinstance(y, dict) and "properties" in x and "properties" in y:
+            yield from _diff(x, y, f"{path}.{k}")
+
+
+def test_specs_have_no_depth_limit(spark):
+    rng = random.Random(11)
+    a = {f"S{i}": {"properties": _random_object(rng, 7)} for i in range(40)}
+    b = {f"S{i}": {"properties": _random_object(rng, 7)} for i in range(40)}
+    chain_a, chain_b = {"type": "string"}, {"type": "number"}
+    for _ in range(30):
+        chain_a, chain_b = {"properties": {"n": chain_a}}, {"properties": {"n": chain_b}}
+    a["S0"], b["S0"] = chain_a, chain_b
+    both = _specs(spark, a, b)
+    got = sorted((r.kind, r.path) for r in specdiff.spec_diff(both).collect())
+    assert got == sorted(c for name in a for c in _diff(a[name], b[name], name))
+    rows = specs.flatten_specs(both.where("version = 'A'")).collect()
+    below = sorted(f"{r.parent}.{r.name}" for r in rows if r.depth >= 0)
+    assert below == sorted(p for name in a for p in _walk(a[name], name))
+    assert max(r.depth for r in rows) == 29
+    assert max(r.depth for r in specs.flatten_specs(both, max_depth=2).collect()) == 1
 
 
 def test_spec_against_itself_is_empty(spark):

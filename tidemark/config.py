@@ -144,7 +144,6 @@ ANNOTATION_LINES = 5
 ANNOTATIONS = ("model-catalog", "ignore-file")
 
 # --- fixed values: spec diff, logs, gates ------------------------------------
-SPEC_MAX_DEPTH = 3
 CHANGE_KINDS = ("field_rename", "field_removed", "type_change", "enum_value_change")
 LOG_MAX_CHARS = 8000
 GATES = ("typecheck", "tests", "eval")

@@ -11,10 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..sources.specs import enum_values, has_properties, normalized_type
+from ..sources.specs import (
+    bounded,
+    descend,
+    enum_values,
+    levels_below,
+    normalized_type,
+    read_node,
+    read_properties,
+)
 
 _MAP = "map<string,string>"
-_NODE = "struct<path:string,a:string,b:string>"
+_NODE = "struct<type:string,enum:string,properties:string>"
+_PAIR = f"struct<path:string,a:{_NODE},b:{_NODE}>"
 
 
 def enum_label(values: Column) -> Column:
@@ -36,48 +45,56 @@ def paired_schemas(specs: DataFrame, old: str, new: str) -> DataFrame:
         F.explode(F.from_json(F.get_json_object("doc", "$.components.schemas"), _MAP)).alias("path", "node"),
     )
     side = lambda v: F.max(F.when(F.col("version") == v, F.col("node")))
+    # A small text is long work below, so the partitions are stated: adaptive
+    # execution would merge them by their bytes. The grouping reuses them.
+    tasks = int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        schemas.groupBy("api", "path")
+        schemas.repartition(tasks, "api", "path")
+        .groupBy("api", "path")
         .agg(side(old).alias("a"), side(new).alias("b"))
         # Also drops schemas missing on one side. Equal JSON cannot differ.
         .where(F.col("a") != F.col("b"))
     )
 
 
-def _properties(node: Column) -> Column:
-    parsed = F.from_json(F.get_json_object(node, "$.properties"), _MAP)
-    return F.coalesce(parsed, F.create_map().cast(_MAP))
-
-
-def _children(node: Column) -> Column:
-    """Properties that are objects with properties on both sides."""
+def _children(pair: Column) -> Column:
+    """Properties that are objects with properties on both sides, and not the same ones."""
 
     def kids(parsed: Column) -> Column:
+        pa, pb = parsed["pa"], parsed["pb"]
+        # Equal JSON cannot differ; most properties end here, unread.
+        suspects = F.filter(
+            F.array_intersect(F.map_keys(pa), F.map_keys(pb)),
+            lambda k: F.element_at(pa, k) != F.element_at(pb, k),
+        )
         return F.transform(
-            F.array_intersect(F.map_keys(parsed["pa"]), F.map_keys(parsed["pb"])),
+            suspects,
             lambda k: F.struct(
-                F.concat(node["path"], F.lit("."), k).alias("path"),
-                F.element_at(parsed["pa"], k).alias("a"),
-                F.element_at(parsed["pb"], k).alias("b"),
+                F.concat(pair["path"], F.lit("."), k).alias("path"),
+                read_node(F.element_at(pa, k)).alias("a"),
+                read_node(F.element_at(pb, k)).alias("b"),
             ),
         )
 
     # The one-element array binds the parsed maps, so each JSON is read once.
-    once = F.array(F.struct(_properties(node["a"]).alias("pa"), _properties(node["b"]).alias("pb")))
+    once = F.array(F.struct(read_properties(pair["a"]).alias("pa"), read_properties(pair["b"]).alias("pb")))
     return F.filter(
-        F.flatten(F.transform(once, kids)),
-        lambda n: (n["a"] != n["b"]) & has_properties(n["a"]) & has_properties(n["b"]),
+        F.flatten(F.transform(once, kids)), lambda n: n["a"]["properties"] != n["b"]["properties"]
     )
 
 
-def compared_objects(schemas: DataFrame, max_depth: int = C.SPEC_MAX_DEPTH) -> DataFrame:
-    """Every object to compare: schemas and, to a fixed depth, objects inside them."""
-    level = schemas.withColumn("_n", F.array(F.struct("path", "a", "b").cast(_NODE)))
-    level = level.select("api", F.col("_n").alias("_level"), F.col("_n").alias("_all"))
-    for _ in range(max_depth - 1):
-        level = level.withColumn("_level", F.flatten(F.transform("_level", _children)))
-        level = level.withColumn("_all", F.concat("_all", "_level"))
-    return level.select("api", F.explode("_all").alias("_o")).select("api", "_o.path", "_o.a", "_o.b")
+def compared_objects(schemas: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(api, path, a, b): every object to compare, schemas and all objects inside them.
+
+    ``a`` and ``b`` are the nodes of the two versions. Objects are followed as
+    deep as both versions have them, or ``max_depth`` levels, schemas included.
+    """
+    start = F.array(F.struct("path", read_node(F.col("a")).alias("a"), read_node(F.col("b")).alias("b")))
+    levels = bounded(
+        F.least(levels_below(F.col("a")), levels_below(F.col("b"))), None if max_depth is None else max_depth - 1
+    )
+    every = descend(start, _children, levels, _PAIR)
+    return schemas.select("api", F.explode(every).alias("_o")).select("api", "_o.path", "_o.a", "_o.b")
 
 
 def spec_diff(specs: DataFrame, old: str = "A", new: str = "B") -> DataFrame:
@@ -88,7 +105,7 @@ def spec_diff(specs: DataFrame, old: str = "A", new: str = "B") -> DataFrame:
     """
     objects = compared_objects(paired_schemas(specs, old, new))
     objects = objects.select(
-        "api", "path", _properties(F.col("a")).alias("pa"), _properties(F.col("b")).alias("pb")
+        "api", "path", read_properties(F.col("a")).alias("pa"), read_properties(F.col("b")).alias("pb")
     )
     pa, pb = F.col("pa"), F.col("pb")
     objects = (
@@ -98,8 +115,8 @@ def spec_diff(specs: DataFrame, old: str = "A", new: str = "B") -> DataFrame:
     )
     lost, gained = F.col("lost"), F.col("gained")
     one = (F.size(lost) == 1) & (F.size(gained) == 1)
-    same_type = normalized_type(F.element_at(pa, F.try_element_at(lost, F.lit(1)))) == normalized_type(
-        F.element_at(pb, F.try_element_at(gained, F.lit(1)))
+    same_type = normalized_type(read_node(F.element_at(pa, F.try_element_at(lost, F.lit(1))))) == normalized_type(
+        read_node(F.element_at(pb, F.try_element_at(gained, F.lit(1))))
     )
     renamed = F.coalesce(one & same_type, F.lit(False))
 
@@ -117,22 +134,31 @@ def spec_diff(specs: DataFrame, old: str = "A", new: str = "B") -> DataFrame:
     )
 
     def kept(k: Column) -> Column:
-        a, b = F.element_at(pa, k), F.element_at(pb, k)
-        type_a, type_b = normalized_type(a), normalized_type(b)
-        enum_a, enum_b = enum_values(a), enum_values(b)
-        return F.array_compact(
-            F.array(
-                F.when(
-                    (type_a != "") & (type_b != "") & (type_a != type_b),
-                    change(F.lit("type_change"), k, type_a, type_b),
-                ),
-                F.when(
-                    enums_differ(enum_a, enum_b),
-                    change(F.lit("enum_value_change"), k, enum_label(enum_a), enum_label(enum_b)),
-                ),
-            )
+        read = F.struct(read_node(F.element_at(pa, k)).alias("a"), read_node(F.element_at(pb, k)).alias("b"))
+        typed = lambda n: F.struct(
+            normalized_type(n["a"]).alias("ta"),
+            normalized_type(n["b"]).alias("tb"),
+            enum_values(n["a"]).alias("ea"),
+            enum_values(n["b"]).alias("eb"),
         )
 
+        def differences(t: Column) -> Column:
+            return F.array_compact(
+                F.array(
+                    F.when(
+                        (t["ta"] != "") & (t["tb"] != "") & (t["ta"] != t["tb"]),
+                        change(F.lit("type_change"), k, t["ta"], t["tb"]),
+                    ),
+                    F.when(
+                        enums_differ(t["ea"], t["eb"]),
+                        change(F.lit("enum_value_change"), k, enum_label(t["ea"]), enum_label(t["eb"])),
+                    ),
+                )
+            )
+
+        # One-element arrays again: read once, judged once.
+        return F.flatten(F.transform(F.transform(F.array(read), typed), differences))
+
     # Equal JSON on both sides cannot differ; most properties end here.
     suspects = F.filter("both", lambda k: F.element_at(pa, k) != F.element_at(pb, k))
     found = F.concat(gone, F.flatten(F.transform(suspects, kept)))

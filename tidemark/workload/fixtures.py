@@ -170,7 +170,7 @@ SQL["spec_docs"] = """
 select concat('api',p_partkey%5) as api, 'A' as version, doc as doc, k from (
  select p_partkey, p_partkey as k, concat('{{"components":{{"schemas":{{"S',p_partkey,'":{{"properties":{{"id":{{"type":"string"}},"amount":{{"type":',
   case when p_partkey%4=0 then '["string","null"]' else '"number"' end,'}},"status":{{"type":"string","enum":["a","b","c"]}},"legacy":{{"type":"string"}},"free":{{}},',
-  '"card":{{"properties":{{"name":{{"type":"string"}},"brand":{{"type":"string"}},"addr":{{"type":"object","properties":{{"zip":{{"type":"string"}},"geo":{{"properties":{{"lat":{{"type":"number"}}}}}}}}}}}}}}}}}}}}}}}}') as doc
+  '"card":{{"properties":{{"name":{{"type":"string"}},"brand":{{"type":"string"}},"addr":{{"type":"object","properties":{{"zip":{{"type":"string"}},"geo":{{"properties":{{"lat":{{"type":"number"}},"ref":{{"properties":{{"datum":{{"properties":{{"code":{{"type":"string"}}}}}}}}}}}}}}}}}}}}}}}}}}}}}}}}') as doc
  from {part}) a
 union all
 select concat('api',k%5), 'B', doc, k from (
@@ -182,7 +182,8 @@ select concat('api',k%5), 'B', doc, k from (
   case when p_partkey%37=0 then '{{"type":"string"}}' else concat('{{"properties":{{',
     case when p_partkey%3=1 then '"holder":{{"type":"string"}},"brand":{{"type":"string"}}' when p_partkey%7=2 then '"other":{{"type":"string"}}' else '"name":{{"type":"string"}},"brand":{{"type":"string"}}' end,
     ',"addr":{{"type":"object","properties":{{',case when p_partkey%13=0 then '"zip":{{"type":"number"}}' when p_partkey%13=1 then '"post":{{"type":"string"}}' else '"zip":{{"type":"string"}}' end,
-    ',"geo":{{"properties":{{"lon":{{"type":"number"}}}}}}}}}}}}}}') end,'}}}}}}}}}}') as doc
+    ',"geo":{{"properties":{{"lon":{{"type":"number"}},"ref":{{"properties":{{"datum":{{"properties":{{',
+    case when p_partkey%5=0 then '"code":{{"type":"integer"}}' when p_partkey%5=1 then '"name":{{"type":"string"}}' else '"code":{{"type":"string","enum":["x"]}}' end,'}}}}}}}}}}}}}}}}}}}}') end,'}}}}}}}}}}') as doc
  from {part}) b
 """
 

@@ -417,27 +417,23 @@ def type_of(n: str) -> str:
 
 PROPS = """
 s as (select api, version, unnest(json_keys(doc::json,'$.components.schemas')) as name, doc::json as doc from spec_docs),
-l0 as (select api, version, '' as parent, name, -1 as depth, name as path, json_extract(doc,'$.components.schemas.'||name) as node from s),
-l1 as (select api, version, path as parent, k as name, 0 as depth, path||'.'||k as path, json_extract(node,'$.properties.'||k) as node from (select *, unnest(json_keys(node,'$.properties')) as k from l0)),
-l2 as (select api, version, path as parent, k as name, 1 as depth, path||'.'||k as path, json_extract(node,'$.properties.'||k) as node from (select *, unnest(json_keys(node,'$.properties')) as k from l1)),
-l3 as (select api, version, path as parent, k as name, 2 as depth, path||'.'||k as path, json_extract(node,'$.properties.'||k) as node from (select *, unnest(json_keys(node,'$.properties')) as k from l2)),
-allp as (select * from l0 union all select * from l1 union all select * from l2 union all select * from l3),
+allp as (select api, version, '' as parent, name, -1 as depth, name as path, json_extract(doc,'$.components.schemas.'||name) as node from s
+ union all
+ select api, version, path, k, depth+1, path||'.'||k, json_extract(node,'$.properties.'||k) from (select *, unnest(json_keys(node,'$.properties')) as k from allp)),
 props as (select api, version, parent, name, depth, path, {t} as type, case when json_type(node,'$.enum')='ARRAY' then json_extract_string(node,'$.enum[*]') end as en,
   coalesce(json_type(node,'$.properties')='OBJECT',false) as is_object from allp)
 """.replace("{t}", type_of("node"))
 oracle("spec_properties", "spec_docs", PROPS + """
 select api, version, parent, name, depth, type, '['||coalesce(array_to_string(en,', '),'')||']' as enum, is_object from props
-""")
+""", recursive=True)
 DIFF = PROPS.rstrip() + """,
 a as (select * from props where version='A'), b as (select * from props where version='B'),
 pairs as (select coalesce(a.api,b.api) as api, coalesce(a.parent,b.parent) as parent, coalesce(a.name,b.name) as name, coalesce(a.path,b.path) as path,
   a.name is not null as in_a, b.name is not null as in_b, a.type as ta, b.type as tb, a.en as ea, b.en as eb, a.is_object and b.is_object as obj
   from a full join b on a.api=b.api and a.parent=b.parent and a.name=b.name),
 top as (select api, path from pairs where parent='' and in_a and in_b),
-p0 as (select p.* from pairs p join top t on p.api=t.api and p.parent=t.path),
-p1 as (select p.* from pairs p join p0 t on p.api=t.api and p.parent=t.path and t.obj),
-p2 as (select p.* from pairs p join p1 t on p.api=t.api and p.parent=t.path and t.obj),
-cmp as (select * from p0 union all select * from p1 union all select * from p2),
+cmp as (select p.* from pairs p join top t on p.api=t.api and p.parent=t.path
+ union all select p.* from pairs p join cmp t on p.api=t.api and p.parent=t.path and t.obj),
 ren as (select api, parent, max(name) filter (not in_b) as f, max(name) filter (not in_a) as t from cmp group by 1,2
   having count(*) filter (not in_b)=1 and count(*) filter (not in_a)=1 and max(ta) filter (not in_b)=max(tb) filter (not in_a)),
 changes as (
@@ -447,8 +443,8 @@ changes as (
  union all select api, 'enum_value_change', path, '['||coalesce(array_to_string(ea,', '),'')||']', '['||coalesce(array_to_string(eb,', '),'')||']'
   from cmp where in_a and in_b and list_sort(ea) is distinct from list_sort(eb))
 """
-oracle("spec_diff", "spec_docs", DIFF + 'select api, kind, path, "from", "to" from changes')
-oracle("spec_change_counts", "spec_docs", DIFF + "select api, kind, count(*) as changes from changes group by 1,2")
+oracle("spec_diff", "spec_docs", DIFF + 'select api, kind, path, "from", "to" from changes', recursive=True)
+oracle("spec_change_counts", "spec_docs", DIFF + "select api, kind, count(*) as changes from changes group by 1,2", recursive=True)
 oracle("usage_summary", "usage", """
 d as (select distinct repo, path_key, file, line, col from usage)
 select repo, count(distinct path_key) as paths, count(*) as sites from d group by 1
@@ -462,14 +458,14 @@ SITES = DIFF.rstrip() + """,
 u as (select distinct repo, api, regexp_replace(path_key,'^(?i:Api)[.]','') as path, file, line, col from usage),
 sites as (select u.*, c.kind, c."from", c."to" from u join changes c using (api, path))
 """
-oracle("affected_sites", "spec_docs usage", SITES + "select * from sites")
-oracle("unused_changes", "spec_docs usage", SITES + "select api, kind, path from changes c where not exists (select 1 from u where u.api=c.api and u.path=c.path)")
+oracle("affected_sites", "spec_docs usage", SITES + "select * from sites", recursive=True)
+oracle("unused_changes", "spec_docs usage", SITES + "select api, kind, path from changes c where not exists (select 1 from u where u.api=c.api and u.path=c.path)", recursive=True)
 oracle("spec_usage_impact", "spec_docs usage", SITES + """
 select repo, kind, count(distinct api||path) as changes, count(*) as sites, kind='field_rename' as auto_fix from sites group by 1,2
-""")
+""", recursive=True)
 oracle("rename_targets", "spec_docs usage", SITES + """
 select repo, file, line, col, path, "from", "to" from sites where kind='field_rename' and list_last(string_split(path,'.'))="from"
-""")
+""", recursive=True)
 
 # --- occurrences and tiers ---------------------------------------------------
 
@@ -647,7 +643,7 @@ select repo, count(*) as changed_files, sum(k)::bigint as sites from cnt group b
 oracle("rename_fix", "spec_docs", DIFF.rstrip() + """,
 r as (select *, regexp_extract(path,'^S(\\d+)',1)::bigint as k from changes where kind='field_rename' and regexp_matches(path,'^S\\d+[.]card[.]name$'))
 select 'r'||(k%10) as repo, 'src/u'||k||'.ts' as path, 'const v = S'||k||'.card.'||"to"||';'||chr(10)||'log(v.name);'||chr(10) as new_text from r
-""")
+""", recursive=True)
 PLAN = SCOPED_FILES.rstrip() + """,
 pl as (select repo, path, case when n%4001=0 then 'listed_twice' when n%5003=1 then 'missing' when n%2003=2 then 'drifted' else 'ok' end as preflight from sf),
 plan as (select *, case when bool_and(preflight='ok') over (partition by repo) then 'written' else 'refused' end as decision from pl)
