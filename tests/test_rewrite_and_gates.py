@@ -42,6 +42,35 @@ def test_nested_edit_is_dropped(spark):
     assert W.apply_edits(f, e).first().new_text == "aYf"
 
 
+EDIT = "repo string, path string, start long, end long, new_text string, ord long, kind string"
+
+
+def test_an_edit_lost_to_another_blocks_nobody(spark):
+    rows = [("r", "p", 0, 10, "A", 0, "k"), ("r", "p", 5, 20, "B", 0, "k"), ("r", "p", 15, 18, "C", 0, "k"),
+            ("r", "p", 0, 10, "A", 1, "k"), ("r", "p", 0, 4, "D", 2, "k"), ("r", "p", 18, 19, "E", 0, "k")]
+    e = spark.createDataFrame(rows, EDIT)
+    assert sorted(r.new_text for r in W.non_overlapping(e).collect()) == ["A", "C", "E"]
+    assert sorted((r.new_text, r.ord, r.dropped) for r in W.dropped_edits(e).collect()) == [
+        ("A", 1, "repeated"), ("B", 0, "overlaps"), ("D", 2, "same_start")]
+    f = spark.createDataFrame([("r", "p", "0123456789abcdefghijk")], "repo string, path string, text string")
+    assert W.apply_edits(f, e).first().new_text == "AabcdeCEjk"
+
+
+def test_choice_equals_a_greedy_loop(spark):
+    rng = random.Random(5)
+    rows = [("r", f"f{rng.randint(0, 9)}", s, s + rng.randint(0, 9), rng.choice("XYZ"), rng.randint(0, 3), "k")
+            for s in (rng.randint(0, 120) for _ in range(600))]
+    want = {}
+    for path in {r[1] for r in rows}:
+        end, last = -1, None
+        for r in sorted({r for r in rows if r[1] == path}, key=lambda r: (r[2], r[5], r[3], r[4])):
+            first, last = r[2] != last, r[2]
+            want[r] = first and r[2] >= end
+            end = r[3] if want[r] else end
+    got = {tuple(r)[:7]: r.dropped is None for r in W.choose(spark.createDataFrame(rows, EDIT)).collect()}
+    assert got == want
+
+
 def test_prefix_match_equals_theta_join(spark):
     models = ["m-1", "m-1-mini", "m-10", "m", "a-b-c", "a-b", "x"]
     families = ["m-1", "m", "a-b", "a-b-c-d", "x"]

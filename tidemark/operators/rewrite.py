@@ -57,16 +57,71 @@ def rename_edits(targets: DataFrame) -> DataFrame:
     )
 
 
+def choose(edits: DataFrame) -> DataFrame:
+    """Every edit once, with ``dropped``: null if it is applied, else why it is not.
+
+    In order of start, an edit is applied when it begins at or after the end of
+    the last one *applied*; of those with the same start the first by (ord, end)
+    counts. ``repeated``: the same change was asked for by an earlier entry;
+    ``same_start``: another change at this place goes first; ``overlaps``: it
+    begins inside an applied one. Edits are first parted into islands that touch
+    no earlier span, all in one shuffle by file, so the fold that remembers the
+    last applied end only runs over edits that do overlap.
+    """
+    rows = edits.select(*FILE, "start", "end", "new_text", "ord", "kind").distinct()
+    here = Window.partitionBy(*FILE).orderBy("start", "ord", "end", "new_text", "kind")
+    same = Window.partitionBy(*FILE, "start").orderBy("ord", "end", "new_text", "kind")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.first(F.struct("end", "new_text")).over(same.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = (
+        rows.withColumn("_rank", F.row_number().over(same))
+        .withColumn("_first", first)
+        # A later edit at a taken start reaches nowhere.
+        .withColumn("_end", F.when(F.col("_rank") == 1, F.col("end")))
+        .withColumn("_reach", F.max("_end").over(before))
+        .withColumn("_new", (F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))) & (F.col("_rank") == 1))
+        .withColumn("_island", F.sum(F.col("_new").cast("bigint")).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    edit = F.struct(
+        "start", "end", "ord", "new_text", "kind", "_rank",
+        ((F.col("_first.end") == F.col("end")) & F.col("_first.new_text").eqNullSafe(F.col("new_text"))).alias("_again"),
+    )
+    islands = ranked.groupBy(*FILE, "_island").agg(F.array_sort(F.collect_list(edit)).alias("_e"))
+    # The ends in force before each edit; the last one is the end of the island.
+    ends = F.aggregate(
+        "_e",
+        F.array(F.lit(-1).cast("bigint")),
+        lambda s, e: F.concat(
+            s,
+            F.array(
+                F.when((e["_rank"] == 1) & (e["start"] >= F.element_at(s, -1)), e["end"].cast("bigint")).otherwise(
+                    F.element_at(s, -1)
+                )
+            ),
+        ),
+    )
+    judged = islands.withColumn("_ends", ends).select(*FILE, F.posexplode(F.arrays_zip("_e", "_ends")).alias("_n", "_z"))
+    e = F.col("_z._e")
+    dropped = (
+        F.when((e["_rank"] > 1) & e["_again"], F.lit("repeated"))
+        .when(e["_rank"] > 1, F.lit("same_start"))
+        .when(e["start"] < F.col("_z._ends"), F.lit("overlaps"))
+    )
+    # The zip is one longer than the edits: its last row holds the final end only.
+    return judged.where(e.isNotNull()).select(
+        *FILE, e["start"].alias("start"), e["end"].alias("end"), e["new_text"].alias("new_text"),
+        e["ord"].alias("ord"), e["kind"].alias("kind"), dropped.alias("dropped"),
+    )
+
+
 def non_overlapping(edits: DataFrame) -> DataFrame:
-    """One edit per start, and none inside the span of an earlier one.
+    """The edits that are applied, see ``choose``."""
+    return choose(edits).where(F.col("dropped").isNull()).drop("dropped")
 
-    Distinct starts in one text bound the group by the length of that text.
-    """
-    unique = first_by(edits.select(*FILE, "start", "end", "new_text", "ord", "kind"), [*FILE, "start"], ["ord", "end"])
-    order = Window.partitionBy(*FILE).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return unique.withColumn("_reach", F.max("end").over(order)).where(
-        F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))
-    ).drop("_reach")
+
+def dropped_edits(edits: DataFrame) -> DataFrame:
+    """The edits that are not applied, each with its reason, see ``choose``."""
+    return choose(edits).where(F.col("dropped").isNotNull())
 
 
 def edit_order(edits: DataFrame) -> DataFrame:

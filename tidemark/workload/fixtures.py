@@ -263,6 +263,12 @@ select event_id, case event_id%6 when 0 then concat('Test Files  17 passed',chr(
  when 3 then concat(event_id%9,' failed, ',event_id%200,' passed in 0.12s') when 4 then concat(event_id%200,' passing') else 'no summary here' end as log from {events}
 """
 
+SQL["edits"] = """
+select concat('r',l_orderkey%20) as repo, concat('src/f',l_orderkey,'.ts') as path, cast((l_partkey*7+l_linenumber)%30 as bigint) as pos,
+ cast((l_partkey*7+l_linenumber)%30+l_suppkey%12 as bigint) as upto, concat('t',l_suppkey%3) as new_text, cast(l_linenumber as bigint) as ord
+from {lineitem}
+"""
+
 SQL["finding_feed"] = """
 select event_id, ts, concat('r',user_id%20) as repo, case event_type when 'error' then 'A' when 'click' then 'B' when 'signup' then 'B' else 'C' end as tier from {events}
 """

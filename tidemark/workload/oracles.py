@@ -644,6 +644,17 @@ oracle("rename_fix", "spec_docs", DIFF.rstrip() + """,
 r as (select *, regexp_extract(path,'^S(\\d+)',1)::bigint as k from changes where kind='field_rename' and regexp_matches(path,'^S\\d+[.]card[.]name$'))
 select 'r'||(k%10) as repo, 'src/u'||k||'.ts' as path, 'const v = S'||k||'.card.'||"to"||';'||chr(10)||'log(v.name);'||chr(10) as new_text from r
 """, recursive=True)
+oracle("edit_choice", "edits", """
+n as (select *, row_number() over (partition by repo, path order by pos, ord, upto, new_text) as rn, row_number() over (partition by repo, path, pos order by ord, upto, new_text) as rk,
+  first_value(upto) over (partition by repo, path, pos order by ord, upto, new_text) as f_upto, first_value(new_text) over (partition by repo, path, pos order by ord, upto, new_text) as f_text
+  from (select distinct * from edits)),
+w as (select n.*, 'applied' as outcome, upto as reach from n where rn=1
+ union all
+ select x.* exclude (reach0), case when x.outcome='applied' then x.upto else x.reach0 end as reach from (
+  select n.*, case when n.rk>1 and n.upto=n.f_upto and n.new_text=n.f_text then 'repeated' when n.rk>1 then 'same_start' when n.pos<w.reach then 'overlaps' else 'applied' end as outcome, w.reach as reach0
+  from w join n on n.repo=w.repo and n.path=w.path and n.rn=w.rn+1) x)
+select repo, path, pos, upto, new_text, ord, outcome from w
+""", recursive=True)
 PLAN = SCOPED_FILES.rstrip() + """,
 pl as (select repo, path, case when n%4001=0 then 'listed_twice' when n%5003=1 then 'missing' when n%2003=2 then 'drifted' else 'ok' end as preflight from sf),
 plan as (select *, case when bool_and(preflight='ok') over (partition by repo) then 'written' else 'refused' end as decision from pl)

@@ -575,6 +575,16 @@ def edit_order(spark, sf):
     return rewrite.edit_order(rewrite.swap_edits(occ))
 
 
+@query
+def edit_choice(spark, sf):
+    """Which of many overlapping edits are applied, and why the others are not."""
+    edits = fixture(spark, sf, "edits").withColumnsRenamed({"pos": "start", "upto": "end"}).withColumn("kind", F.lit("k"))
+    return rewrite.choose(edits).select(
+        "repo", "path", F.col("start").alias("pos"), F.col("end").alias("upto"), "new_text", "ord",
+        F.coalesce("dropped", F.lit("applied")).alias("outcome"),
+    )
+
+
 @query
 def combined_fix(spark, sf):
     _, patched = _fixed(spark, sf)
