@@ -1,4 +1,5 @@
 import collections
+import random
 
 from pyspark.sql import functions as F
 
@@ -88,37 +89,74 @@ def test_discovery_stream_equals_batch(spark, sf):
     assert _bag(spark.read.parquet(f"{out}/out"), "candidate_id") == _bag(batch, "candidate_id")
 
 
-def test_drift_stream_equals_batch_over_many_epochs(spark, sf):
-    # More epochs than one compaction interval; files arrive in time order.
+def test_discovery_remembers_across_epochs(spark, sf):
+    # Every page comes again in a later file, years after its first capture.
+    customers = X.table(spark, sf, "customer")
+    folder = shared_path(spark, "again")
+    for _ in range(3):
+        customers.coalesce(1).write.mode("append").parquet(f"{folder}/customer.parquet")
+    pages = spark.sql(X.SQL["provider_pages"], customer=jobs.file_stream(spark, folder, "customer", 1))
+    reg, queue = X.fixture(spark, sf, "discovery_registry"), X.fixture(spark, sf, "discovery_queue")
+    asked = []
+
+    def current():
+        asked.append(1)
+        return reg
+
+    got = jobs.discovery_log(pages, current, queue, RUN_DATE, shared_path(spark, "log"), ID_PATTERNS)
+    batch = discovery.discover(X.fixture(spark, sf, "provider_pages"), reg, queue, RUN_DATE, ID_PATTERNS)
+    assert _bag(got, *batch.columns) == _bag(batch, *batch.columns)
+    assert {r.epoch for r in got.select("epoch").distinct().collect()} == {0}
+    assert len(asked) == 3
+
+
+def _drift_in_order(spark, sf, times):
     captures = X.fixture(spark, sf, "captures").select("retrieved_at", "url", "text")
     folder = shared_path(spark, "captures")
-    for i, row in enumerate(sorted(captures.select("retrieved_at").distinct().collect())):
-        captures.where(F.col("retrieved_at") == row[0]).coalesce(1).write.mode("append").parquet(f"{folder}/captures.parquet")
-        if i == 19:
-            break
+    for time in times:
+        captures.where(F.col("retrieved_at") == time).coalesce(1).write.mode("append").parquet(f"{folder}/captures.parquet")
     used = spark.read.parquet(f"{folder}/captures.parquet")
-    stream = jobs.file_stream(spark, folder, "captures", 1)
-    got = jobs.drift_monitor(stream, shared_path(spark, "drift"))
+    got = jobs.drift_monitor(jobs.file_stream(spark, folder, "captures", 1), shared_path(spark, "drift"))
     want = documents.drift(used).where("changed")
     columns = ("url", "retrieved_at", "content_hash", "previous_hash")
+    assert want.count() > 0
     assert _bag(got, *columns) == _bag(want, *columns)
 
 
-def test_rate_stream_equals_closed_batch_windows(spark, sf):
+def test_drift_stream_equals_batch_over_many_epochs(spark, sf):
+    # More epochs than one compaction interval, and captures that come late.
+    times = sorted(r[0] for r in X.fixture(spark, sf, "captures").select("retrieved_at").distinct().collect())
+    picked = [t for t in times if t[9] in "1234"] + [t for t in times if t[9] in "5"]
+    random.Random(4).shuffle(picked)
+    _drift_in_order(spark, sf, picked[:18])
+
+
+def test_late_capture_splits_an_interval(spark):
+    page = "url string, retrieved_at string, text string"
+    folder = shared_path(spark, "late")
+    for row in [("u", "2025-01-01", "a"), ("u", "2025-01-09", "a"), ("u", "2025-01-05", "b"), ("u", "2024-12-31", "c")]:
+        spark.createDataFrame([row], page).coalesce(1).write.mode("append").parquet(f"{folder}/captures.parquet")
+    got = jobs.drift_monitor(jobs.file_stream(spark, folder, "captures", 1), shared_path(spark, "drift"))
+    assert sorted(r.retrieved_at for r in got.collect()) == ["2025-01-01", "2025-01-05", "2025-01-09"]
+
+
+def test_rate_stream_and_open_windows_equal_batch(spark, sf):
     # Files arrive in time order, so nothing is late.
     events, folder = X.table(spark, sf, "events"), shared_path(spark, "events")
     size = events.count() // 3 + 1
     for i in range(3):
         part = events.where((F.col("event_id") >= i * size) & (F.col("event_id") < (i + 1) * size))
         part.coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
-    feed = spark.sql(X.SQL["finding_feed"], events=jobs.file_stream(spark, folder, "events", 1))
-    out = shared_path(spark, "rates")
-    jobs.run_append(jobs.rate_windows(feed), out)
-    batch = jobs.rate_windows(X.fixture(spark, sf, "finding_feed"))
-    last = X.fixture(spark, sf, "finding_feed").agg(F.max("ts").cast("timestamp").cast("string").alias("t")).first().t
-    closed = batch.where(F.col("window_end") <= F.lit(last).cast("timestamp") - F.expr("interval 10 minutes"))
-    columns = ("window_start", "tier", "findings")
-    assert _bag(spark.read.parquet(f"{out}/out"), *columns) == _bag(closed, *columns)
+    for label, aggregate in (("rates", jobs.rate_windows), ("sessions", jobs.rate_sessions)):
+        feed = spark.sql(X.SQL["finding_feed"], events=jobs.file_stream(spark, folder, "events", 1))
+        out = shared_path(spark, label)
+        run = jobs.run_append(aggregate(feed), out)
+        batch = aggregate(X.fixture(spark, sf, "finding_feed"))
+        emitted = spark.read.parquet(f"{out}/out")
+        every = jobs.with_open_windows(emitted, run, batch)
+        assert _bag(every, *batch.columns) == _bag(batch, *batch.columns)
+        opened = every.where("open").count()
+        assert 0 < opened and emitted.count() == batch.count() - opened
 
 
 def test_scan_stream_equals_batch(spark, sf):

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.ids import canonical_id
 from ..functions.text import content_hash, normalize_for_hash
 from ..operators import discovery, documents
+from ..operators.joins import lookup_join
 from ..plans import code_scan
 
 
@@ -62,11 +64,22 @@ def run_append(stream: DataFrame, folder: str, wait: bool = True) -> StreamingQu
 # --- continuous scan ---------------------------------------------------------
 
 
-def continuous_scan(files: DataFrame, registry: DataFrame, folder: str, marker: str = "scan") -> DataFrame:
-    """New source files against the current registry; occurrences per epoch."""
+def _now(source: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """A lookup as it is now: a function is called anew in every epoch."""
+    return source() if callable(source) else source
+
+
+def continuous_scan(
+    files: DataFrame, registry: DataFrame | Callable[[], DataFrame], folder: str, marker: str = "scan"
+) -> DataFrame:
+    """New source files against a registry; occurrences per epoch.
+
+    Give a function that reads the registry to scan each epoch against the
+    registry of that moment; a DataFrame stays as it was when it was made.
+    """
 
     def epoch(batch: DataFrame, number: int) -> None:
-        occ, _ = code_scan.scan(batch, registry, marker)
+        occ, _ = code_scan.scan(batch, _now(registry), marker)
         occ.write.mode("overwrite").parquet(f"{folder}/out/epoch={number}")
 
     run_batches(files, epoch, folder)
@@ -76,6 +89,41 @@ def continuous_scan(files: DataFrame, registry: DataFrame, folder: str, marker:
 # --- incremental discovery ---------------------------------------------------
 
 
+def _earlier(spark: SparkSession, root: str, number: int, schema: str) -> DataFrame:
+    """What the epochs before this one wrote; a repeated epoch doesn't see itself."""
+    if number == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, epoch int").parquet(root).where(F.col("epoch") < number).drop("epoch")
+
+
+def discovery_log(
+    pages: DataFrame,
+    registry: DataFrame | Callable[[], DataFrame],
+    queue: DataFrame | Callable[[], DataFrame],
+    run_date: str,
+    folder: str,
+    patterns: dict[str, str] | None = None,
+) -> DataFrame:
+    """New candidates, each identifier once over all epochs, as in the batch form.
+
+    The log of what was proposed is the memory: an epoch proposes what is neither
+    in the registry or queue nor in an earlier epoch, however long ago that was,
+    and overwrites its own folder when it is run again. The first epoch that sees
+    an identifier gives its row. No watermark and no state store is needed; the
+    memory holds one row per identifier.
+    """
+    root = f"{folder}/out"
+
+    def epoch(batch: DataFrame, number: int) -> None:
+        found = discovery.discover(batch, _now(registry), _now(queue), run_date, patterns)
+        found = found.withColumn("canon", canonical_id(F.col("deprecated")))
+        known = _earlier(batch.sparkSession, root, number, "canon string")
+        lookup_join(found, known, ["canon"], "left_anti").write.mode("overwrite").parquet(f"{root}/epoch={number}")
+
+    run_batches(pages, epoch, folder)
+    return pages.sparkSession.read.parquet(root)
+
+
 def discovery_stream(
     pages: DataFrame,
     registry: DataFrame,
@@ -85,10 +133,10 @@ def discovery_stream(
     event_time: str = "retrieved_at",
     watermark: str = "30 days",
 ) -> DataFrame:
-    """Each new identifier once within the watermark, which bounds the state.
+    """Each new identifier once within the watermark, as an unbounded DataFrame.
 
-    The registry and the queue are read when the stream starts; an id that comes
-    back later than the watermark is proposed again unless it is in them by then.
+    The watermark bounds the state and the memory: an id that comes back later
+    is proposed again. ``discovery_log`` remembers for good.
     """
     timed = pages.withWatermark(event_time, watermark)
     fresh = discovery.propose(discovery.readable_rows(timed, patterns), run_date)
@@ -106,10 +154,13 @@ COMPACT_EVERY = 16
 def drift_monitor(captures: DataFrame, folder: str) -> DataFrame:
     """Captures whose noise-free hash differs from the one before it, per url.
 
-    The last hash per url lives in a log of small deltas with a full snapshot
-    every few epochs. An epoch reads the urls it touches, puts their last known
-    capture before the new ones, and runs the batch operator on both; a url
-    with much of a batch is split like in the batch form.
+    Files may come in any order: the rows at the end are those of the batch form.
+    The log keeps (url, time, hash) of every capture, in small deltas with a full
+    copy every few epochs. An epoch reads the urls it touches and lags old and new
+    captures together; it writes a verdict for each new capture and, where a late
+    one splits an interval, a new verdict for the capture behind it. The latest
+    verdict on a capture counts. A url with much of a batch is split like in the
+    batch form.
     """
     spark = captures.sparkSession
     state = "url string, retrieved_at string, content_hash string"
@@ -120,44 +171,44 @@ def drift_monitor(captures: DataFrame, folder: str) -> DataFrame:
         first = max(base, 0)
         return [f"{folder}/state/epoch={n}" for n in range(first, number)]
 
-    def last_known(number: int) -> DataFrame:
+    def known_before(number: int) -> DataFrame:
         paths = log_paths(number)
-        if not paths:
-            return spark.createDataFrame([], state)
-        rows = spark.read.schema(state).parquet(*paths)
-        return _last(rows)
+        return spark.read.schema(state).parquet(*paths) if paths else spark.createDataFrame([], state)
 
     def epoch(batch: DataFrame, number: int) -> None:
         fresh = code_scan.durable(
             batch.select(
                 "url", "retrieved_at", content_hash(normalize_for_hash(F.col("text"))).alias("content_hash")
-            ),
+            ).distinct(),
             "captures",
         )
-        known = last_known(number)
+        known = known_before(number)
         touched = known.join(fresh.select("url").distinct(), "url", "left_semi")
-        both = touched.withColumn("_old", F.lit(True)).unionByName(fresh.withColumn("_old", F.lit(False)))
+        both = touched.withColumn("old", F.lit(True)).unionByName(fresh.withColumn("old", F.lit(False)))
         lagged = documents.ordered_lag(
-            both, "url", "retrieved_at", "content_hash", "previous_hash", F.substring("retrieved_at", 1, 10)
+            both.withColumn("_now", F.struct("content_hash", "old")),
+            "url", "retrieved_at", "_now", "_before", F.substring("retrieved_at", 1, 10),
         )
-        changed = lagged.where(~F.col("_old") & (F.col("content_hash") != F.col("previous_hash")))
-        changed.select("url", "retrieved_at", "content_hash", "previous_hash").write.mode(
-            "overwrite"
-        ).parquet(f"{folder}/out/epoch={number}")
-        latest = _last(fresh)
+        lagged.where(~F.col("old") | ~F.col("_before.old")).select(
+            "url", "retrieved_at", "content_hash", F.col("_before.content_hash").alias("previous_hash")
+        ).write.mode("overwrite").parquet(f"{folder}/out/epoch={number}")
         full = number > 0 and number % COMPACT_EVERY == 0
-        _last(known.unionByName(latest) if full else touched.unionByName(latest)).write.mode(
-            "overwrite"
-        ).parquet(f"{folder}/state/epoch={number}")
+        (known.unionByName(fresh) if full else fresh).write.mode("overwrite").parquet(f"{folder}/state/epoch={number}")
 
     run_batches(captures, epoch, folder)
-    return spark.read.parquet(f"{folder}/out")
+    return drifted(spark, folder)
 
 
-def _last(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("url").agg(
-        F.max("retrieved_at").alias("retrieved_at"),
-        F.max_by("content_hash", "retrieved_at").alias("content_hash"),
+def drifted(spark: SparkSession, folder: str) -> DataFrame:
+    """(url, retrieved_at, content_hash, previous_hash) of changed captures, by the latest verdicts."""
+    verdicts = spark.read.schema(
+        "url string, retrieved_at string, content_hash string, previous_hash string, epoch int"
+    ).parquet(f"{folder}/out")
+    latest = verdicts.groupBy("url", "retrieved_at", "content_hash").agg(
+        F.max_by(F.struct("previous_hash"), "epoch").alias("_v")
+    )
+    return latest.select("url", "retrieved_at", "content_hash", "_v.previous_hash").where(
+        F.col("content_hash") != F.col("previous_hash")
     )
 
 
@@ -194,3 +245,23 @@ def rate_sessions(findings: DataFrame, gap: str = "30 minutes", delay: str = "10
         "tier",
         "findings",
     )
+
+
+def last_watermark(query: StreamingQuery) -> str:
+    """Event time up to which the windows of a query have been emitted."""
+    marks = [p.eventTime["watermark"] for p in query.recentProgress if "watermark" in (p.eventTime or {})]
+    return max(marks) if marks else "1970-01-01T00:00:00.000Z"
+
+
+def with_open_windows(emitted: DataFrame, query: StreamingQuery, batch: DataFrame) -> DataFrame:
+    """Emitted windows and those that were still open when a finite input ended.
+
+    ``batch`` is the same aggregation over the input as a table. It adds only
+    windows that end after the last watermark, so nothing is counted twice; the
+    condition is on the grouping key and reaches the rows before they are
+    grouped. ``open`` tells the two apart. Rows that came too late for a window
+    already emitted stay out of it.
+    """
+    mark = F.lit(last_watermark(query)).cast("timestamp")
+    still = batch.where(F.col("window_end") > mark)
+    return emitted.withColumn("open", F.lit(False)).unionByName(still.withColumn("open", F.lit(True)))

@@ -771,19 +771,20 @@ select doc_id, case when length(text)<=400 then text else left(text,200)||chr(10
 
 # --- streaming ---------------------------------------------------------------
 
-CLOSED = "(select max(date_trunc('millisecond', ts)) - interval 10 minutes from finding_feed)"
+# Windows that end after the last watermark are open when the input ends.
+WATERMARK = "(select max(date_trunc('millisecond', ts)) - interval 10 minutes from finding_feed)"
 oracle("stream_rates", "finding_feed", f"""
 x as (select time_bucket(interval 1 hour, ts) as window_start, tier, count(*) as findings from finding_feed group by 1,2)
-select window_start, window_start + interval 1 hour as window_end, tier, findings from x where window_start + interval 1 hour <= {CLOSED}
+select window_start, window_start + interval 1 hour as window_end, tier, findings, window_start + interval 1 hour > {WATERMARK} as open from x
 """)
 oracle("stream_sliding", "finding_feed", f"""
 e as (select tier, time_bucket(interval 30 minutes, ts) - interval 30 minutes * k as window_start from finding_feed, (select unnest(range(4)) as k) r),
 x as (select window_start, tier, count(*) as findings from e group by 1,2)
-select window_start, window_start + interval 2 hours as window_end, tier, findings from x where window_start + interval 2 hours <= {CLOSED}
+select window_start, window_start + interval 2 hours as window_end, tier, findings, window_start + interval 2 hours > {WATERMARK} as open from x
 """)
 oracle("stream_sessions", "finding_feed", f"""
 g as (select *, case when ts - lag(ts) over (partition by repo, tier order by ts) < interval 30 minutes then 0 else 1 end as fresh from finding_feed),
 s as (select *, sum(fresh) over (partition by repo, tier order by ts, event_id rows unbounded preceding) as sid from g),
 x as (select repo, tier, sid, min(ts) as window_start, max(ts) + interval 30 minutes as window_end, count(*) as findings from s group by 1,2,3)
-select window_start, window_end, repo, tier, findings from x where window_end <= {CLOSED}
+select window_start, window_end, repo, tier, findings, window_end > {WATERMARK} as open from x
 """)

@@ -806,25 +806,25 @@ def capped_listing(spark, sf):
 # --- streaming ---------------------------------------------------------------
 
 
+def _arriving(spark, sf, name, by):
+    """A table as three files that arrive one by one, in no order of time."""
+    folder = shared_path(spark, f"arriving_{name}")
+    table(spark, sf, name).repartitionByRange(3, by).write.parquet(f"{folder}/{name}.parquet")
+    return jobs.file_stream(spark, folder, name, 1)
+
+
 @query
 def stream_discover(spark, sf):
     # The page stream is the customer table, read as it arrives.
-    stream = jobs.file_stream(spark, sf, "customer")
-    pages = spark.sql(SQL["provider_pages"], customer=stream).withColumn(
-        "retrieved_at", F.to_timestamp(F.lit("2026-01-01T00:00:00Z"))
-    )
-    fresh = jobs.discovery_stream(
-        pages, fixture(spark, sf, "discovery_registry"), fixture(spark, sf, "discovery_queue"), RUN_DATE, ID_PATTERNS
-    )
-    folder = shared_path(spark, "discover")
-    jobs.run_append(fresh, folder)
-    return spark.read.parquet(f"{folder}/out").select("canon")
+    pages = spark.sql(SQL["provider_pages"], customer=_arriving(spark, sf, "customer", "c_custkey"))
+    known = [lambda n=n: fixture(spark, sf, f"discovery_{n}") for n in ("registry", "queue")]
+    out = jobs.discovery_log(pages, *known, RUN_DATE, shared_path(spark, "discover"), ID_PATTERNS)
+    return out.select("canon")
 
 
 @query
 def stream_drift(spark, sf):
-    stream = jobs.file_stream(spark, sf, "pages")
-    captures = spark.sql(SQL["captures"], pages=stream)
+    captures = spark.sql(SQL["captures"], pages=_arriving(spark, sf, "pages", F.xxhash64("page_id")))
     out = jobs.drift_monitor(captures, shared_path(spark, "drift"))
     return out.select("url", "retrieved_at", "content_hash", "previous_hash")
 
@@ -837,27 +837,25 @@ def stream_scan(spark, sf):
     return out.select("repo", "path", "line", "col", "value", "tier", "reason")
 
 
-def _feed(spark, sf):
-    return spark.sql(SQL["finding_feed"], events=jobs.file_stream(spark, sf, "events"))
+def _windows(spark, sf, label, aggregate):
+    """All windows of the feed: the stream's own and those open at its end."""
+    folder = shared_path(spark, label)
+    feed = spark.sql(SQL["finding_feed"], events=jobs.file_stream(spark, sf, "events"))
+    run = jobs.run_append(aggregate(feed), folder)
+    emitted = spark.read.parquet(f"{folder}/out")
+    return jobs.with_open_windows(emitted, run, aggregate(fixture(spark, sf, "finding_feed")))
 
 
 @query
 def stream_rates(spark, sf):
-    folder = shared_path(spark, "rates")
-    jobs.run_append(jobs.rate_windows(_feed(spark, sf)), folder)
-    return spark.read.parquet(f"{folder}/out")
+    return _windows(spark, sf, "rates", jobs.rate_windows)
 
 
 @query
 def stream_sliding(spark, sf):
-    folder = shared_path(spark, "sliding")
-    jobs.run_append(jobs.rate_windows(_feed(spark, sf), "2 hours", "30 minutes"), folder)
-    return spark.read.parquet(f"{folder}/out")
+    return _windows(spark, sf, "sliding", lambda feed: jobs.rate_windows(feed, "2 hours", "30 minutes"))
 
 
 @query
 def stream_sessions(spark, sf):
-    folder = shared_path(spark, "sessions")
-    jobs.run_append(jobs.rate_sessions(_feed(spark, sf)), folder)
-    return spark.read.parquet(f"{folder}/out")
-
+    return _windows(spark, sf, "sessions", jobs.rate_sessions)
