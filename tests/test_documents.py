@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 """Document operators against a direct reading in plain Python."""
 
 import random
@@ -115,11 +116,22 @@ def test_store_keeps_the_first_copy(spark, tmp_path):
         [("u", "2025-01-01", "same  text"), ("v", "2025-01-02", "same text"), ("w", "2025-01-03", "other")],
         "url string, retrieved_at string, text string",
     )
-    none = spark.createDataFrame([], "doc_key string, excerpt string")
     root = str(tmp_path / "store")
-    store.append_documents(docs, none, spark.createDataFrame([], store.DOCUMENT), root, 0)
-    store.append_documents(docs, none, store.stored_documents(spark, root), root, 1)
+    store.append_documents(docs, spark.createDataFrame([], store.DOCUMENT), root, 0)
+    store.append_documents(docs, store.stored_documents(spark, root), root, 1)
     got = store.stored_documents(spark, root)
     assert sorted(r.url for r in got.collect()) == ["u", "w"]
     refs = D.hashed(docs).select("url", "doc_key")
     assert store.load_document(got, refs).where("body is null").count() == 0
+
+
+def test_store_keeps_whole_texts(spark, tmp_path):
+    long = "words and more " * 100000 + "a quote far behind"
+    docs = spark.createDataFrame([("u", "2025-01-01", long), ("v", "2025-01-01", None)], "url string, retrieved_at string, text string")
+    root = str(tmp_path / "store")
+    store.append_documents(docs, spark.createDataFrame([], store.DOCUMENT), root, 0)
+    kept = store.stored_documents(spark, root)
+    assert kept.where("url = 'u'").first().body == long
+    cited = kept.select("doc_key", F.lit("a quote far behind").alias("excerpt"))
+    body = store.snapshots(kept.where("url = 'u'"), cited, max_bytes=4096, window_bytes=512).first().body
+    assert len(body) <= 4096 and "a quote far behind" in body

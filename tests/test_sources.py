@@ -1,5 +1,9 @@
 import json
 
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
 from tidemark.operators import report, tiers
 from tidemark.plans import registry_cycle
 from tidemark.sources import catalogs, files, registry as source, specs, store
@@ -68,18 +72,35 @@ def test_promotion_is_saved_as_new_versions(spark, tmp_path):
     official = spark.createDataFrame([], "dep_canon string, recommended string")
     out = registry_cycle.promote_and_save(
         requests, cand, reg, refs, stored, live, official, "2026-01-01", ["cat"],
-        str(tmp_path / "reg"), str(tmp_path / "queue"), 7,
+        str(tmp_path), 7,
     )
     got = {r.pos: r.decision for r in out.collect()}
     assert got == {1: "promoted", 2: "already_active", 3: "repeated", 4: "already_active", 5: "unknown"}
-    saved = spark.read.parquet(str(tmp_path / "reg" / "version=7"))
+    saved, queue = source.read_transition(spark, str(tmp_path))
     assert {(r.ord, r.deprecated) for r in saved.collect()} == {(4, "old"), (6, "M.1")}
     promoted = saved.where("deprecated = 'M.1'").first()
     assert promoted.v_auto and promoted.entry_id == "p.M.1.retirement-undated"
-    assert {r.candidate_id for r in spark.read.parquet(str(tmp_path / "queue" / "version=7")).collect()} == {"c1", "c3"}
+    assert {r.candidate_id for r in queue.collect()} == {"c1", "c3"}
     assert source.save_version(reg, str(tmp_path / "other"), 1).endswith("version=1")
 
 
+def test_versions_are_committed_together(spark, tmp_path):
+    root, one, two = str(tmp_path), spark.range(3), spark.range(5)
+    assert source.committed_version(spark, root) is None
+    with pytest.raises(ValueError):
+        source.read_transition(spark, root)
+    source.save_transition(one, two, root, 1)
+    broken = spark.range(2).select(F.raise_error(F.lit("no space")).cast("bigint").alias("id"))
+    with pytest.raises(PySparkException):
+        source.save_transition(two, broken, root, 2)
+    assert [t.count() for t in source.read_transition(spark, root)] == [3, 5]
+    source.save_transition(two, one, root, 2)
+    assert [t.count() for t in source.read_transition(spark, root)] == [5, 3]
+    assert [t.count() for t in source.read_transition(spark, root, 1)] == [3, 5]
+    with pytest.raises(ValueError):
+        source.save_transition(one, two, root, 2)
+
+
 def test_report_covers_every_finding(spark, sf, tmp_path):
     from tidemark.workload.queries import _occ
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import discovery, promotion, verdicts
+from ..session import durable
 from ..sources.registry import save_transition
 
 
@@ -18,16 +19,16 @@ def promote_and_save(
     official: DataFrame,
     checked_at: str,
     sources: list[str],
-    registry_root: str,
-    queue_root: str,
-    version: int | str,
+    root: str,
+    version: int,
 ) -> DataFrame:
-    """Decide, then write the next registry and the next queue. Returns decisions."""
-    decisions = promotion.decide(requests, candidates, registry, refs, stored, live, official)
+    """Decide once, then commit the next registry and queue together. Returns decisions."""
+    decided = promotion.decide(requests, candidates, registry, refs, stored, live, official)
+    decisions = durable(decided, "decisions")
     next_registry, next_queue = promotion.transition(
         decisions, candidates, registry, live, official, checked_at, sources
     )
-    save_transition(next_registry, next_queue, registry_root, queue_root, version)
+    save_transition(next_registry, next_queue, root, version)
     return decisions
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,9 +106,42 @@ def save_version(df: DataFrame, root: str, version: int | str) -> str:
     return path
 
 
-def save_transition(
-    next_registry: DataFrame, next_queue: DataFrame, registry_root: str, queue_root: str, version: int | str
-) -> tuple[str, str]:
-    """Registry first, queue second: a crash between them loses no candidate."""
-    first = save_version(next_registry, registry_root, version)
-    return first, save_version(next_queue, queue_root, version)
+def committed_version(spark: SparkSession, root: str) -> int | None:
+    """Newest version whose registry and queue were both written; None before the first."""
+    try:
+        marks = spark.read.schema("number bigint").parquet(f"{root.rstrip('/')}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return marks.agg(F.max("number")).first()[0]
+
+
+def save_transition(next_registry: DataFrame, next_queue: DataFrame, root: str, version: int) -> None:
+    """Registry, then queue, then the marker that makes the version the current one.
+
+    Readers resolve both tables through the marker, so they see the version
+    before until both are there. What a failed attempt left is overwritten by the
+    next attempt; a committed version never is.
+    """
+    spark, root = next_registry.sparkSession, root.rstrip("/")
+    newest = committed_version(spark, root)
+    if newest is not None and version <= newest:
+        raise ValueError(f"version {version} is not newer than the committed version {newest}")
+    next_registry.write.mode("overwrite").parquet(f"{root}/registry/version={version}")
+    next_queue.write.mode("overwrite").parquet(f"{root}/queue/version={version}")
+    mark = spark.range(version, version + 1, numPartitions=1).select(F.col("id").alias("number"))
+    mark.write.mode("overwrite").parquet(f"{root}/commits/version={version}")
+
+
+def read_transition(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(registry, queue) of the newest committed version, or of an older one."""
+    newest = committed_version(spark, root)
+    wanted = newest if version is None else version
+    if newest is None or wanted > newest:
+        raise ValueError(f"no committed version {'' if wanted is None else wanted}".rstrip())
+    base = root.rstrip("/")
+    return (
+        spark.read.parquet(f"{base}/registry/version={wanted}"),
+        spark.read.parquet(f"{base}/queue/version={wanted}"),
+    )

@@ -15,22 +15,28 @@ def stored_documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).parquet(root)
 
 
-def append_documents(
-    captured: DataFrame, excerpts: DataFrame, stored: DataFrame, root: str, batch: int | str
-) -> str:
+def append_documents(captured: DataFrame, stored: DataFrame, root: str, batch: int | str) -> str:
     """Add documents whose hash is new; a stored hash is never written again.
 
-    Each batch overwrites its own folder only, so a retried batch is idempotent.
+    The body is the whole text that the hash was taken of. Of the stored side only
+    the column of keys is read. Each batch overwrites its own folder only, so a
+    retried batch is idempotent.
     """
-    fresh = new_documents(captured, stored)
-    cited = excerpts.select("doc_key", "excerpt")
-    bodies = snapshot_bodies(fresh.select("doc_key", "text"), cited, "doc_key")
-    out = fresh.drop("text").join(bodies, "doc_key")
+    fresh = new_documents(captured, stored).withColumnRenamed("text", "body")
     path = f"{root.rstrip('/')}/batch={batch}"
-    out.select(*[c.split()[0] for c in DOCUMENT.split(", ")]).write.mode("overwrite").parquet(path)
+    fresh.select(*[c.split()[0] for c in DOCUMENT.split(", ")]).write.mode("overwrite").parquet(path)
     return path
 
 
+def snapshots(stored: DataFrame, excerpts: DataFrame, **sizes: int) -> DataFrame:
+    """(doc_key, body): stored texts cut to size around the excerpts cited from them.
+
+    A view for readers that can't take whole texts; the store keeps them whole.
+    """
+    texts = stored.select("doc_key", F.col("body").alias("text"))
+    return snapshot_bodies(texts, excerpts.select("doc_key", "excerpt"), "doc_key", **sizes)
+
+
 def load_document(stored: DataFrame, refs: DataFrame) -> DataFrame:
     """Stored bodies for evidence references (which carry ``doc_key``)."""
     return lookup_join(refs, stored.select("doc_key", "body"), ["doc_key"], "left")

@@ -299,6 +299,14 @@ union all select 'registry', {entry_id('c')}, 'verified', trim(coalesce(c.source
 union all select 'queue', candidate_id, null, null from candidates where candidate_id not in (select candidate_id from decided where decision='promoted')
 """)
 
+oracle("versioned_state", PROMOTE_TABLES, DECIDE + f"""
+select 'failed' as moment, 'registry' as state, entry_id as id from registry_ids
+union all select 'failed', 'queue', candidate_id from candidates
+union all select 'repeated', 'registry', entry_id from registry_ids
+union all select 'repeated', 'registry', {entry_id('c')} from decided d join candidates c using (candidate_id) where d.decision='promoted'
+union all select 'repeated', 'queue', candidate_id from candidates where candidate_id not in (select candidate_id from decided where decision='promoted')
+""")
+
 # --- discovery and documents -------------------------------------------------
 
 CELL = (
@@ -399,9 +407,9 @@ oracle("doc_stale", "evidence_refs", """
 x as (select * from evidence_refs)
 select candidate_id, content_hash, retrieved_at, coalesce(timestamp '2025-07-01' - try_cast(replace(retrieved_at,'Z','') as timestamp) > interval 90 days, true) as stale from x
 """)
-oracle("doc_store", "captures", HASHED.rstrip() + """,
+oracle("doc_store", "captures", HASHED.replace("from captures", "from grown").replace("n as (", "grown as (select * replace (case when page_id%41=0 then text||repeat('0123456789abcde ',70000) else text end as text) from captures),\nn as (", 1).rstrip() + """,
 r as (select *, row_number() over (partition by content_hash order by retrieved_at, url) as rn from h)
-select substr(content_hash,8) as doc_key, url, retrieved_at from r where rn=1
+select substr(content_hash,8) as doc_key, url, retrieved_at, length(text) as chars from r where rn=1
 """)
 
 # --- specs and usage ---------------------------------------------------------

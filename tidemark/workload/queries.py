@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ from ..operators import registry as reg
 from ..plans import code_scan, spec_impact
 from ..session import shared_path
 from ..sources import catalogs, store
+from ..sources import registry as source
 from ..sources.specs import flatten_specs
 from ..streaming import jobs
 from .fixtures import SQL, fixture, id_registry, options, registry, table
@@ -239,14 +241,44 @@ def promote(spark, sf):
     return _decisions(spark, sf).select("pos", "candidate_id", "decision")
 
 
-@query
-def promote_transition(spark, sf):
-    """Size and content of the next registry and queue."""
+def _next_state(spark, sf):
     decided = code_scan.durable(_decisions(spark, sf), "decisions")
-    next_registry, next_queue = promotion.transition(
+    return promotion.transition(
         decided, fixture(spark, sf, "candidates"), id_registry(spark, sf), _live(spark, sf), _official(spark, sf),
         AS_OF, ["catalog"],
     )
+
+
+@query
+def versioned_state(spark, sf):
+    """What readers see before, after a transition that failed half way, and after its repetition."""
+    root = shared_path(spark, "state")
+    rows = []
+
+    def look(moment):
+        records, queue = source.read_transition(spark, root)
+        one = records.select(F.lit("registry").alias("state"), F.col("entry_id").alias("id"))
+        two = queue.select(F.lit("queue").alias("state"), F.col("candidate_id").alias("id"))
+        rows.append(one.unionByName(two).withColumn("moment", F.lit(moment)))
+
+    source.save_transition(id_registry(spark, sf), fixture(spark, sf, "candidates"), root, 1)
+    next_registry, next_queue = _next_state(spark, sf)
+    broken = next_queue.withColumn("provider", F.raise_error(F.lit("the disk is full")).cast("string"))
+    try:
+        source.save_transition(next_registry, broken, root, 2)
+    except PySparkException as error:
+        if "the disk is full" not in str(error):
+            raise
+    look("failed")
+    source.save_transition(next_registry, next_queue, root, 2)
+    look("repeated")
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def promote_transition(spark, sf):
+    """Size and content of the next registry and queue."""
+    next_registry, next_queue = _next_state(spark, sf)
     one = next_registry.select(F.lit("registry").alias("state"), F.col("entry_id").alias("id"), "v_status", "v_auto")
     two = next_queue.select(
         F.lit("queue").alias("state"), F.col("candidate_id").alias("id"),
@@ -355,14 +387,16 @@ def doc_snapshots(spark, sf):
 @query
 def doc_store(spark, sf):
     """Append growing sets of captures to a document store; each hash is stored once."""
-    captured = fixture(spark, sf, "captures")
+    # One page in 41 is a book: its text passes a mebibyte.
+    captured = fixture(spark, sf, "captures").withColumn(
+        "text", F.when(F.col("page_id") % 41 == 0, F.concat("text", F.repeat(F.lit("0123456789abcde "), 70000))).otherwise(F.col("text"))
+    )
     root = shared_path(spark, "store")
-    quotes = spark.createDataFrame([], "doc_key string, excerpt string")
     known = spark.createDataFrame([], store.DOCUMENT)
     for batch, version in enumerate((1, 2, 4, 4)):
-        store.append_documents(captured.where(F.col("v") <= version), quotes, known, root, batch)
+        store.append_documents(captured.where(F.col("v") <= version), known, root, batch)
         known = store.stored_documents(spark, root)
-    return store.stored_documents(spark, root).select("doc_key", "url", "retrieved_at")
+    return known.select("doc_key", "url", "retrieved_at", F.length("body").cast("bigint").alias("chars"))
 
 
 # --- specs and usage ---------------------------------------------------------
