@@ -68,6 +68,15 @@ def test_registry_file_round_trip(spark, tmp_path):
     assert source.evidence_refs(valid).count() == 2
 
 
+def test_records_of_many_files_keep_their_order(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        both = [{**GOOD, "note": f"{name}{i}"} for i in (0, 1)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(both))
+    valid, _ = source.load_registry(spark, str(tmp_path))
+    assert [r.note for r in valid.orderBy("ord").collect()] == ["a0", "a1", "b0", "b1", "c0", "c1"]
+    assert valid.select("ord").distinct().count() == 6
+
+
 def test_candidate_rules(spark):
     extra = {"candidateId": "a", "proposedBy": "human", "proposedAt": "2025-01-01"}
     rows = [{**GOOD, **extra}, {**GOOD, **extra}, {**GOOD, **extra, "candidateId": "b", "proposedBy": "bot"}]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
@@ -22,18 +22,29 @@ RECORD = (
 )
 
 
+FILE_SHIFT = 33  # bits of ``ord`` below the number of the file
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """(source, ord, record): one row per element of each JSON array file.
 
-    ``ord`` is the position in the array, which decides "first entry wins".
+    ``ord`` decides "first entry wins": files in order of their names, then the
+    position in the array. It is the position itself for a single file. Only the
+    names of the files meet in one task to be numbered.
     """
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), "value"
     )
+    numbers = files.select("source").distinct().select(
+        "source", (F.row_number().over(Window.orderBy("source")) - 1).cast("bigint").alias("_file")
+    )
     items = F.from_json("value", "array<variant>")
-    return files.select(
-        "source", F.posexplode(items).alias("ord", "item")
-    ).select("source", F.col("ord").cast("bigint").alias("ord"), F.to_json("item").alias("record"))
+    return (
+        files.select("source", F.posexplode(items).alias("_pos", "item"))
+        .select("source", "_pos", F.to_json("item").alias("record"))
+        .join(numbers, "source")
+        .select("source", (F.shiftleft("_file", FILE_SHIFT) + F.col("_pos")).alias("ord"), "record")
+    )
 
 
 def typed(valid: DataFrame, json: str = "record") -> DataFrame:

@@ -120,7 +120,7 @@ select source, id, count(*) as n from x group by 1,2
 
 # --- registry ----------------------------------------------------------------
 
-oracle("registry_rejects", "registry_raw", """
+CHECKED = """
 p as (select ord, record::json as j from registry_raw),
 t as (select ord, j, json_type(j) as jt, json_extract_string(j,'$.kind') as kind,
   json_type(j,'$.verification') as vt, json_extract_string(j,'$.verification.status') as vs,
@@ -155,8 +155,15 @@ c as (select ord, case when jt<>'OBJECT' then ['not_an_object'] else list_filter
   case when kind in ('param_rename','param_removal') and (coalesce(json_type(j,'$.on_models')<>'ARRAY',true) or json_array_length(j,'$.on_models')=0) then 'invalid_on_models' end,
   case when kind='param_rename' and coalesce(json_extract_string(j,'$.replacement'),'')='' then 'invalid_param_replacement' end
  ], lambda x: x is not null) end as codes from t)
+"""
+oracle("registry_rejects", "registry_raw", CHECKED + """
 select ord, array_to_string(codes,'|') as problems from c where len(codes)>0
 """)
+oracle("registry_files", "registry_raw", CHECKED.rstrip() + """,
+f as (select ord, ord//1000 as file, row_number() over (partition by ord//1000 order by ord)-1 as pos from registry_raw)
+select file::bigint as file, pos, case when len(codes)=0 then kind end as kind, case when len(codes)=0 then json_extract_string(j,'$.deprecated') end as deprecated,
+  array_to_string(codes,'|') as problems from f join c using (ord) join t using (ord)
+""")
 
 MARKERS = "[" + ",".join(q(m) for m in C.CAVEAT_MARKERS) + "]"
 VIOLATIONS = f"""

@@ -144,6 +144,28 @@ def registry_rejects(spark, sf):
     return rejects.select("ord", _joined("problems"))
 
 
+@query
+def registry_files(spark, sf):
+    """A registry kept in many files of up to 1,000 records, read back in the order of files and records."""
+    raw = fixture(spark, sf, "registry_raw").withColumn("_file", F.floor(F.col("ord") / 1000))
+    arrays = raw.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("ord", "record"))).alias("_r"))
+    folder = shared_path(spark, "registry_files")
+    name = F.format_string("%012d", "_file")
+    arrays.select(
+        F.concat(F.lit("["), F.array_join("_r.record", ","), F.lit("]")).alias("value"), name.alias("part")
+    ).write.partitionBy("part").text(folder)
+    records, rejects = source.load_registry(spark, f"{folder}/part=*")
+    place = [
+        F.shiftright("ord", source.FILE_SHIFT).alias("file"),
+        F.col("ord").bitwiseAND(F.lit((1 << source.FILE_SHIFT) - 1)).alias("pos"),
+    ]
+    kept = records.select(*place, "kind", "deprecated", F.lit("").alias("problems"))
+    nothing = F.lit(None).cast("string")
+    return kept.unionByName(
+        rejects.select(*place, nothing.alias("kind"), nothing.alias("deprecated"), _joined("problems"))
+    )
+
+
 @query
 def registry_violations(spark, sf):
     return reg.violations(id_registry(spark, sf))
