@@ -459,6 +459,8 @@ changes as (
   from cmp where in_a and in_b and list_sort(ea) is distinct from list_sort(eb))
 """
 oracle("spec_diff", "spec_docs", DIFF + 'select api, kind, path, "from", "to" from changes', recursive=True)
+oracle("change_order", "spec_docs", DIFF + """select list_position(['field_rename','field_removed','type_change','enum_value_change'], kind)::bigint as kind_rank, kind, api, path from changes
+""", recursive=True)
 oracle("spec_change_counts", "spec_docs", DIFF + "select api, kind, count(*) as changes from changes group by 1,2", recursive=True)
 oracle("usage_summary", "usage", """
 d as (select distinct repo, path_key, file, line, col from usage)
@@ -527,6 +529,7 @@ select enclosure, encl_name, in_call, callee, cast_type, position, purpose, cast
 oracle("occ_position_py", "literal_facts sink_facts", PLACED + """
 select repo, enclosure, encl_name, in_call, callee, position, purpose, count(*) as n from placed where lang='py' group by all
 """)
+oracle("finding_keys", T, OCC + "select path||':'||line||':'||col||':'||value as key, count(*) as findings from occ group by 1")
 oracle("occ_tiers", T, OCC + "select repo, path, lang, line, col, value, position, purpose, tier, reason, verdict from occ")
 oracle("occ_views", T, OCC + """
 select lang, case when position='model_arg' and ok then 'swap' when position='model_arg' then 'blocked' when position='azure_deployment' then 'alias' when position='usage_unverified' then 'usage_unverified' else 'data' end as view, tier, count(*) as n from occ group by all

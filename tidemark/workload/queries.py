@@ -436,6 +436,13 @@ def spec_diff(spark, sf):
     return specdiff.spec_diff(fixture(spark, sf, "spec_docs")).select("api", "kind", "path", "from", "to")
 
 
+@query
+def change_order(spark, sf):
+    """The changes of a report in their order: by kind, then api and path."""
+    changes = specdiff.spec_diff(fixture(spark, sf, "spec_docs"))
+    return specdiff.ordered(changes).select("kind_rank", "kind", "api", "path")
+
+
 @query
 def spec_change_counts(spark, sf):
     return specdiff.change_counts(specdiff.spec_diff(fixture(spark, sf, "spec_docs")))
@@ -502,6 +509,13 @@ def occ_position_py(spark, sf):
     return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def finding_keys(spark, sf):
+    """The key of every finding, and how many findings share it."""
+    key = ids.finding_key(F.col("path"), F.col("line"), F.col("col"), F.col("value")).alias("key")
+    return _occ(spark, sf).groupBy(key).agg(F.count(F.lit(1)).alias("findings"))
+
+
 @query
 def occ_tiers(spark, sf):
     return _occ(spark, sf).select(
