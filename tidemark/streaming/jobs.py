@@ -260,7 +260,8 @@ def with_open_windows(emitted: DataFrame, query: StreamingQuery, batch: DataFram
     windows that end after the last watermark, so nothing is counted twice; the
     condition is on the grouping key and reaches the rows before they are
     grouped. ``open`` tells the two apart. Rows that came too late for a window
-    already emitted stay out of it.
+    already emitted stay out of it. An open session comes from the whole input:
+    a row that the stream dropped as late counts in it if the session reaches it.
     """
     mark = F.lit(last_watermark(query)).cast("timestamp")
     still = batch.where(F.col("window_end") > mark)
