@@ -414,7 +414,7 @@ oracle("doc_stale", "evidence_refs", """
 x as (select * from evidence_refs)
 select candidate_id, content_hash, retrieved_at, coalesce(timestamp '2025-07-01' - try_cast(replace(retrieved_at,'Z','') as timestamp) > interval 90 days, true) as stale from x
 """)
-oracle("doc_store", "captures", HASHED.replace("from captures", "from grown").replace("n as (", "grown as (select * replace (case when page_id%41=0 then text||repeat('0123456789abcde ',70000) else text end as text) from captures),\nn as (", 1).rstrip() + """,
+oracle("doc_store", "captures", HASHED.replace("from captures", "from grown").replace("n as (", "grown as (select * replace (case when page_id%101=0 then text||repeat('0123456789abcde ',70000) else text end as text) from captures),\nn as (", 1).rstrip() + """,
 r as (select *, row_number() over (partition by content_hash order by retrieved_at, url) as rn from h)
 select substr(content_hash,8) as doc_key, url, retrieved_at, length(text) as chars from r where rn=1
 """)

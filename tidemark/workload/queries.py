@@ -409,9 +409,9 @@ def doc_snapshots(spark, sf):
 @query
 def doc_store(spark, sf):
     """Append growing sets of captures to a document store; each hash is stored once."""
-    # One page in 41 is a book: its text passes a mebibyte.
+    # One page in 101 is a book: its text passes a mebibyte.
     captured = fixture(spark, sf, "captures").withColumn(
-        "text", F.when(F.col("page_id") % 41 == 0, F.concat("text", F.repeat(F.lit("0123456789abcde "), 70000))).otherwise(F.col("text"))
+        "text", F.when(F.col("page_id") % 101 == 0, F.concat("text", F.repeat(F.lit("0123456789abcde "), 70000))).otherwise(F.col("text"))
     )
     root = shared_path(spark, "store")
     known = spark.createDataFrame([], store.DOCUMENT)
