@@ -29,7 +29,7 @@ def stale(refs: DataFrame, days: int, as_of: str) -> DataFrame:
 
 
 def ordered_lag(
-    df: DataFrame, key: str, order: str, value: str, out: str, bucket: Column
+    df: DataFrame, key: str, order: str | list[str], value: str, out: str, bucket: Column
 ) -> DataFrame:
     """Previous ``value`` of the same key in ``order``, with no key in one task.
 
@@ -37,15 +37,16 @@ def ordered_lag(
     last value of the nearest earlier bucket, which comes from a table with one
     row per (key, bucket). ``bucket`` must not decrease as ``order`` grows.
     """
+    order = [order] if isinstance(order, str) else order
     keyed = df.withColumn("_bucket", bucket)
     ends = keyed.groupBy(key, "_bucket").agg(
-        F.max_by(F.struct(F.col(value)), F.col(order)).alias("_end")
+        F.max_by(F.struct(F.col(value)), F.struct(*order)).alias("_end")
     )
     across = Window.partitionBy(key).orderBy("_bucket")
     carried = ends.select(
         key, "_bucket", F.lag("_end").over(across).alias("_carried")
     ).where(F.col("_carried").isNotNull())
-    inside = Window.partitionBy(key, "_bucket").orderBy(order)
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
     local = keyed.withColumn("_local", F.lag(F.struct(F.col(value))).over(inside))
     out_rows = local.join(carried, [key, "_bucket"], "left")
     previous = F.coalesce(F.col("_local"), F.col("_carried"))
@@ -56,13 +57,14 @@ def drift(captures: DataFrame, bucket: Column | None = None) -> DataFrame:
     """(url, retrieved_at, content_hash, previous_hash, changed) per capture.
 
     A capture has changed when its noise-free hash differs from that of the
-    capture before it. A url with much of the table is split by day.
+    capture before it; captures of one time stand in order of their hashes. A url
+    with much of the table is split by day.
     """
     rows = captures.select(
         "url", "retrieved_at", content_hash(normalize_for_hash(F.col("text"))).alias("content_hash")
     )
     day = F.substring("retrieved_at", 1, 10) if bucket is None else bucket
-    lagged = ordered_lag(rows, "url", "retrieved_at", "content_hash", "previous_hash", day)
+    lagged = ordered_lag(rows, "url", ["retrieved_at", "content_hash"], "content_hash", "previous_hash", day)
     return lagged.select(
         "url",
         "retrieved_at",
