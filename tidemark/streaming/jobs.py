@@ -260,9 +260,9 @@ def with_open_windows(emitted: DataFrame, query: StreamingQuery, batch: DataFram
     """Emitted windows and those that were still open when a finite input ended.
 
     ``batch`` is the same aggregation over the input as a table. It adds only
-    windows that end after the last watermark, so nothing is counted twice; the
-    condition is on the grouping key and reaches the rows before they are
-    grouped. ``open`` tells the two apart. Rows that came too late for a window
+    windows that end after the last watermark, so nothing is counted twice. For
+    windows of fixed length the condition reaches the rows before they are
+    grouped; a session is judged by its end and keeps all its rows. ``open`` tells the two apart. Rows that came too late for a window
     already emitted stay out of it. An open session comes from the whole input:
     a row that the stream dropped as late counts in it if the session reaches it.
     """
