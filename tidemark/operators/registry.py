@@ -330,7 +330,9 @@ def find_records(registry: DataFrame, terms: DataFrame) -> DataFrame:
             )
         ).alias("f"),
     ).select("term", "f.form", "f.key")
-    hits = lookup_join(probes, index, ["form", "key"], "inner")
+    # The index grows with the registry, by four rows a record that no estimate of a file's size knows of:
+    # it is never collected for a broadcast.
+    hits = lookup_join(probes, index.hint("merge"), ["form", "key"], "inner")
     return first_by(hits, ["term"], ["form", "ord"]).select(
         "term", F.col("form").alias("matched_form"), "ord", "deprecated", "display_id"
     )
