@@ -87,12 +87,20 @@ def resolve_models(options: DataFrame, constants: DataFrame) -> DataFrame:
 
 
 def param_sites(
-    objects: DataFrame, constants: DataFrame, registry: DataFrame, swapped: DataFrame | None = None
+    objects: DataFrame,
+    constants: DataFrame,
+    registry: DataFrame,
+    swapped: DataFrame | None = None,
+    first_only: bool = False,
 ) -> DataFrame:
     """Every (object, registry entry) where the parameter is wrong on the model.
 
     ``swapped`` holds the (repo, path, start, replacement) of identifier edits
     of the same run: the coupling is then judged on the model after the edit.
+    ``first_only`` keeps the first entry in source order per object and parameter,
+    which is the one an edit follows. Later entries on the same parameter and
+    family are then left out before they meet the objects, so a site is not
+    multiplied by the entries of a registry that names a family often.
     """
     entries = param_entries(registry).select(
         F.col("ord").alias("entry_ord"), "kind", "param", F.col("replacement").alias("new_name"), "on_models"
@@ -116,7 +124,13 @@ def param_sites(
     families = entries.select(
         "entry_ord", "kind", "param", "new_name", F.explode("on_models").alias("_prefix")
     ).distinct()
+    order = ["entry_ord", "kind", "new_name"]
+    if first_only:
+        families = first_by(families, ["param", "_prefix"], order)
     probe = sites.withColumn("_prefix", F.explode(dash_prefixes(F.col("model"))))
     hits = lookup_join(probe, families, ["param", "_prefix"], "inner").drop("_prefix")
+    if first_only:
+        # A model has several families; the first entry of any of them counts.
+        return first_by(hits, [*OBJECT, "param"], order)
     # Two families of one entry may both cover a model.
     return hits.dropDuplicates([*OBJECT, "param", "entry_ord"])

@@ -48,7 +48,7 @@ def scan(files: DataFrame, registry: DataFrame, marker: str = "scan") -> tuple[D
 def combined_edits(occ: DataFrame, facts: Facts, registry: DataFrame) -> DataFrame:
     """Identifier swaps, then parameter edits judged on the swapped models."""
     swapped = occurrences.swaps(occ).select("repo", "path", "start", "replacement")
-    sites = params.param_sites(facts.options, facts.constants, registry, swapped)
+    sites = params.param_sites(facts.options, facts.constants, registry, swapped, first_only=True)
     return rewrite.swap_edits(occ).unionByName(rewrite.param_edits(sites))
 
 
