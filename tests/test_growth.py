@@ -42,3 +42,41 @@ def test_a_site_is_not_multiplied_by_entries_of_its_family(spark):
     columns = ["start", "end", "new_text", "ord", "kind"]
     want, got = (sorted(map(tuple, rewrite.param_edits(s).select(*columns).fillna("").collect())) for s in (every, first))
     assert got == want
+
+
+def test_new_documents_are_found_without_their_texts(spark, tmp_path):
+    from tidemark.operators import documents
+    from tidemark.sources import store
+
+    rows = [(f"u{k % 7}", f"2025-01-0{1 + k % 5}", "<p>a  b</p>" * (1 + k % 3) + " " * (k % 2)) for k in range(40)]
+    rows += [("v", "2025-01-01", None), (None, "2025-01-01", "n"), ("w", None, "n")] + rows[:9]
+    captured = spark.createDataFrame(rows, "url string, retrieved_at string, text string").repartition(5)
+    stored = spark.createDataFrame([], store.DOCUMENT)
+    found = documents.new_documents(captured, stored)
+    hashes = {tuple(r[:3]): r.doc_key for r in documents.hashed(captured).collect()}
+    want = {}
+    for row, key in hashes.items():
+        rank = tuple((v is not None, v or "") for v in (row[1], row[0]))
+        want[key] = min(want.get(key, rank), rank)
+    got = [(r.doc_key, tuple((v is not None, v or "") for v in (r.retrieved_at, r.url))) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(want.items(), key=str)
+    assert all(hashes[(r.url, r.retrieved_at, r.text)] == r.doc_key for r in found.collect())
+    # The aggregation that sees every capture doesn't hold texts.
+    lines = [line for line in _plan(found).splitlines() if "partial_min_by" in line and "doc_key" in line.split("functions")[0]]
+    assert lines and not any("text" in line for line in lines)
+
+
+def test_costly_readings_are_spread(spark):
+    """One input split is read by as many tasks as a shuffle has."""
+    from tidemark.operators import discovery
+    from tidemark.sources import specs
+
+    raw = spark.range(0, 64, 1, 1)
+    checked = registry.check_records(raw.select(F.lit("[1]").alias("record"), "id"))
+    pages = raw.select(F.lit("acme").alias("provider"), F.col("id").alias("page_id"), F.lit("<p>").alias("html"))
+    docs = raw.select(F.lit("a").alias("api"), F.lit("A").alias("version"), F.lit("{}").alias("doc"))
+    for df in (checked, discovery.table_rows(pages), specs.flatten_specs(docs)):
+        assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = _plan(registry.split_valid(checked)[1])
+    assert "Filter" in plan and plan.index("Filter") < plan.index("Exchange") < len(plan)
+    assert "Filter" not in plan[plan.index("Exchange"):]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import ids, lifecycle
+from ..session import spread
 from .joins import first_by, lookup_join
 
 
@@ -177,13 +178,15 @@ def _broken(variant: Column, rules: list[tuple[str, Column]]) -> Column:
 
 def check_records(raw: DataFrame, json: str = "record") -> DataFrame:
     """Adds ``problems``: every broken shape rule, in rule order."""
-    parsed = raw.withColumn("_v", F.try_parse_json(F.col(json)))
-    return parsed.withColumn("problems", _broken(F.col("_v"), _record_rules(F.col("_v")))).drop("_v")
+    parsed = spread(raw).withColumn("_v", F.try_parse_json(F.col(json)))
+    judged = F.struct(_broken(F.col("_v"), _record_rules(F.col("_v"))).alias("problems"))
+    # As the output of a generator: a filter on it stays above, and the rules run once and after the spread.
+    return parsed.select(*[F.col(f"`{c}`") for c in raw.columns if c != "problems"], F.inline(F.array(judged)))
 
 
 def check_candidates(raw: DataFrame, json: str = "record") -> DataFrame:
     """Record rules, candidate rules, and unique candidate ids."""
-    parsed = raw.withColumn("_v", F.try_parse_json(F.col(json)))
+    parsed = spread(raw).withColumn("_v", F.try_parse_json(F.col(json)))
     rules = _record_rules(F.col("_v")) + _candidate_rules(F.col("_v"))
     parsed = parsed.withColumn("problems", _broken(F.col("_v"), rules)).withColumn(
         "candidate_id", _text(F.col("_v"), "$.candidateId")
