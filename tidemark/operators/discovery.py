@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import dates, ids
 from ..functions.text import cell_text, collapse_ws, content_hash, normalize_for_hash
+from ..session import spread
 from .joins import first_by, lookup_join
 
 _CELL = r"(?is)<t[dh][^>]*>.*?</t[dh]>"
@@ -56,6 +57,10 @@ def table_rows(
     row_text, deprecated, replacement, shutdown_date, skip. ``skip`` is null for
     rows read in full. Rows naming no model at all are headings and are dropped.
     """
+    return _read_tables(spread(pages), patterns, html)
+
+
+def _read_tables(pages: DataFrame, patterns: dict[str, str] | None, html: str = "html") -> DataFrame:
     patterns = patterns or C.PROVIDER_ID_PATTERNS
     keep = [c for c in pages.columns if c != html]
     tables = pages.select(
@@ -187,8 +192,8 @@ def discover(
     page_id, url, html. The first sighting in (provider_pos, page_id, table,
     row) order wins.
     """
-    hashed = pages.withColumn("content_hash", content_hash(normalize_for_hash(F.col("html"))))
-    fresh = propose(readable_rows(hashed, patterns), run_date)
+    hashed = spread(pages).withColumn("content_hash", content_hash(normalize_for_hash(F.col("html"))))
+    fresh = propose(_read_tables(hashed, patterns).where("skip is null").drop("skip"), run_date)
     fresh = lookup_join(fresh, known_ids(registry, queue), ["canon"], "left_anti")
     first = first_by(fresh, ["canon"], ["provider_pos", "page_id", "table_no", "row_no"])
     return first.select(
