@@ -218,7 +218,18 @@ def snapshot_bodies(
 
 
 def new_documents(captured: DataFrame, stored: DataFrame) -> DataFrame:
-    """Captured documents whose hash is not in the store yet, one per hash."""
-    keyed = hashed(captured)
-    fresh = lookup_join(keyed, stored.select("doc_key").distinct(), ["doc_key"], "left_anti")
-    return first_by(fresh, ["doc_key"], ["retrieved_at", "url"])
+    """Captured documents whose hash is not in the store yet, one per hash.
+
+    The first capture of each hash is found without its text. Texts then stream past
+    these captures, and only those that are new are kept in memory to be told apart.
+    """
+    place = F.to_json(F.struct("retrieved_at", "url"))
+    named = captured.withColumn("_id", F.concat_ws("|", F.sha2("text", 256), place))
+    keyed = hashed(named).select("content_hash", "doc_key", "retrieved_at", "url", "_id")
+    first = keyed.groupBy("doc_key").agg(
+        F.min_by(F.struct("content_hash", "_id"), F.struct("retrieved_at", "url", "_id")).alias("_f")
+    )
+    fresh = lookup_join(first, stored.select("doc_key").distinct(), ["doc_key"], "left_anti")
+    fresh = fresh.select("doc_key", "_f.*").hint("shuffle_hash")
+    # The same capture may have come twice.
+    return first_by(named.join(fresh, "_id"), ["_id"], ["retrieved_at", "url"]).drop("_id")
