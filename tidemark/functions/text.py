@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 
 
+#: A text's identity in 128 bits: the second hash starts from another seed.
+TEXT = ["_t1", "_t2"]
+
+
+def identified(texts: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Adds the identity of ``text``; null where it is not wanted."""
+    wanted = F.lit(True) if wanted is None else wanted
+    return texts.withColumn("_t1", F.when(wanted, F.xxhash64("text"))).withColumn("_t2", F.when(wanted, F.xxhash64(F.lit(1), "text")))
+
+
 def trim_ws(text: Column) -> Column:
     return F.regexp_replace(text, f"^{C.WS}+|{C.WS}+$", "")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.paths import in_scan_scope, language, unix_path
+from ..functions.text import TEXT, identified
 from .joins import lookup_join
 from .registry import model_entries, param_entries
 
@@ -24,9 +25,13 @@ def in_scope(files: DataFrame) -> DataFrame:
     return files.where(in_scan_scope(path)).withColumn("lang", language(path))
 
 
+def unannotated(texts: DataFrame, marker: str = "scan") -> DataFrame:
+    return texts.where(annotation(F.col("text"), marker).isNull())
+
+
 def scannable(files: DataFrame, marker: str = "scan") -> DataFrame:
     """Files in scope that carry no annotation."""
-    return in_scope(files).where(annotation(F.col("text"), marker).isNull())
+    return unannotated(in_scope(files), marker)
 
 
 def registry_tokens(registry: DataFrame) -> DataFrame:
@@ -37,7 +42,8 @@ def registry_tokens(registry: DataFrame) -> DataFrame:
 
 
 GRAM = 8  # characters of a key that a longer token is looked up by
-SIEVE_WORDS = 1 << 16  # the sieve has that many words of 64 bits, whatever the number of tokens
+SIEVE_WORDS = 1 << 20  # the sieve has that many words of 64 bits, whatever the number of tokens
+SIEVE_HASHES = 2
 
 
 def _grams(text: str, width: Column) -> Column:
@@ -45,33 +51,27 @@ def _grams(text: str, width: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.col(text), F.concat(F.lit("(?s)(?=(.{"), width, F.lit("}))")), F.lit(1)))
 
 
-def _bit(gram: str) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(64 * SIEVE_WORDS))
+def _bits(gram: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed), gram), F.lit(64 * SIEVE_WORDS)) for seed in range(SIEVE_HASHES)]
 
 
 def sieve(keys: DataFrame) -> DataFrame:
-    """One row with one array of fixed length: a bitmap of the hashed ``gram`` column."""
-    set_bits = keys.select(_bit("gram").alias("bit")).groupBy(F.expr("bit div 64").alias("id")).agg(
+    """One row with one array of fixed length: a bitmap of the hashes of the ``gram`` column."""
+    set_bits = keys.select(F.explode(F.array(*_bits("gram"))).alias("bit")).groupBy(F.expr("bit div 64").alias("id")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")
     )
     words = keys.sparkSession.range(SIEVE_WORDS).join(set_bits, "id", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    return words.agg(F.transform(ordered, lambda w: w["bits"]).alias("words"))
+    ordered = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    return words.agg(ordered.getField("bits").alias("words"))
 
 
 def _passes(gram: str, bitmap: Column) -> Column:
-    bit = _bit(gram)
-    word = F.get(bitmap, F.floor(bit / 64).cast("int"))
-    return F.bit_get(word, (bit % 64).cast("int")) == 1
-
-
-#: A text's identity in 128 bits: the second hash starts from another seed.
-_TEXT = ["_t1", "_t2"]
-
-
-def _identified(texts: DataFrame, wanted: Column | None = None) -> DataFrame:
-    wanted = F.lit(True) if wanted is None else wanted
-    return texts.withColumn("_t1", F.when(wanted, F.xxhash64("text"))).withColumn("_t2", F.when(wanted, F.xxhash64(F.lit(1), "text")))
+    """Whether all bits of the gram are set: of other runs than keys, 4 in 100 with 7 million keys."""
+    passes = F.lit(True)
+    for bit in _bits(gram):
+        word = F.get(bitmap, F.floor(bit / 64).cast("int"))
+        passes = passes & (F.bit_get(word, (bit % 64).cast("int")) == 1)
+    return passes
 
 
 def _mentioning(texts: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -86,16 +86,16 @@ def _mentioning(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     keys = runs.join(shared, "gram").groupBy("token").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
     widths = tokens.select("width").distinct()  # no more than GRAM rows
-    texts = _identified(texts.where(F.col("text").isNotNull()).select("text"))
-    cut = texts.crossJoin(F.broadcast(widths)).select(*_TEXT, F.explode(_grams("text", F.col("width").cast("string"))).alias("gram"))
-    met = cut.where(_passes("gram", sieve(keys).scalar())).join(keys, "gram").select(*_TEXT, "token").distinct()
-    return met.join(texts.dropDuplicates(_TEXT), _TEXT).where(F.col("text").contains(F.col("token"))).select(*_TEXT).distinct()
+    texts = identified(texts.where(F.col("text").isNotNull()).select("text"))
+    cut = texts.crossJoin(F.broadcast(widths)).select(*TEXT, F.explode(_grams("text", F.col("width").cast("string"))).alias("gram"))
+    met = cut.where(_passes("gram", sieve(keys).scalar())).join(keys, "gram").select(*TEXT, "token").distinct()
+    return met.join(texts.dropDuplicates(TEXT), TEXT).where(F.col("text").contains(F.col("token"))).select(*TEXT).distinct()
 
 
 def _marked(files: DataFrame, tokens: DataFrame, wanted: Column) -> DataFrame:
     """The files with ``_hit``: whether a wanted one contains any token. One plan for every list; nothing runs before it."""
     hits = _mentioning(files.where(wanted), tokens).withColumn("_found", F.lit(True))
-    return lookup_join(_identified(files, wanted), hits, _TEXT, "left").withColumn("_hit", F.coalesce("_found", F.lit(False))).drop(*_TEXT, "_found")
+    return lookup_join(identified(files, wanted), hits, TEXT, "left").withColumn("_hit", F.coalesce("_found", F.lit(False))).drop(*TEXT, "_found")
 
 
 def prefilter(files: DataFrame, tokens: DataFrame) -> DataFrame:

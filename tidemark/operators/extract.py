@@ -1,21 +1,23 @@
 """Fact tables from source files.
 
-``token_structure`` reads every file in one fold inside its row (see ``reading``),
+``token_structure`` reads every text in one fold inside its row (see ``reading``),
 so literals, options, constants and sinks come out of Spark expressions for both
-languages and nothing is shuffled. ``python_facts`` is a second reading of Python
+languages; only texts and what was found in them are shuffled, never tokens. ``python_facts`` is a second reading of Python
 by the standard library's own parser, kept for comparison.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.text import TEXT, identified
 from ..session import durable
+from .joins import lookup_join
 from .reading import FILE, facts
 
 # A type as tokens with blanks between them: names, generics, arrays, unions, texts, tuples, shapes.
@@ -26,15 +28,20 @@ _ATOM = (
 _CAST = rf"^(?:\) )*as ({_ATOM}(?: [|&] {_ATOM})*)"
 
 
-def token_structure(files: DataFrame) -> DataFrame:
+def token_structure(files: DataFrame, wanted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(repo, path, lang, lits, parts): what one reading of each file finds, as arrays of the file's row.
 
-    Written, because literals, options, constants and sinks all start from it and each file is read once.
-    Reading costs far more than moving a text, so files are spread by their name before it: whatever
-    scanned them, no task is left with the large ones of a whole input split.
+    Written, because literals, options, constants and sinks all start from it. What a reading finds depends
+    on language and text alone, and reading costs far more than moving a text: files are spread by their text
+    before it, copies of a text are read once, and every file meets what was found by its text's identity.
+    ``wanted`` keeps some of the different texts (lang, text); files with another text have no row.
     """
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return durable(facts(files.repartition(parts, *FILE)), "facts")
+    texts = files.select("lang", "text").repartition(parts, "lang", "text").distinct()
+    if wanted is not None:
+        texts = wanted(durable(texts, "texts")).repartition(parts, "lang", "text")
+    found = facts(identified(texts), TEXT)
+    return durable(lookup_join(identified(files).select(*FILE, "lang", *TEXT), found, ["lang", *TEXT]).drop(*TEXT), "facts")
 
 
 def _is_word(tok: Column) -> Column:

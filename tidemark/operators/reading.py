@@ -13,7 +13,7 @@ The expression is SQL text because it needs names for intermediate values; ``_le
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -175,7 +175,9 @@ def _member(s: str, t: str, a: str) -> str:
         ) + f" AS {SEGMENT})"
 
     base = f"CASE WHEN {t} IN ('const', 'let', 'var', 'return') THEN {EMPTY_SEGMENT} ELSE {seg} END"
-    moved = dict(i=f"{s}.i + 1", pos=f"{a}.end", line=f"{a}.line_after", ls=f"{a}.ls_after", p1=t, p2=f"{s}.p1", p_end=f"{a}.end")
+    # What the token before it has found is gone; a bracket that it closes has left its last part.
+    fresh = dict(lit=_NO_LITERAL, parts=f"CASE WHEN {a}.closes THEN {s}.parts ELSE {_NO_PARTS} END")
+    moved = dict(i=f"{s}.i + 1", pos=f"{a}.end", line=f"{a}.line_after", ls=f"{a}.ls_after", p1=t, p2=f"{s}.p1", p_end=f"{a}.end", **fresh)
     added = _let(base, lambda old: _let(grown(old), lambda new: _with(s, **moved, seg=new)))
     # A separator closes the segment that it ends; parts of calls and objects are kept.
     closing = _let(added, lambda m: _with(
@@ -189,9 +191,9 @@ def _closed(s: str, a: str) -> str:
     """The state with the innermost frame left; its last part ends where blanks after its last token end."""
     stop = f"{s}.p_end + length(regexp_extract({a}.gap, '^[ \\t]*', 0))"
     outer = f"get({s}.stack, size({s}.stack) - 1)"
-    parts = f"CASE WHEN {s}.f.role IN ('call', 'object') AND {s}.seg.nth > 0 THEN concat({s}.parts, array({_part(s, stop)})) ELSE {s}.parts END"
+    parts = f"CASE WHEN {s}.f.role IN ('call', 'object') AND {s}.seg.nth > 0 THEN array({_part(s, stop)}) ELSE {_NO_PARTS} END"
     popped = _with(s, f=f"{outer}.f", seg=f"{outer}.seg", stack=f"slice({s}.stack, 1, size({s}.stack) - 1)", parts=parts)
-    return f"CASE WHEN size({s}.stack) > 0 THEN {popped} ELSE {s} END"
+    return f"CASE WHEN size({s}.stack) > 0 THEN {popped} ELSE {_with(s, parts=_NO_PARTS)} END"
 
 
 def _opened(s: str, m: str, t: str, a: str) -> str:
@@ -212,9 +214,9 @@ def _opened(s: str, m: str, t: str, a: str) -> str:
     return _let(role, lambda r: _let(around, lambda c: pushed(r, c)))
 
 
-def _literal(s: str, m: str, t: str, a: str) -> str:
-    """The state with the string literal recorded; ``s`` as before it, ``m`` with it as a member."""
-    p1, n1 = f"{s}.p1", f"{a}.n1"
+def _literal(s: str, m: str, t: str, a: str, n1: str) -> str:
+    """The state with the string literal recorded; ``s`` as before it, ``m`` with it as a member, ``n1`` the token behind it."""
+    p1 = f"{s}.p1"
     f = f"{m}.f"
     # Prefixed strings and pieces of a concatenation are no values in Python.
     skip = f"py AND (({_is_word(p1)} AND {a}.adjacent) OR {_is_string(p1)} OR {_is_string(n1)})"
@@ -274,19 +276,18 @@ def _step(s: str, t: str) -> str:
         return _let(lines, lambda at: _struct(
             gap=gap, start=start, end=end, line=f"{at}.line", col=f"{start} - {at}.ls + 1",
             line_after=f"CASE WHEN instr({t}, '\\n') > 0 THEN {at}.line + {_breaks(t)} ELSE {at}.line END",
-            ls_after=f"CASE WHEN instr({t}, '\\n') > 0 THEN {end} - length(substring_index({t}, '\\n', -1)) ELSE {at}.ls END", n1=ahead,
-            adjacent=f"{start} = {s}.p_end", blanks=f"CASE WHEN {t} = ',' OR {t} = ';' OR substr({t}, 1, 1) = '\\n' THEN length(regexp_extract(coalesce(get(gaps, {s}.i + 1), ''), '^[ \\t]*', 0)) END",
+            ls_after=f"CASE WHEN instr({t}, '\\n') > 0 THEN {end} - length(substring_index({t}, '\\n', -1)) ELSE {at}.ls END",
+            closes=f"{t} IN (')', ']', '}}')", adjacent=f"{start} = {s}.p_end", blanks=f"CASE WHEN {t} = ',' OR {t} = ';' OR substr({t}, 1, 1) = '\\n' THEN length(regexp_extract(coalesce(get(gaps, {s}.i + 1), ''), '^[ \\t]*', 0)) END",
         ))
 
     def read(a: str) -> str:
-        skipped = _with(s, i=f"{s}.i + 1", pos=f"{a}.end", line=f"{a}.line_after", ls=f"{a}.ls_after")
-        closing = _let(_closed(s, a), lambda o: _member(o, t, a))
-        opening = _let(_member(s, t, a), lambda m: _opened(s, m, t, a))
-        literal = _let(_member(s, t, a), lambda m: _literal(s, m, t, a))
-        return (
-            f"CASE WHEN py AND {inner} AND substr({t}, 1, 1) = '\\n' THEN {skipped} WHEN {t} IN (')', ']', '}}') THEN {closing} "
-            f"WHEN {t} IN ('(', '[', '{{') THEN {opening} WHEN {_is_string(t)} THEN {literal} ELSE {_member(s, t, a)} END"
-        )
+        skipped = _with(s, i=f"{s}.i + 1", pos=f"{a}.end", line=f"{a}.line_after", ls=f"{a}.ls_after", lit=_NO_LITERAL, parts=_NO_PARTS)
+        # The member stands in the expression once: every task prepares the whole of it anew.
+        closed = f"CASE WHEN {a}.closes THEN {_closed(s, a)} ELSE {s} END"
+        literal = lambda m: _let(ahead, lambda n1: _literal(s, m, t, a, n1))
+        entered = lambda m: f"CASE WHEN {t} IN ('(', '[', '{{') THEN {_opened(s, m, t, a)} WHEN {_is_string(t)} THEN {literal(m)} ELSE {m} END"
+        member = _let(closed, lambda o: _let(_member(o, t, a), entered))
+        return f"CASE WHEN py AND {inner} AND substr({t}, 1, 1) = '\\n' THEN {skipped} ELSE {member} END"
 
     return _let(f"get(gaps, {s}.i)", lambda gap: _let(f"{s}.pos + length({gap})", lambda start: _let(about(gap, start), read)))
 
@@ -302,8 +303,8 @@ def _fold(result: str) -> str:
 
     def token(s: str, i: str) -> str:
         return _let(f"get(toks, {i})", lambda t: _let(_step(f"{s}.core", t), lambda r: _struct(
-            core=_with(r, lit=_NO_LITERAL, parts=_NO_PARTS),
-            lits=f"CASE WHEN {r}.lit IS NULL THEN {s}.lits ELSE concat({s}.lits, array({r}.lit)) END", parts=f"concat({s}.parts, {r}.parts)",
+            core=r, lits=f"CASE WHEN {r}.lit IS NULL THEN {s}.lits ELSE concat({s}.lits, array({r}.lit)) END",
+            parts=f"CASE WHEN size({r}.parts) = 0 THEN {s}.parts ELSE concat({s}.parts, {r}.parts) END",
         )))
 
     def gathered(s: str, found: str) -> str:
@@ -341,9 +342,11 @@ def _inside(template: str) -> str:
     return _named("hs", f"regexp_extract_all({template}.tok, {hole}, 0)", _named("ps", f"split({template}.tok, {hole})", each))
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     """(repo, path, lang, lits, parts): literals and parts of calls and object literals of every file.
 
+    ``keys`` name the rows, if they are not files.
+
     Literals inside the expressions of a template are read by the same fold over the expression.
     """
     py = F.col("lang") == "py"
@@ -352,8 +355,8 @@ def facts(files: DataFrame) -> DataFrame:
         cut = lambda gap, tok: F.regexp_extract_all("text", F.lit(f"({gap})({tok})"), F.lit(group))
         return F.when(py, cut(PY_GAP, PY_TOKEN)).otherwise(cut(TS_GAP, TS_TOKEN))
 
-    read = files.where(F.col("lang").isin("ts", "py")).select(*FILE, "lang", py.alias("py"), pieces(1).alias("gaps"), pieces(2).alias("toks"))
-    found = read.select(*FILE, "lang", "py", F.expr(_fold(_struct(lits=_entries("s.lits"), parts=_entries("s.parts")))).alias("found"))
+    read = files.where(F.col("lang").isin("ts", "py")).select(*keys, "lang", py.alias("py"), pieces(1).alias("gaps"), pieces(2).alias("toks"))
+    found = read.select(*keys, "lang", "py", F.expr(_fold(_struct(lits=_entries("s.lits"), parts=_entries("s.parts")))).alias("found"))
     plain = "filter(found.lits, l -> l.enclosure <> 'template')"
     inner = f"flatten(transform(filter(found.lits, l -> l.enclosure = 'template'), l -> {_inside('l')}))"
-    return found.select(*FILE, "lang", F.expr(f"concat({plain}, {inner})").alias("lits"), F.col("found.parts").alias("parts"))
+    return found.select(*keys, "lang", F.expr(f"concat({plain}, {inner})").alias("lits"), F.col("found.parts").alias("parts"))

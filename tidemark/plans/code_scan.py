@@ -6,6 +6,7 @@ nothing here accepts them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,9 +24,9 @@ class Facts:
     constants: DataFrame
 
 
-def native_facts(files: DataFrame) -> Facts:
-    """All facts from one reading of every file, which is written once."""
-    structure = extract.token_structure(files)
+def native_facts(files: DataFrame, wanted: Callable[[DataFrame], DataFrame] | None = None) -> Facts:
+    """All facts from one reading of every text that is wanted, which is written once."""
+    structure = extract.token_structure(files, wanted)
     return Facts(
         extract.literals(structure),
         extract.sink_facts(structure),
@@ -40,8 +41,9 @@ def relevant_files(files: DataFrame, registry: DataFrame, marker: str = "scan")
 
 
 def scan(files: DataFrame, registry: DataFrame, marker: str = "scan") -> tuple[DataFrame, Facts]:
-    """(tiered occurrences, facts) of a corpus."""
-    facts = native_facts(relevant_files(files, registry, marker))
+    """(tiered occurrences, facts) of a corpus; annotations and tokens are looked for once in each different text."""
+    tokens = corpus.registry_tokens(registry)
+    facts = native_facts(corpus.in_scope(files), lambda texts: corpus.prefilter(corpus.unannotated(texts, marker), tokens))
     return occurrences.occurrences(facts.literals, facts.sinks, registry), facts
 
 
