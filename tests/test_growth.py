@@ -80,3 +80,20 @@ def test_costly_readings_are_spread(spark):
     plan = _plan(registry.split_valid(checked)[1])
     assert "Filter" in plan and plan.index("Filter") < plan.index("Exchange") < len(plan)
     assert "Filter" not in plan[plan.index("Exchange"):]
+
+
+def test_windows_move_a_text_once_and_find_an_anchor_once(spark):
+    from tidemark.operators import documents
+
+    docs = spark.range(40).selectExpr("id", "repeat(concat('word', id, ' some more text '), 100) text").repartition(4)
+    quotes = spark.range(40).selectExpr("id", "explode(array(concat('WORD', id), 'more  text', 'nowhere', null)) excerpt").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        windows = documents.excerpt_windows(docs, quotes, "id", 1000, 100, 0, 10)
+        plans = [_plan(windows), _plan(documents.snapshot_bodies(docs, quotes, "id", 1000, 100))]
+        assert windows.count() == 0 and documents.snapshot_bodies(docs, quotes, "id", 1000, 100).count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        assert plan.count("Join") == 1 and "Window" not in plan
+        assert plan.count("lower(text") <= 2  # the text itself, and nothing that is found in it a second time

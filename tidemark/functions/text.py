@@ -109,7 +109,8 @@ def clip_log(text: Column, limit: int = C.LOG_MAX_CHARS) -> Column:
 def utf8_prefix(text: Column, max_bytes: Column | int) -> Column:
     """Longest prefix of whole characters that fits in ``max_bytes``."""
     limit = F.lit(max_bytes) if isinstance(max_bytes, int) else max_bytes
-    raw = F.encode(text, "UTF-8")
+    # So many bytes are no more characters; what lies behind them is never encoded.
+    raw = F.encode(F.substring(text, F.lit(1), F.greatest(limit + 1, F.lit(0))), "UTF-8")
 
     def continues(position: Column) -> Column:
         return F.hex(F.substring(raw, position, F.lit(1))).between("80", "BF")

@@ -87,23 +87,93 @@ def drift_sessions(drifted: DataFrame) -> DataFrame:
 # --- excerpt windows of over-long documents ----------------------------------
 
 
-def excerpt_anchor(text: Column, excerpt: Column) -> Column:
-    """0-based position of an excerpt in a text: the quote itself, else its
+def excerpt_anchor(haystack: Column, excerpt: Column) -> Column:
+    """0-based position of an excerpt in a text in lower case: the quote itself, else its
     longest token of six or more characters that occurs. -1 when nothing does."""
-    haystack = F.lower(text)
     flat = F.lower(collapse_ws(excerpt))
     tokens = F.filter(F.split(flat, r"[^a-z0-9._-]+"), lambda t: F.length(t) >= C.MIN_ANCHOR_TOKEN)
     # Longest first; equal lengths keep their order in the excerpt.
     ranked = F.array_sort(
         F.transform(tokens, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
     )
-    hits = F.filter(F.transform(ranked, lambda r: F.position(r["t"], haystack)), lambda p: p > 0)
-    direct = F.position(flat, haystack)
-    return (
-        F.when(F.length(flat) == 0, F.lit(-1))
-        .when(direct > 0, direct - 1)
-        .otherwise(F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(0)) - 1)
+    found = lambda places: F.try_element_at(F.filter(places, lambda p: p > 0), F.lit(1))
+    direct = found(F.array(F.position(flat, haystack)))
+    hits = found(F.transform(ranked, lambda r: F.position(r["t"], haystack)))
+    return F.when(F.length(flat) == 0, F.lit(-1)).otherwise(F.coalesce(direct, hits, F.lit(0)) - 1)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans with those that touch or overlap made one."""
+    last = lambda s: F.element_at(s, -1)
+    span = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+    joined = lambda s, x: F.concat(
+        F.slice(s, F.lit(1), F.size(s) - 1), span(last(s)["start"], F.greatest(last(s)["end"], x["end"]))
     )
+    return F.aggregate(
+        F.slice(spans, F.lit(2), F.greatest(F.size(spans), F.lit(1))),
+        F.slice(spans, F.lit(1), F.lit(1)),
+        lambda s, x: F.when(x["start"] > last(s)["end"], F.concat(s, span(x["start"], x["end"]))).otherwise(joined(s, x)),
+    )
+
+
+def _affordable(islands: Column, text: Column, budget: Column) -> Column:
+    """The first islands of the text whose bytes fit the budget; the one that crosses it is clipped."""
+    piece = lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"])
+
+    def clipped(x: Column, room: Column) -> Column:
+        length = F.length(utf8_prefix(piece(x), room.cast("int")))
+        return F.struct(x["start"].alias("start"), (x["start"] + length).alias("end"))
+
+    def take(state: Column, x: Column) -> Column:
+        kept = F.when(state["room"] > 0, F.concat(state["kept"], F.array(clipped(x, state["room"])))).otherwise(state["kept"])
+        return F.struct((state["room"] - F.octet_length(piece(x))).alias("room"), kept.alias("kept"))
+
+    start = F.struct(budget.cast("bigint").alias("room"), F.slice(islands, 1, 0).alias("kept"))
+    taken = F.aggregate(islands, start, lambda state, x: take(state, x), lambda state: state["kept"])
+    return F.filter(taken, lambda x: x["end"] > x["start"])
+
+
+def _windowed(
+    docs: DataFrame,
+    excerpts: DataFrame,
+    key: str,
+    max_bytes: int,
+    window_bytes: int,
+    marker_bytes: int,
+    reserve: int,
+    how: str,
+) -> DataFrame:
+    """(key, text, _kept): each document's windows as an array of its row; null if it is short or not cited.
+
+    The distinct excerpts of a document meet its text in one lookup. Anchors, merging and budget are folds
+    inside the row, so the text is moved once, however many excerpts it has.
+    """
+    head_bytes = int((max_bytes - marker_bytes) * C.SNAPSHOT_HEAD_SHARE)
+    half = window_bytes // 2
+    quotes = excerpts.groupBy(key).agg(F.collect_set("excerpt").alias("_quotes"))
+    is_long = F.octet_length("text") > max_bytes
+    rows = lookup_join(docs.select(key, "text"), quotes, [key], how)
+    rows = rows.select(
+        key,
+        "text",
+        "_quotes",
+        F.when(is_long, F.lower("text")).alias("_low"),
+        F.when(is_long, utf8_prefix(F.col("text"), head_bytes)).alias("_head"),
+    ).select(
+        key,
+        "text",
+        F.length("_head").alias("_head_end"),
+        (F.lit(max_bytes - marker_bytes - reserve) - F.octet_length("_head")).alias("_budget"),
+        F.transform("_quotes", lambda q: excerpt_anchor(F.col("_low"), q)).alias("_at"),
+    )
+    here = F.filter("_at", lambda at: (at >= 0) & (at >= F.col("_head_end")) & (F.col("_budget") > 0))
+    span = lambda at: F.struct(
+        F.greatest(F.col("_head_end"), at - half).alias("start"), F.least(F.length("text"), at + half).alias("end")
+    )
+    spans = F.sort_array(F.array_distinct(F.transform(here, span)))
+    islands = rows.select(key, "text", "_budget", _merged(spans).alias("_islands"))
+    kept = F.when(F.size("_islands") > 0, _affordable(F.col("_islands"), F.col("text"), F.col("_budget")))
+    return islands.select(key, "text", kept.alias("_kept"))
 
 
 def excerpt_windows(
@@ -121,52 +191,10 @@ def excerpt_windows(
     they are kept in order while the byte budget lasts, and the one that
     crosses it is clipped. Offsets are 0-based characters, end exclusive.
     """
-    head_bytes = int((max_bytes - marker_bytes) * C.SNAPSHOT_HEAD_SHARE)
-    half = window_bytes // 2
-    long_docs = docs.where(F.octet_length("text") > max_bytes).select(key, "text")
-    long_docs = long_docs.withColumn("_head", utf8_prefix(F.col("text"), head_bytes))
-    sized = long_docs.select(
-        key,
-        "text",
-        F.length("_head").alias("_head_end"),
-        (F.lit(max_bytes - marker_bytes - reserve) - F.octet_length("_head")).alias("_budget"),
-    )
-    cited = excerpts.select(key, "excerpt").distinct().join(sized, key)
-    at = cited.withColumn("_at", excerpt_anchor(F.col("text"), F.col("excerpt"))).where(
-        (F.col("_at") >= 0) & (F.col("_at") >= F.col("_head_end")) & (F.col("_budget") > 0)
-    )
-    spans = at.select(
-        key,
-        F.greatest(F.col("_head_end"), F.col("_at") - half).alias("start"),
-        F.least(F.length("text"), F.col("_at") + half).alias("end"),
-    ).distinct()
-
-    # Gaps and islands. Distinct spans of one text, so a group is bounded by it.
-    order = Window.partitionBy(key).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("_new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
-    islands = islands.withColumn(
-        "_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    merged = islands.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-
-    with_text = merged.join(sized, key)
-    slices = with_text.withColumn(
-        "_slice", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    ).withColumn("_size", F.octet_length("_slice"))
-    running = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    slices = slices.withColumn("_spent", F.sum("_size").over(running))
-    room = F.col("_budget") - (F.col("_spent") - F.col("_size"))
-    clipped = F.length(utf8_prefix(F.col("_slice"), room.cast("int")))
-    return (
-        slices.where(room > 0)
-        .select(
-            key,
-            "start",
-            F.when(F.col("_size") <= room, F.col("end")).otherwise(F.col("start") + clipped).alias("end"),
-        )
-        .where(F.col("end") > F.col("start"))
-    )
+    long_docs = docs.where(F.octet_length("text") > max_bytes)
+    rows = _windowed(long_docs, excerpts, key, max_bytes, window_bytes, marker_bytes, reserve, "inner")
+    # The plain form would put "has a window" before the join, and with it a second run of all that finds windows.
+    return rows.select(key, F.inline_outer("_kept")).where(F.col("start").isNotNull())
 
 
 def snapshot_bodies(
@@ -184,12 +212,9 @@ def snapshot_bodies(
     """
     marker_bytes = len(marker.encode())
     budget = max_bytes - marker_bytes
-    windows = excerpt_windows(docs, excerpts, key, max_bytes, window_bytes, marker_bytes)
-    # At most budget / window_bytes full windows per document survive the budget.
-    grouped = windows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_kept")
-    )
-    joined = lookup_join(docs.select(key, "text"), grouped, [key], "left")
+    joined = _windowed(
+        docs, excerpts, key, max_bytes, window_bytes, marker_bytes, C.SNAPSHOT_MARKER_RESERVE, "left"
+    ).withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")))
     text = F.col("text")
     head = utf8_prefix(text, int(budget * C.SNAPSHOT_HEAD_SHARE))
 
