@@ -183,3 +183,26 @@ def test_odd_rows_have_scores(odd, empty, spark, trained):
     assert {r.predicted for r in toxicity.report(odd, one).collect()} == {0}
     kept = toxicity.keep_clean(odd, one)
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_toxicity_counts_forms_in_parts(spark, sf, monkeypatch):
+    """The lexicon is the same however often a task hands on its counts."""
+    from tidemark.llm import toxicity
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.join(spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "toxic label").dropna(), "doc_id").coalesce(1)
+    whole = toxicity.learn_lexicon(rows, 20, 100)
+    handed = []
+    monkeypatch.setattr(toxicity, "FORMS", 50)
+    monkeypatch.setattr(toxicity, "ship", lambda spark: handed.append(1))
+    assert toxicity.learn_lexicon(rows, 20, 100) == whole and whole and handed
+
+
+def test_toxicity_remembers_few_tokens():
+    from tidemark.llm import toxicity
+
+    reader = toxicity.Reader({"bad": 2.0})
+    first = reader.features("a bad word")
+    for k in range(150_000):
+        reader[f"t{k}"]
+    assert len(reader) <= 100_000 and reader.features("a bad word") == first

@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import CACHE_ENTRIES, durable, ship, slices
+from .common import durable, ship
 
 #: Labelled rows that learning reads at most, but for chance of the hash.
 SAMPLE = 20_000
 #: Entries of the lexicon.
 LEXICON = 400
+#: Tokens that a task remembers the reading of, and forms that it counts before it hands their counts on.
+TOKENS = FORMS = 100_000
 #: Words on either side of a second person that count as near.
 NEAR = 4
 
@@ -75,7 +77,7 @@ class Reader(dict):
         return max((self.lexicon.get(f, 0.0) for f in forms(word)), default=0.0)
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= TOKENS:
             self.clear()
         word = plain(token)
         weight = self.weight(word) if word else 0.0
@@ -153,9 +155,8 @@ def _featured(docs: DataFrame, lexicon: dict[str, float], keep: list[str], text:
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(words.value)
         for batch in batches:
-            texts = batch.to_pylist()
-            parts = [pa.array([reader.features(t) for t in texts[a:b]], pa.list_(pa.float64())) for a, b in slices(texts)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+            # One text at a time becomes a Python string; the batch stays as Arrow has it.
+            yield pa.array([reader.features(text.as_py()) for text in batch], pa.list_(pa.float64()))
 
     return docs.select(*keep, features(F.col(text)).alias("features"))
 
@@ -164,21 +165,22 @@ def learn_lexicon(labelled: DataFrame, positives: int, negatives: int, size: int
     """Forms that mark toxic documents with their weight, the log odds; the surest ones, at most ``size``."""
     ship(labelled.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen[label].update({f for w in set((text or "").split()) if (p := plain(w)) for f in forms(p)})
-        keys = list(seen[1])  # forms that no toxic document has can't mark one
-        yield pa.RecordBatch.from_pydict(
+    def counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
+        keys = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_pydict(
             {"form": keys, "pos": [seen[1][k] for k in keys], "neg": [seen[0][k] for k in keys]},
             schema=pa.schema([("form", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())]),
         )
-        others = [k for k in seen[0] if k not in seen[1]]
-        yield pa.RecordBatch.from_pydict(
-            {"form": others, "pos": [0] * len(others), "neg": [seen[0][k] for k in others]},
-            schema=pa.schema([("form", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())]),
-        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, label in zip(*batch.columns, strict=True):
+                seen[label.as_py()].update({f for w in set((text.as_py() or "").split()) if (p := plain(w)) for f in forms(p)})
+                if len(seen[0]) + len(seen[1]) >= FORMS:
+                    yield counted(seen)
+                    seen = (Counter(), Counter())
+        yield counted(seen)
 
     # Copies of a text are one witness.
     single = labelled.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))
