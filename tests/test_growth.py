@@ -97,3 +97,59 @@ def test_windows_move_a_text_once_and_find_an_anchor_once(spark):
     for plan in plans:
         assert plan.count("Join") == 1 and "Window" not in plan
         assert plan.count("lower(text") <= 2  # the text itself, and nothing that is found in it a second time
+
+
+FACTS = "repo string, path string, lang string, line long, col int, value string, enclosure string, encl_name string, in_call boolean, callee string, cast_type string"
+
+
+def _facts(spark):
+    wheres = ["property_key", "property_value", "kwarg", "variable", "param_default", "call_arg", "array_element", "comparison", "class_property", "odd", None]
+    names = ["model", "defaultModel", "deployment", "label", None]
+    rows = []
+    for n, (where, name) in enumerate((w, m) for w in wheres for m in names):
+        for k, lang in enumerate(["ts", "py", "go", None]):
+            for call in (True, None):
+                rows.append(
+                    ("r", f"{'tests/' if n % 7 == 6 else 'src/'}f{n % 3}.{lang}", lang, n, k, f"m-{n % 4}", where, name, call,
+                     ["openai", "GenerativeModel", None][n % 3], ["Named", "string", "", None][(n + k) % 4])
+                )
+    return spark.createDataFrame(rows, FACTS)
+
+
+def _plan_without_broadcast(spark, make):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return _plan(make())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_all_facts_meet_the_registry_in_one_join(spark, sf):
+    from tidemark.operators import occurrences as O
+    from tidemark.workload.fixtures import id_registry
+
+    facts = _facts(spark)
+    sinks = spark.createDataFrame([("r", "src/f0.py", "model"), ("r", "src/f0.py", "model"), ("r", "src/f1.py", "defaultModel")], "repo string, path string, name string")
+    columns = [*facts.columns, "cast_masked", "position", "purpose"]
+    ts, py = O.place_ts(facts.where("lang = 'ts'")), O.place_py(facts.where("lang = 'py'"), sinks)
+    want = sorted(map(repr, ts.select(columns).unionByName(py.select(columns)).collect()))
+    assert want == sorted(map(repr, O.place(facts, sinks).select(columns).collect())) and len(want) == 220
+    for keep in ("tier = 'C'", "tier = 'A'", "true"):
+        plan = _plan_without_broadcast(spark, lambda k=keep: O.occurrences(facts, sinks, id_registry(spark, sf)).where(k))
+        # The registry and the sinks; and no rule is worked out again for the filter.
+        assert plan.count("Join") == 2
+        assert plan.count("usage_unverified,null") == 2
+
+
+def test_lines_of_an_id_are_one_shuffle(spark):
+    from tidemark.operators import tiers
+
+    rows = [("r", f"f{n % 3}", f"v{n % 2}", n % 11, "C" if n % 5 else "B") for n in range(120)]
+    occ = spark.createDataFrame(rows, "repo string, path string, value string, line long, tier string")
+    found = tiers.file_id_lines(occ)
+    assert _plan_without_broadcast(spark, lambda: tiers.file_id_lines(occ)).count("Exchange") == 1
+    for r in found.collect():
+        lines = [x[3] for x in rows if x[:3] == (r.repo, r.path, r.value) and x[4] == "C"]
+        first = sorted(set(lines))
+        assert (r.hits, r.shown, r.more) == (len(lines), ", ".join(f"L{n}" for n in first[:4]), max(len(first) - 4, 0))
+    assert found.count() == 6

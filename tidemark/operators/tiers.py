@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -165,16 +165,26 @@ def file_rollup(occ: DataFrame) -> DataFrame:
 
 
 def file_id_lines(occ: DataFrame, shown: int = 4) -> DataFrame:
-    """Per file and id: hits, first distinct lines, how many more lines."""
-    data = occ.where(F.col("tier") == "C")
-    counts = data.groupBy("repo", "path", "value", "line").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy("repo", "path", "value").agg(
-        F.sum("_n").alias("hits"), F.count(F.lit(1)).alias("lines")
-    )
+    """Per file and id: hits, first distinct lines, how many more lines.
+
+    A group is an id in one file. Everything is one shuffle by the group: lines are
+    counted, ranked and totalled where they lie.
+    """
     keys = ["repo", "path", "value"]
-    first = top_per_group(counts, keys, [F.col("line")], shown)
-    heads = first.groupBy(*keys).agg(F.array_sort(F.collect_list("line")).alias("_l"))
-    return heads.join(totals, keys).select(
+    data = occ.where(F.col("tier") == "C").select(*keys, "line").repartition(*keys)
+    counts = data.groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = Window.partitionBy(*keys).orderBy("line")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = counts.select(
+        *keys,
+        "line",
+        F.row_number().over(ordered).alias("_rank"),
+        F.sum("_n").over(whole).alias("hits"),
+        F.count(F.lit(1)).over(whole).alias("lines"),
+    )
+    first = ranked.where(F.col("_rank") <= shown)
+    heads = first.groupBy(*keys, "hits", "lines").agg(F.array_sort(F.collect_list("line")).alias("_l"))
+    return heads.select(
         *keys,
         "hits",
         F.array_join(F.transform("_l", lambda n: F.concat(F.lit("L"), n)), ", ").alias("shown"),
