@@ -153,3 +153,12 @@ def test_lines_of_an_id_are_one_shuffle(spark):
         first = sorted(set(lines))
         assert (r.hits, r.shown, r.more) == (len(lines), ", ".join(f"L{n}" for n in first[:4]), max(len(first) - 4, 0))
     assert found.count() == 6
+
+
+def test_a_listing_reads_its_files_from_one_computation(spark, sf):
+    from tidemark.operators import tiers
+    from tidemark.workload import queries
+
+    assert "l_orderkey" not in _plan(queries.capped_listing(spark, sf))
+    occ = spark.createDataFrame([], "repo string, path string, value string, purpose string, tier string")
+    assert _plan(tiers.file_rollup(occ)).count("Exchange") == 1

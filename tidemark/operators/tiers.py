@@ -151,8 +151,9 @@ def review_top(occ: DataFrame, k: int = 12) -> DataFrame:
 
 def file_rollup(occ: DataFrame) -> DataFrame:
     """Per file of informational findings: hits, ids, comparisons, catalog flag."""
-    data = occ.where(F.col("tier") == "C")
-    per_id = data.groupBy("repo", "path", "value").agg(
+    data = occ.where(F.col("tier") == "C").select("repo", "path", "value", "purpose")
+    # Dealt by file: the counts per id and those per file need no other shuffle.
+    per_id = data.repartition("repo", "path").groupBy("repo", "path", "value").agg(
         F.count(F.lit(1)).alias("_hits"),
         F.count_if(F.col("purpose") == "comparison").alias("_comparisons"),
     )
