@@ -162,3 +162,13 @@ def test_a_listing_reads_its_files_from_one_computation(spark, sf):
     assert "l_orderkey" not in _plan(queries.capped_listing(spark, sf))
     occ = spark.createDataFrame([], "repo string, path string, value string, purpose string, tier string")
     assert _plan(tiers.file_rollup(occ)).count("Exchange") == 1
+
+
+def test_pending_files_are_scanned_once(spark, sf):
+    from tidemark.workload import queries
+
+    pending, current = queries._pending(spark, sf)
+    assert _plan(pending).count("FileScan") == 1
+    plan = _plan(rewrite.write_plan(pending, current))
+    assert plan.count("FileScan") == 4  # both sides, planned for the rows and again for the verdict per repository
+    assert "unhex" in plan

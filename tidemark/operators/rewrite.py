@@ -191,10 +191,10 @@ def write_plan(pending: DataFrame, current: DataFrame) -> DataFrame:
     A write is refused when its target is gone, has changed since the scan, or
     is listed twice; one refusal withholds the whole repository.
     """
-    want = pending.groupBy(*FILE).agg(
-        F.count(F.lit(1)).alias("_listed"), F.min(F.sha2(_without_bom("text"), 256)).alias("_scanned")
-    )
-    have = current.select(*FILE, F.sha2(_without_bom("text"), 256).alias("_now"))
+    # Hashes travel as bytes, half as long as their digits and in the same order.
+    digest = F.unhex(F.sha2(_without_bom("text"), 256))
+    want = pending.groupBy(*FILE).agg(F.count(F.lit(1)).alias("_listed"), F.min(digest).alias("_scanned"))
+    have = current.select(*FILE, digest.alias("_now"))
     checked = want.join(have, FILE, "left")
     preflight = (
         F.when(F.col("_listed") > 1, F.lit("listed_twice"))
