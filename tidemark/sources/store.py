@@ -56,5 +56,11 @@ def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Rows of one report file: compressed files can't be split, so their size is what a reader holds to a task.
+REPORT_ROWS = 1_000_000
+
+
 def write_report(sections: dict[str, DataFrame], root: str) -> None:
-    report_rows(sections).write.mode("overwrite").partitionBy("section").json(root)
+    """Lines of JSON, compressed: every row spells the names of its fields out, which is most of its text."""
+    rows = report_rows(sections).write.mode("overwrite").partitionBy("section")
+    rows.option("maxRecordsPerFile", REPORT_ROWS).json(root, compression="gzip")
