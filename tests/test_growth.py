@@ -192,3 +192,13 @@ def test_a_report_keeps_only_the_columns_it_reads(spark, sf):
 
     kept = _occ(spark, sf).select(*report.COLUMNS)
     assert {"callee", "enclosure", "cast_type"}.isdisjoint(kept.columns) and len(report.sections(kept)) == 5
+
+
+def test_sites_are_dealt_before_they_are_made_distinct(spark):
+    from tidemark.operators import usage
+
+    used = spark.createDataFrame([("r", "a", f"{p}T.x", "f", 1, n % 2) for n in range(4) for p in ("Api.", "API.", "")], "repo string, api string, path_key string, file string, line int, col int")
+    sites = usage.locations(used, "Api")
+    assert sorted(r.col for r in sites.collect()) == [0, 1]
+    plan = _plan(usage.locations(used, "Api"))
+    assert "REPARTITION_BY_NUM" in plan and plan.rindex("HashAggregate") < plan.index("REPARTITION_BY_NUM")
