@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 import __spark_entry__
 import corpus_pipeline
 from tidemark.llm import decontaminate, toxicity
-from tidemark.llm.common import lower_words
+from tidemark.llm.common import lower_words, tidied
 
 
 def test_stages(spark, sf):
@@ -52,3 +54,44 @@ def test_stages_take_odd_rows_and_empty_tables(spark, sf, odd, empty):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_stages_hold_small_batches(spark, sf):
+    """The texts of a task must not lie in one Arrow batch, in the JVM and in Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+            for _, stage in corpus_pipeline.STAGES[-2:]:
+                spark.conf.set(name, given)
+                stage(spark, docs, sf)
+                assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_decontamination_has_one_worker_per_task(spark, sf, capsys):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    decontaminate.remove(docs, items).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_workers_give_memory_back():
+    """What a task has freed below something that stays leaves the process when its batches end."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE")
+
+    held, stays = [], []
+
+    def run(batches):
+        yield from batches
+        held.extend(bytes(100_000) for _ in range(1000))
+        stays.append(bytes(100_000))
+        held.clear()
+        sizes.append(resident())
+
+    sizes = []
+    assert list(tidied(run)(iter([1, 2]))) == [1, 2]
+    assert resident() < sizes[0] - 50_000_000

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow, ship, slices
+from .common import arrow, give_back, ship, slices
 from .merges import LONG, NONE, PairTable, merge_long
 from .pieces import PieceIds
 
@@ -177,7 +177,7 @@ def report(docs: DataFrame, path: str, pattern: str, remember: bool = True) -> D
         finally:
             if not remember:
                 _codecs.pop((path, pattern), None)
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)

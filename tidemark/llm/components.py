@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ship
+from .common import durable, ship, tidied
 
 
 class UnionFind:
@@ -58,7 +58,7 @@ def forest(links: DataFrame) -> DataFrame:
                 sets = UnionFind()
         yield flush()
 
-    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
+    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(tidied(run), "a long, b long")
 
 
 def _step(links: DataFrame) -> DataFrame:

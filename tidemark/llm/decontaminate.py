@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import arrow, durable, ship, slices, window_hashes
+from .common import arrow, durable, ship, slices, tidied, window_hashes
 
 #: Text of test items, in bytes, that one pass broadcasts.
 SLICE_BYTES = 16 << 20
@@ -121,10 +122,15 @@ def _without(text: str, hit: np.ndarray) -> str:
     return "".join([*out, text[last:]])
 
 
-def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
+Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, finish: tuple[Finish, StructType] | None = None) -> DataFrame:
     """(row: the document's columns, text, hits: packed mask of hit words or null, items: ids, n: words).
 
-    The last three hold what all slices of the items (item_id, text) have found together.
+    The last three hold what all slices of the items (item_id, text) have found together.  ``finish``
+    makes other rows of these in the Python worker that found the last of them: a step of its own would
+    need a second worker for every task.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -157,7 +163,14 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
                     last = [pa.array(v, f.type) for v, f in zip((hits, ids, counts), list(rows.schema)[-3:], strict=True)]
                     yield pa.RecordBatch.from_arrays([*rows.columns[:-3], *last], schema=rows.schema)
 
-        out = out.mapInArrow(mark, out.schema)
+        if k + 1 == count and finish is not None:
+            end, schema = finish
+
+            def ended(batches: Iterator[pa.RecordBatch], mark=mark) -> Iterator[pa.RecordBatch]:
+                return end(mark(batches))
+
+            return out.mapInArrow(tidied(ended), schema)
+        out = out.mapInArrow(tidied(mark), out.schema)
         if k + 1 < count:
             out = durable(out, "decontaminate")
     return out
@@ -188,7 +201,6 @@ def report(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = SHAR
 
 def remove(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = SHARE, spans: bool = False) -> DataFrame:
     """The documents without the contaminated ones; with ``spans``, all documents without their hit words."""
-    marked = scan(docs, items, n)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,5 +214,6 @@ def remove(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = SHAR
                 clean = [m is None or share * int(m.sum()) < c for m, c in zip(masks, counts, strict=True)]
                 yield batch.select([0, 1]).filter(pa.array(clean, pa.bool_()))
 
-    kept = marked.mapInArrow(keep, marked.select("row", "text").schema)
+    schema = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text").schema
+    kept = scan(docs, items, n, (keep, schema))
     return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

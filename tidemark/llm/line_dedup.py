@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, mix, ship, slices
+from .common import arrow, durable, mix, ship, slices, tidied
 from .components import components
 
 EDITS = 2
@@ -262,7 +262,7 @@ def _lines(hashed: DataFrame) -> DataFrame:
                     LINES,
                 )
 
-    return hashed.select("doc_id", "h1", "h2", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, place int, id long, id2 long, size int, parity long, number int")
+    return hashed.select("doc_id", "h1", "h2", "text").mapInArrow(tidied(run), "doc_id long, h1 long, h2 long, place int, id long, id2 long, size int, parity long, number int")
 
 
 def _keyed(hashed: DataFrame, edits: int, shortest: int, buckets: int) -> DataFrame:
@@ -323,7 +323,7 @@ def _keyed(hashed: DataFrame, edits: int, shortest: int, buckets: int) -> DataFr
         if held:
             yield flush()
 
-    return hashed.select("text").mapInArrow(run, "bucket int, index binary, probes binary")
+    return hashed.select("text").mapInArrow(tidied(run), "bucket int, index binary, probes binary")
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -442,7 +442,7 @@ def _meet(keyed: DataFrame) -> DataFrame:
         if own.held:
             yield own.close()
 
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, key long")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "a long, b long, key long")
 
 
 def merge(left: np.ndarray, right: np.ndarray, label: np.ndarray, lines: list[str], edits: int) -> list[tuple[int, int]]:
@@ -524,7 +524,7 @@ def _texts(hashed: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(line_ids(found)[0]), pa.array(found, pa.string())], names=["id", "line"])
 
-    return durable(picked.mapInArrow(run, "id long, line string").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    return durable(picked.mapInArrow(tidied(run), "id long, line string").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
 
 
 def links(hashed: DataFrame, lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
@@ -548,7 +548,7 @@ def links(hashed: DataFrame, lines: DataFrame, edits: int = EDITS, shortest: int
             yield batch.select([0, 1]).filter(pa.array(near))
 
     one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"t{c}")) for c in ("a", "b"))
-    checked = close.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    checked = close.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(tidied(verify), "a long, b long")
     return durable(checked.union(_in_blocks(members, texts, edits)), "line-links")
 
 
@@ -599,7 +599,7 @@ def _split(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
             columns[at] = pa.array([without(t, p) for t, p in zip(texts, places, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return _same(docs, marks, "left_anti"), joined.mapInArrow(run, docs.schema)
+    return _same(docs, marks, "left_anti"), joined.mapInArrow(tidied(run), docs.schema)
 
 
 def report(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:

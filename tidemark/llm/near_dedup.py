@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow, durable, lower_words, mix, ship, slices, window_hashes
+from .common import WordHash, arrow, durable, lower_words, mix, ship, slices, tidied, window_hashes
 from .components import UnionFind, components
 
 REGISTERS, ROWS = 128, 4
@@ -138,7 +138,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             if ids:
                 yield made(ids, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sized(a: str, b: str, threshold: int) -> F.Column:
@@ -160,7 +160,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     ids = durable(ids, "near-ids")
     if ids.count() <= PICKED:
         ids = F.broadcast(ids)
-    return durable(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, shingles binary"), "near-sets")
+    return durable(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(tidied(sets), "rep long, shingles binary"), "near-sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) ->
     picked = _sets(docs, ids, width)
     one = picked.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     two = picked.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(tidied(check), "a long, b long").distinct()
 
 
 def close_pairs(x: list[np.ndarray], y: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:

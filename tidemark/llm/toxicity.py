@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import durable, ship
+from .common import durable, give_back, ship, tidied
 
 #: Labelled rows that learning reads at most, but for chance of the hash.
 SAMPLE = 20_000
@@ -157,6 +157,8 @@ def _featured(docs: DataFrame, lexicon: dict[str, float], keep: list[str], text:
         for batch in batches:
             # One text at a time becomes a Python string; the batch stays as Arrow has it.
             yield pa.array([reader.features(text.as_py()) for text in batch], pa.list_(pa.float64()))
+        reader.clear()
+        give_back()
 
     return docs.select(*keep, features(F.col(text)).alias("features"))
 
@@ -184,7 +186,7 @@ def learn_lexicon(labelled: DataFrame, positives: int, negatives: int, size: int
 
     # Copies of a text are one witness.
     single = labelled.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))
-    counts = single.select("text", "label").mapInArrow(count, "form string, pos long, neg long")
+    counts = single.select("text", "label").mapInArrow(tidied(count), "form string, pos long, neg long")
     sums = counts.groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 2")
     odds = F.log((F.col("pos") + 0.5) / (positives + 1.0)) - F.log((F.col("neg") + 0.5) / (negatives + 1.0))
     sure = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
