@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,16 +65,33 @@ def cell_text(html: Column) -> Column:
     return collapse_ws(F.when(html.contains("&"), decode_numeric_entities(out)).otherwise(plain))
 
 
+#: Whitespace other than a plain space. What is ASCII is settled by a bit set, so that a letter is not
+#: compared with every range of ``C.WS``.
+ODD_WS = rf"[\t\n\x0b\f\r[\x80-\uffff&&{C.WS}]]"
+
+
+def _where(needed: Callable[[Column], Column], text: Column, change: Callable[[Column], Column]) -> Column:
+    """The text changed where that is needed. A lambda binds the text, so what it comes from runs once."""
+    one = lambda x: F.when(needed(x), change(x)).otherwise(x)
+    return F.get(F.transform(F.array(text), one), F.lit(0))
+
+
 def normalize_for_hash(text: Column) -> Column:
-    """Drop what changes on every fetch: script bodies, nonces, integrity hashes."""
+    """Drop what changes on every fetch: script bodies, nonces, integrity hashes.
+
+    A replacement decodes, copies and encodes the whole text; to see that there is nothing to replace is cheaper.
+    """
     out = F.regexp_replace(
         text, r"(?is)<script\b[^>]*>.*?</script\s*>", "<script></script>"
     )
+    # All whitespace counts alike from here, so the patterns behind look for one character.
+    out = F.regexp_replace(out, ODD_WS, " ")
     for attribute in ("nonce", "integrity"):
-        out = F.regexp_replace(
-            out, rf"""(?i){C.WS}{attribute}{C.WS}*={C.WS}*("[^"]*"|'[^']*')""", ""
+        name = f" (?i:{attribute}) *="
+        out = _where(
+            lambda x, name=name: x.rlike(name), out, lambda x, name=name: F.regexp_replace(x, rf"""{name} *("[^"]*"|'[^']*')""", "")
         )
-    return collapse_ws(out)
+    return F.trim(_where(lambda x: x.contains("  "), out, lambda x: F.regexp_replace(x, "  +", " ")))
 
 
 def content_hash(text: Column) -> Column:

@@ -51,27 +51,27 @@ def _grams(text: str, width: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.col(text), F.concat(F.lit("(?s)(?=(.{"), width, F.lit("}))")), F.lit(1)))
 
 
-def _bits(gram: str) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(seed), gram), F.lit(64 * SIEVE_WORDS)) for seed in range(SIEVE_HASHES)]
+def _bits(gram: str, size: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed), gram), F.lit(64 * size)) for seed in range(SIEVE_HASHES)]
 
 
-def sieve(keys: DataFrame) -> DataFrame:
+def sieve(keys: DataFrame, size: int = SIEVE_WORDS) -> DataFrame:
     """One row with one array of fixed length: a bitmap of the hashes of the ``gram`` column."""
-    set_bits = keys.select(F.explode(F.array(*_bits("gram"))).alias("bit")).groupBy(F.expr("bit div 64").alias("id")).agg(
+    set_bits = keys.select(F.explode(F.array(*_bits("gram", size))).alias("bit")).groupBy(F.expr("bit div 64").alias("id")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")
     )
-    words = keys.sparkSession.range(SIEVE_WORDS).join(set_bits, "id", "left")
+    words = keys.sparkSession.range(size).join(set_bits, "id", "left")
     ordered = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
     return words.agg(ordered.getField("bits").alias("words"))
 
 
-def _passes(gram: str, bitmap: Column) -> Column:
+def passes(gram: str, bitmap: Column, size: int = SIEVE_WORDS) -> Column:
     """Whether all bits of the gram are set: of other runs than keys, 4 in 100 with 7 million keys."""
-    passes = F.lit(True)
-    for bit in _bits(gram):
+    all_set = F.lit(True)
+    for bit in _bits(gram, size):
         word = F.get(bitmap, F.floor(bit / 64).cast("int"))
-        passes = passes & (F.bit_get(word, (bit % 64).cast("int")) == 1)
-    return passes
+        all_set = all_set & (F.bit_get(word, (bit % 64).cast("int")) == 1)
+    return all_set
 
 
 def _mentioning(texts: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def _mentioning(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     widths = tokens.select("width").distinct()  # no more than GRAM rows
     texts = identified(texts.where(F.col("text").isNotNull()).select("text"))
     cut = texts.crossJoin(F.broadcast(widths)).select(*TEXT, F.explode(_grams("text", F.col("width").cast("string"))).alias("gram"))
-    met = cut.where(_passes("gram", sieve(keys).scalar())).join(keys, "gram").select(*TEXT, "token").distinct()
+    met = cut.where(passes("gram", sieve(keys).scalar())).join(keys, "gram").select(*TEXT, "token").distinct()
     return met.join(texts.dropDuplicates(TEXT), TEXT).where(F.col("text").contains(F.col("token"))).select(*TEXT).distinct()
 
 

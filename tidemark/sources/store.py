@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.documents import new_documents, snapshot_bodies
+from ..operators.documents import document_keys, new_keys, snapshot_bodies, with_texts
 from ..operators.joins import lookup_join
+from ..session import durable
 
 DOCUMENT = "doc_key string, content_hash string, url string, retrieved_at string, body string"
 
@@ -15,14 +16,19 @@ def stored_documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).parquet(root)
 
 
-def append_documents(captured: DataFrame, stored: DataFrame, root: str, batch: int | str) -> str:
+def append_documents(
+    captured: DataFrame, stored: DataFrame, root: str, batch: int | str, keys: DataFrame | None = None
+) -> str:
     """Add documents whose hash is new; a stored hash is never written again.
 
     The body is the whole text that the hash was taken of. Of the stored side only
     the column of keys is read. Each batch overwrites its own folder only, so a
-    retried batch is idempotent.
+    retried batch is idempotent. ``keys`` are the ``document_keys`` of the captures:
+    a caller that appends captures more than once hashes them once. The keys of new
+    documents are written to the shared folder before their texts are looked up.
     """
-    fresh = new_documents(captured, stored).withColumnRenamed("text", "body")
+    keys = document_keys(captured) if keys is None else keys
+    fresh = with_texts(captured, durable(new_keys(keys, stored), "new")).withColumnRenamed("text", "body")
     path = f"{root.rstrip('/')}/batch={batch}"
     fresh.select(*[c.split()[0] for c in DOCUMENT.split(", ")]).write.mode("overwrite").parquet(path)
     return path
